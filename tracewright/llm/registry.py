@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality
+from . import bpe, decontaminate, quality, substrings
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op4_substrings": substrings.op4_substrings,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
