@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, substrings
+from . import bpe, decontaminate, pii, quality, substrings
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_bpe": bpe.op2_bpe,
     "op4_substrings": substrings.op4_substrings,
     "op9_quality": quality.op9_quality,
