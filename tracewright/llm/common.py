@@ -30,6 +30,9 @@ def small_batches(spark: SparkSession) -> None:
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
+    # A worker has one core; its matrix products shouldn't start a thread for each of the machine's.
+    env.setdefault("OMP_NUM_THREADS", "1")
+    env.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 
 def let(value: Column, use) -> Column:

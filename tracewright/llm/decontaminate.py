@@ -118,6 +118,13 @@ def _union(at: Column) -> Column:
     return F.aggregate(F.array_sort(at), empty, step, lambda a: F.concat(a["done"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end")))))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without hits, as they are."""
+    found = common.checkpoint(contamination(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")))
+    found = common.broadcast_if_small(found, 24)
+    return docs.join(found, docs[id_col].eqNullSafe(found["_doc_id"]) & (F.xxhash64(docs[text_col]) == found["_text_hash"]), "left_anti")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: words, hit words, items, and whether it is contaminated."""
     found = contamination(docs, benchmark, id_col, text_col)

@@ -226,5 +226,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.unionByName(nobody)
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that lead their class, as they are; of rows of one id one stays, rows without an id all do."""
+    classed = common.checkpoint(join(docs, id_col, text_col))
+    later = common.broadcast_if_small(common.checkpoint(classed.where("class_id < doc_id").select(F.col("doc_id").alias("_later")).distinct()), 16)
+    kept = docs.join(later, docs[id_col] == later["_later"], "left_anti")
+    twice = common.checkpoint(classed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")))
+    if twice.isEmpty():
+        return kept
+    twice = common.broadcast_if_small(twice, 16)
+    again = kept.join(twice, kept[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col])
+    return kept.join(twice, kept[id_col] == twice["_twice"], "left_anti").unionByName(again)
+
+
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents"))

@@ -43,37 +43,26 @@ def repeated_words(words: Column, k: int = 3) -> Column:
     return F.coalesce(let(positions, lambda p: F.aggregate(steps(p), F.lit(0), lambda t, x: t + x)), F.lit(0))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """``doc_id``, the columns ``more``, and the counts that the rules are about."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def measure(text: Column) -> Column:
+    """One struct of the counts that the rules are about."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{common.SPACE}]"))
     of_class = lambda c: F.length(F.regexp_replace(text, f"[^{c}]+", ""))
-    measured = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more).select(
-        "doc_id",
-        *more,
-        let(common.words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeats"))).alias("w"),
-        of_class("#*$%&|<>").alias("n_symbols"),
-        of_class("A-Z").alias("n_upper"),
-        of_class("!").alias("n_bang"),
-        let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"),
-    )
-    return measured.select(
-        "doc_id",
-        *more,
-        F.col("w.n").cast("long").alias("n_words"),
-        F.col("w.chars").cast("long").alias("word_chars"),
-        F.col("n_symbols").cast("long").alias("n_symbols"),
-        F.col("l.dup").cast("long").alias("n_dup_lines"),
-        F.col("w.repeats").cast("long").alias("n_repeat_words"),
-        F.col("l.n").cast("long").alias("n_lines"),
-        F.col("n_upper").cast("long").alias("n_upper"),
-        F.col("n_bang").cast("long").alias("n_bang"),
-    )
-
-
-def features() -> dict[str, Column]:
-    """Scale-free features of a row of ``statistics``, rounded to three digits."""
-    share = lambda a, b: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 3)
+    of_words = let(common.words_of(text), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeats")))
+    of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+    parts = F.struct(of_words.alias("w"), of_lines.alias("l"), of_class("#*$%&|<>").alias("symbols"), of_class("A-Z").alias("upper"), of_class("!").alias("bang"))
+    named = lambda x: {"n_words": x["w"]["n"], "word_chars": x["w"]["chars"], "n_symbols": x["symbols"], "n_dup_lines": x["l"]["dup"], "n_repeat_words": x["w"]["repeats"], "n_lines": x["l"]["n"], "n_upper": x["upper"], "n_bang": x["bang"]}
+    return let(parts, lambda x: F.struct(*(v.cast("long").alias(k) for k, v in named(x).items())))
+
+
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """``doc_id``, the columns ``more``, and the counts of ``measure``."""
+    return docs.select(F.col(id_col).alias("doc_id"), *more, measure(F.col(text_col)).alias("measured")).select("doc_id", *more, "measured.*")
+
+
+def features(get=F.col) -> dict[str, Column]:
+    """Scale-free features, rounded to three digits, of the counts that ``get`` finds by name."""
+    share = lambda a, b: F.round(get(a) / F.greatest(get(b), F.lit(1)), 3)
     return {
         "mean_word": share("word_chars", "n_words"),
         "symbol_share": share("n_symbols", "n_words"),
@@ -81,12 +70,12 @@ def features() -> dict[str, Column]:
         "repeat_share": share("n_repeat_words", "n_words"),
         "upper_share": share("n_upper", "word_chars"),
         "bang_share": share("n_bang", "n_words"),
-        "n_words": F.col("n_words").cast("double"),
+        "n_words": get("n_words").cast("double"),
     }
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(get=F.col) -> Column:
+    return (get("n_words") < 50) | (100 * get("n_repeat_words") > 50 * get("n_words"))
 
 
 @dataclass(frozen=True)
@@ -98,8 +87,8 @@ class Condition:
     def holds(self, row: tuple) -> bool:
         return (row[self.feature] > self.cut) is self.above
 
-    def column(self) -> Column:
-        x = features()[FEATURES[self.feature]]
+    def column(self, get=F.col) -> Column:
+        x = features(get)[FEATURES[self.feature]]
         return x > self.cut if self.above else x <= self.cut
 
 
@@ -172,13 +161,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list
     return cover([(tuple(r.x), r.is_junk) for r in taught])
 
 
-def verdict(rules: list[list[Condition]]) -> Column:
+def verdict(rules: list[list[Condition]], get=F.col) -> Column:
     """True where no rule of the list fires."""
     out = None
     for rule in rules:
-        fires = rule[0].column()
+        fires = rule[0].column(get)
         for c in rule[1:]:
-            fires = fires & c.column()
+            fires = fires & c.column(get)
         out = F.when(fires, False) if out is None else out.when(fires, False)
     return F.lit(True) if out is None else out.otherwise(True)
 
@@ -189,6 +178,12 @@ def judge(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
     return statistics(docs, "doc_id", "text", *more).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def keep(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, as they are; a text is measured once."""
+    rules = learn(docs, labels)
+    return docs.where(let(measure(F.col(text_col)), lambda m: ~base_failed(m.getField) & verdict(rules, m.getField)))
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     judged = judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, pii, quality, substrings
+from . import bpe, decontaminate, jaccard, lm, pii, quality, substrings
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_bpe": bpe.op2_bpe,
     "op4_substrings": substrings.op4_substrings,
+    "op6_lm": lm.op6_lm,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
