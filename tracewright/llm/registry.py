@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, lm, pii, quality, substrings
+from . import bpe, decontaminate, html, jaccard, licences, lm, pii, quality, substrings
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_bpe": bpe.op2_bpe,
+    "op3_html": html.op3_html,
     "op4_substrings": substrings.op4_substrings,
     "op6_lm": lm.op6_lm,
+    "op7_licences": licences.op7_licences,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_licences": licences.ORACLE,
+}
