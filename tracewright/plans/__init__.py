@@ -1 +1 @@
-
+"""Canonical views over the driver's tables, and the registered queries with their SQL."""

@@ -1,6 +1,5 @@
 """Name -> query callable, and name -> DuckDB SQL."""
 
-from __future__ import annotations
+from tracewright.plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1 +1,52 @@
+"""Online forms: transitions, edge counts and epochs of a stream of events.
 
+Order is arrival order across micro-batches and (ts, seq) inside one, as in the batch forms for
+traces that arrive in order. State is one block (and one counter) a thread.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+
+class Transitions(StatefulProcessor):
+    """Emits (thread, src, snk, epoch): keeps the thread's last block and its epoch, which grows at boundary transitions."""
+
+    def __init__(self, boundaries: frozenset = frozenset()):
+        self.boundaries = boundaries
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "block string, epoch long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        found = self.last.get() if self.last.exists() else None
+        block, epoch = (found[0], found[1]) if found else (None, 0)
+        for r in sorted(rows, key=lambda r: (r.ts, r.seq)):
+            if block is not None:
+                epoch += (block, r.block) in self.boundaries
+                yield Row(thread=key[0], src=block, snk=r.block, epoch=epoch)
+            block = r.block
+        self.last.update((block, epoch))
+
+    def close(self) -> None:
+        pass
+
+
+def transitions(events: DataFrame, boundaries: frozenset = frozenset()) -> DataFrame:
+    """``thread, src, snk, epoch`` of a streaming trace ``thread, ts, seq, block``; needs the RocksDB state store."""
+    return events.groupBy("thread").transformWithState(Transitions(boundaries), "thread long, src string, snk string, epoch long", "Append", "None")
+
+
+def edge_counts(moves: DataFrame) -> DataFrame:
+    """Running edge counts, for complete or update output of ``foreachBatch`` totals."""
+    return moves.groupBy("src", "snk").agg(F.count("*").alias("freq"))
+
+
+def time_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """``thread, start, end, n``: sessions by a gap in event time, with a watermark."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy("thread", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("thread", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
