@@ -108,10 +108,10 @@ def local_path(edges: dict, source, sink) -> list:
     for n, w in edges.get(source, {}).items():
         if w > 0 and -log(w) < cost.get(n, inf):
             cost[n], back[n] = -log(w), source
-            heapq.heappush(heap, (cost[n], n))
+            heapq.heappush(heap, (cost[n], str(n), n))
     done = set()
     while heap:
-        d, n = heapq.heappop(heap)
+        d, _, n = heapq.heappop(heap)
         if n in done:
             continue
         done.add(n)
@@ -123,7 +123,7 @@ def local_path(edges: dict, source, sink) -> list:
         for m, w in edges.get(n, {}).items():
             if w > 0 and d - log(w) < cost.get(m, inf):
                 cost[m], back[m] = d - log(w), n
-                heapq.heappush(heap, (cost[m], m))
+                heapq.heappush(heap, (cost[m], str(m), m))
     return []
 
 

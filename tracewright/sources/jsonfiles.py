@@ -15,6 +15,12 @@ KERNEL_FILE = f"struct<ValidBlocks: array<bigint>, NonKernelBlocks: array<bigint
 LOOP_FILE = "struct<Loops: array<struct<Blocks: array<bigint>, Type: array<int>, IV: array<bigint>, BasePointers: array<bigint>, Functions: array<bigint>>>, `Static Blocks`: array<bigint>>"
 
 
+def _by_key(pairs):
+    """A map from a list of (k, v) pairs, in the order of keys."""
+    order = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    return F.map_from_entries(F.array_sort(pairs, order))
+
+
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path)
 
@@ -38,7 +44,7 @@ def write_block_info(callers: DataFrame, labels: DataFrame) -> DataFrame:
     c = callers.groupBy("block").agg(F.array_sort(F.collect_set("callee")).alias("BlockCallers"))
     v = labels.groupBy("block").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "votes")))).alias("Labels"))
     both = c.join(v, "block", "full").select(F.col("block").cast("string").alias("k"), F.struct("BlockCallers", "Labels").alias("v"))
-    return both.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).alias("value"))
+    return both.agg(F.to_json(_by_key(F.collect_list(F.struct("k", "v")))).alias("value"))
 
 
 def read_kernels(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +70,7 @@ def read_loops(spark: SparkSession, path: str) -> DataFrame:
 def write_kernels(kernels: DataFrame, valid: DataFrame, outside: DataFrame) -> DataFrame:
     """One row ``value``: the kernel document; ``kernels`` as ``segment.table`` gives them."""
     own = kernels.select(F.col("kernel").cast("string").alias("k"), F.struct(F.col("blocks").alias("Blocks"), F.col("children").alias("Children"), F.col("parents").alias("Parents"), F.col("entrances").alias("Entrances"), F.col("exits").alias("Exits")).alias("v"))
-    every = own.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("Kernels"), F.lit(0).alias("j"))
+    every = own.agg(_by_key(F.collect_list(F.struct("k", "v"))).alias("Kernels"), F.lit(0).alias("j"))
     size = kernels.agg(F.coalesce(F.avg(F.size("blocks")), F.lit(0.0)).alias("Average Kernel Size (Blocks)"), F.lit(0).alias("j"))
     lists = valid.agg(F.array_sort(F.collect_set("block")).alias("ValidBlocks"), F.lit(0).alias("j")).join(outside.agg(F.array_sort(F.collect_set("block")).alias("NonKernelBlocks"), F.lit(0).alias("j")), "j")
     return every.join(size, "j").join(lists, "j").select(F.to_json(F.struct("ValidBlocks", "NonKernelBlocks", "Average Kernel Size (Blocks)", "Kernels")).alias("value"))
