@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes up to which a counted table is broadcast.
+BROADCAST_BYTES = 24 << 20
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder; lineage ends there and survives lost executors."""
     sc = df.sparkSession.sparkContext
@@ -16,22 +20,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, root`` of every id in ``nodes(id)`` under the undirected ``edges(a, b)``; root is the least id of the component.
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (already checkpointed) with a broadcast hint if its rows are counted to fit BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """``a, b``: each connected node of the undirected ``edges(a, b)`` but the least of its component, with that one.
 
     Alternating large and small stars: a number of rounds about logarithmic in the longest
-    path, each one checkpoint; edges only, no adjacency is ever collected.
+    path; edges only, no adjacency is ever collected. A node with very many edges is only
+    ever aggregated: its neighbours meet it through a broadcast table of one row a node, or, beyond
+    that size, through a join whose hot keys can be split, as both sides are checkpointed.
     """
     star = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = both.join(small_side(least, 24), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        # After the large star only smaller neighbours are left, few a node.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = checkpoint(large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
         now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return small
         star, before = small, now
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, root`` of every id in ``nodes(id)``; root is the least id of the component under ``edges(a, b)``."""
+    star = stars(edges)
     return nodes.join(star.select(F.col("a").alias("id"), "b"), "id", "left").select("id", F.coalesce("b", "id").alias("root"))
