@@ -40,6 +40,8 @@ KNOWN, STATE_WORDS, CLASSES = 200_000, 60_000, 4096
 STATES, PASSES, RUN = 4, 4, 128
 END = CLASSES  # symbols: classes, the end, then the state words
 FIXED = 1 << 20
+#: Tokens, and share of a state's tokens, that the corpus shares count for in its emissions.
+LEAN = (200, 0.05)
 #: Words a partition counts before it sends what it has.
 FLUSH = 400_000
 
@@ -143,8 +145,8 @@ class Model:
 
     @classmethod
     def from_counts(cls, start, moves, emits, share) -> Model:
-        """Maximisation, with a little of the corpus shares in each state."""
-        emits = emits + share[:, None] * (1 + 0.001 * emits.sum(axis=0))
+        """Maximisation; each state's emissions lean on the corpus shares."""
+        emits = emits + share[:, None] * (LEAN[0] + LEAN[1] * emits.sum(axis=0))
         moves = moves + 1
         return cls((start + 1) / (start + 1).sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
 
