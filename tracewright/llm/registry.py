@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, jaccard, licences, lm, pii, quality, substrings
+from . import bpe, decontaminate, html, jaccard, licences, lm, pii, quality, substrings, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_bpe": bpe.op2_bpe,
     "op3_html": html.op3_html,
     "op4_substrings": substrings.op4_substrings,
+    "op5_warc": warc.op5_warc,
     "op6_lm": lm.op6_lm,
     "op7_licences": licences.op7_licences,
     "op8_jaccard": jaccard.op8_jaccard,
