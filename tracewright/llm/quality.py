@@ -25,7 +25,7 @@ from .common import let
 #: Labelled rows that teach, thresholds tried for each feature, conditions of a rule, rules of a list.
 SAMPLE, CUTS, CONDITIONS, RULES = 6000, 24, 4, 12
 #: A rule must be this precise, and cover so many junk rows, on either part of the sample.
-PRECISION, COVER = 0.9, 5
+PRECISION, COVER = 0.95, 5
 FEATURES = ("mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share", "n_words")
 
 
@@ -134,7 +134,8 @@ def cover(rows: list[tuple[tuple, bool]]) -> list[list[Condition]]:
     cuts = []
     for f in range(len(FEATURES)):
         values = sorted({row[f] for row, _ in rows})
-        cuts.append(sorted({values[len(values) * i // CUTS] for i in range(CUTS)}) if values else [])
+        # Half-way to the next value seen: a margin for texts between the clean and the bad.
+        cuts.append(sorted({(values[k] + values[k + 1]) / 2 for i in range(CUTS) if (k := (len(values) - 1) * i // CUTS) + 1 < len(values)}))
     grow, prune = [x for i, x in enumerate(rows) if i % 3], rows[::3]
     rules: list[list[Condition]] = []
     while len(rules) < RULES:
@@ -152,12 +153,13 @@ def cover(rows: list[tuple[tuple, bool]]) -> list[list[Condition]]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
-    """The decision list for junk, from at most ``sample`` labelled rows that pass the base rules' word count."""
+    """The decision list for junk, from those of ``sample`` labelled rows that pass the base rules."""
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = most")
     picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("label_id"), (F.col("least") == 0).alias("is_junk"))
     # At most `sample` rows of 9 bytes: a proven bound.
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")), "doc_id", "text", "is_junk")
-    taught = rows.select("doc_id", "is_junk", F.array(*features().values()).alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()
+    # What the base rules fail needs no learning.
+    taught = rows.where(~base_failed()).select("doc_id", "is_junk", F.array(*features().values()).alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()
     return cover([(tuple(r.x), r.is_junk) for r in taught])
 
 
