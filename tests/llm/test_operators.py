@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from conftest import SF
+from brute import SF
 from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, decontaminate, html, jaccard, licences, lm, pii, quality, substrings

@@ -2,7 +2,7 @@
 
 import brute
 import corpus_pipeline
-from conftest import SF
+from brute import SF
 
 
 def test_stages(spark, tmp_path):

@@ -5,7 +5,7 @@ import gzip
 import hashlib
 import io
 
-from conftest import SF
+from brute import SF
 
 from tracewright.llm import html, warc
 
