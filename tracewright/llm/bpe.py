@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
 A text is cut by the tokenizer's pattern; each piece is merged on its own. Over the
-byte positions of a piece lies a segment tree whose leaves hold the rank of the pair
-that starts there and whose inner nodes hold the least ``rank * size + position`` below,
-so the root is the leftmost pair of minimum rank. A merge touches three leaves (the
-merged part, the part it swallowed and its live left neighbour), each in O(log n).
+byte positions of a piece lies a segment tree of fan-out ``FAN`` whose leaves hold the rank of
+the pair that starts there and whose inner nodes hold the least (rank, position) below, so the
+root is the leftmost pair of minimum rank. A merge updates three leaves (the merged part,
+the part it swallowed and its live left neighbour) and their paths, each in O(log n).
 
 Defined cases: null text encodes to no ids; ``doc_id`` may be null or repeated, rows are
 independent; only the id and text columns are read, so other columns can't clash; an
@@ -14,6 +14,8 @@ empty table gives an empty table; a piece of n bytes takes O(n log n).
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_ENTRIES, CACHE_PIECE = 200_000, 48
+#: Children of an inner node of the segment tree.
+FAN = 16
+#: Chunks, and pieces, that a worker remembers (twice that at most); longer ones aren't kept.
+CACHE_ENTRIES, CACHE_PIECE = 250_000, 40
 _LOADED: dict[str, tuple[dict[bytes, int], list[bytes]]] = {}
 
 
@@ -47,46 +52,40 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    size = 1 << (n - 1).bit_length()
-    none = 1 << 62
-    tree = [none] * (2 * size)
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank * size + i
-    for node in range(size - 1, 0, -1):
-        a, b = tree[2 * node], tree[2 * node + 1]
-        tree[node] = a if a < b else b
+    n, get = len(piece), ranks.get
+    bits = n.bit_length()
+    mask, none = (1 << bits) - 1, 1 << 62
+    leaves = [none if (rank := get(piece[i : i + 2])) is None else rank << bits | i for i in range(n - 1)]
+    leaves.append(none)
+    # Inner levels up to the one with the root's children; a short piece has leaves and root alone.
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    top = levels[-1]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int, value: int) -> None:
-        node = size + i
-        tree[node] = value
-        while node > 1:
-            a, b = tree[node], tree[node ^ 1]
-            node >>= 1
-            least = a if a < b else b
-            if tree[node] == least:
-                return
-            tree[node] = least
-
-    def rank_at(i: int) -> int:
-        """Key of the pair that starts with the live part at ``i``."""
+    while (least := min(top)) < none:
+        i = least & mask
         j = after[i]
-        rank = ranks.get(piece[i : after[j]]) if j < n else None
-        return none if rank is None else rank * size + i
-
-    while tree[1] < none:
-        i = tree[1] & (size - 1)
-        swallowed = after[i]
-        after[i] = end = after[swallowed]
+        after[i] = end = after[j]
+        # Leaves: the one swallowed, the merged part, the live left neighbour.
+        leaves[j] = none
         if end < n:
             before[end] = i
-        put(swallowed, none)
-        put(i, rank_at(i))
-        if before[i] >= 0:
-            put(before[i], rank_at(before[i]))
+            leaves[i] = none if (rank := get(piece[i : after[end]])) is None else rank << bits | i
+        else:
+            leaves[i] = none
+        if (p := before[i]) >= 0:
+            leaves[p] = none if (rank := get(piece[p:end])) is None else rank << bits | p
+        else:
+            p = i
+        # Their paths to the root, which soon meet.
+        below = leaves
+        for level in levels[1:]:
+            p, i, j = p // FAN, i // FAN, j // FAN
+            for at in {p, i, j}:
+                level[at] = min(below[at * FAN : at * FAN + FAN])
+            below = level
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -94,27 +93,41 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Recent(dict):
+    """Remembers about twice ``limit`` values of ``make``: two generations, of which the older goes."""
+
+    def __init__(self, make, limit: int, longest: int):
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of whole texts; remembers the ids of short pieces, up to a bound."""
+    """Ids of whole texts.
+
+    The pattern never joins what lies on either side of a lone blank between two other
+    characters, so a text falls into chunks at such blanks. Chunks and their pieces are
+    remembered up to a bound, their ids as the bytes of 32-bit integers.
+    """
+
+    CHUNK = re.compile(r"(?:\s*\S+|\s+)(?:(?! \S)\s+\S*)*")
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, _ = load(path)
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = merge(piece.encode(), self.ranks)
-                if len(piece) <= CACHE_PIECE:
-                    if len(known) >= CACHE_ENTRIES:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+        ranks, split = load(path)[0], regex.compile(pattern).findall
+        self.pieces = Recent(lambda piece: array("i", merge(piece.encode(), ranks)).tobytes(), CACHE_ENTRIES, CACHE_PIECE)
+        self.chunks = Recent(lambda chunk: b"".join(map(self.pieces.__getitem__, split(chunk))), CACHE_ENTRIES, CACHE_PIECE)
+
+    def __call__(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, self.CHUNK.findall(text))), np.int32)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -129,7 +142,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _ENCODERS.get((path, pattern)) or _ENCODERS.setdefault((path, pattern), Encoder(path, pattern))
         for batch in batches:
-            ids = [np.array(coder(t) if t else [], np.int32) for t in batch.column(1).to_pylist()]
+            ids = [coder(t or "") for t in batch.column(1).to_pylist()]
             ends = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=ends[1:])
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
@@ -165,5 +178,10 @@ def digests(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def tokenised(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256``: the ids themselves."""
+    return decode(encode(docs, **options)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     return digests(common.table(spark, sf_dir, "documents"))
