@@ -111,6 +111,12 @@ def test_substrings(documents, corpus):
     assert substrings.dedupe(documents.limit(0)).count() == 0
 
 
+def test_substrings_beyond_the_sketch(documents, corpus, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST_CELLS", 10)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.dedupe(documents).collect()}
+    assert got == brute.substrings(corpus)
+
+
 def test_anchor_is_the_least_gram():
     words = np.random.default_rng(1).integers(0, 2**63, 400).astype(np.uint64)
     grams = substrings.gram_hashes(words, 10)

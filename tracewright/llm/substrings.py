@@ -14,8 +14,9 @@ covers it also starts in a document of smaller id.
 3. A second pass emits only windows estimated at two or more documents, groups them
    exactly by a 96-bit digest, and keeps those of documents above a window's least id.
 
-The merged sketch has a fixed largest size and is what the second pass holds; where the corpus
-outgrows it, estimates rise and more windows are grouped exactly: slower, never wrong.
+The merged sketch has a largest size, as each worker of the second pass holds it. A corpus with more
+anchors than that counts them by shuffle instead, a sketch as wide as its keys, and each
+document gets the list of its repeated anchors by a join. Both ways pass every repeated window on.
 
 Defined cases: null text has no words; texts below WINDOW words lose nothing; a null id is
 never smaller or larger than another, so it neither removes nor loses words; rows of equal
@@ -157,8 +158,15 @@ class Estimates:
         return out
 
 
-def suspects(rows: DataFrame, estimates: Estimates) -> DataFrame:
-    """``h1, h2, doc_id, text_hash, at`` of each window estimated in two documents or more.
+def repeated_anchors(about: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, hot``: of each document, the anchors that two leaders or more hold."""
+    twice = leaders.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    held = about.select("doc_id", "text_hash", F.explode("anchors").alias("anchor")).join(common.checkpoint(twice), "anchor")
+    return held.groupBy("doc_id", "text_hash").agg(F.collect_set("anchor").alias("hot"))
+
+
+def suspects(rows: DataFrame, estimates: Estimates | None) -> DataFrame:
+    """``h1, h2, doc_id, text_hash, at`` of each window estimated in two documents or more: by the sketch, or by the column ``hot``.
 
     Among a batch's documents of the same words only the least id is sent: the others are copies.
     """
@@ -167,18 +175,19 @@ def suspects(rows: DataFrame, estimates: Estimates) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         for batch in batches:
-            first: dict[bytes, tuple[int, int, list[bytes]]] = {}
-            for doc, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            first: dict[bytes, tuple[int, int, list[bytes], list[int]]] = {}
+            for doc, th, text, *hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 w = _words(text)
                 if doc is not None and len(w) >= WINDOW:
                     d = _digest(w)
                     if d not in first or doc < first[d][0]:
-                        first[d] = doc, th, w
+                        first[d] = doc, th, w, hot
             out = [[] for _ in range(5)]
-            for doc, th, w in first.values():
+            for doc, th, w, hot in first.values():
                 h = WORD_HASH.of(w)
                 keys, back = np.unique(anchors(h), return_inverse=True)
-                at = np.flatnonzero(known.repeated(keys)[back])
+                passed = known.repeated(keys) if known else np.isin(keys, np.array(hot[0], np.int64).view(np.uint64))
+                at = np.flatnonzero(passed[back])
                 if len(at):
                     for x, y in zip(out, (gram_hashes(h, WINDOW)[at].view(np.int64), (gram_hashes(h, WINDOW, SECOND_BASE)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), doc), np.full(len(at), th), at.astype(np.int32)), strict=True):
                         x.append(y)
@@ -198,10 +207,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     leaders = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("anchors").alias("anchors"))
     leaders = common.checkpoint(leaders)
     total = leaders.select(F.sum(F.size("anchors"))).first()[0] or 0
-    width = min(MOST_CELLS, max(BLOCK, 1 << (8 * total).bit_length()))
-    # At most ROWS * MOST_CELLS bits (16 MB) come back, whatever the corpus.
-    estimates = Estimates(sketch(leaders.select("anchors"), width).collect(), width)
-    found = common.checkpoint(suspects(rows, estimates))
+    if total <= MOST_CELLS:
+        width = min(MOST_CELLS, max(BLOCK, 1 << (8 * total).bit_length()))
+        # At most ROWS * MOST_CELLS bits (16 MB) come back, whatever the corpus.
+        found = suspects(rows, Estimates(sketch(leaders.select("anchors"), width).collect(), width))
+    else:
+        found = suspects(common.join_rows(rows, repeated_anchors(known, leaders)), None)
+    found = common.checkpoint(found)
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
     windows = found.join(common.checkpoint(first), ["h1", "h2"]).where("doc_id > first").select("doc_id", "text_hash", "at")
     spans = windows.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("at"))
