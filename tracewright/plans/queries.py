@@ -534,7 +534,7 @@ def induction_variables(spark, sf_dir):
 # Outputs and streams
 
 
-@query("SELECT '\"' || src || '\" -> \"' || snk || '\" [label=' || printf('%.4f', weight) || '];' AS line FROM we", "we")
+@query("SELECT '\"' || src || '\" -> \"' || snk || '\" [label=' || printf('%.4f', round(weight, 4)) || '];' AS line FROM we", "we")
 def dot_export(spark, sf_dir):
     return text.dot_edges(V.wide_edges(spark, sf_dir))
 

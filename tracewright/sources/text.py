@@ -11,7 +11,7 @@ from tracewright.operators import deps
 def dot_edges(edges: DataFrame, style: Column | None = None) -> DataFrame:
     """``line``: one dot statement an edge, labelled with its weight to four digits; kinds have styles."""
     look = style if style is not None else F.lit("")
-    label = F.format_string("%.4f", F.col("weight"))
+    label = F.format_string("%.4f", F.round("weight", 4))
     return edges.select(F.concat(F.lit('"'), F.col("src").cast("string"), F.lit('" -> "'), F.col("snk").cast("string"), F.lit('" [label='), label, look, F.lit("];")).alias("line"))
 
 
