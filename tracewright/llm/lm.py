@@ -77,6 +77,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def threshold(counts: DataFrame) -> int:
+    """The least count such that at most KNOWN words have it or more.
+
+    Words are counted by the logarithm of their count, in 64 steps an octave: a bounded
+    number of rows, while the top of a sort would send KNOWN rows from every partition.
+    """
+    steps = counts.groupBy(F.floor(64 * F.log2("c")).alias("step")).agg(F.min("c").alias("least"), F.count("*").alias("n")).collect()
+    least, total = 1 << 62, 0
+    for r in sorted(steps, key=lambda r: -r.step):
+        total += r.n
+        if total > KNOWN:
+            break
+        least = r.least
+    return least
+
+
 class Vocabulary:
     """The bounded dictionary: symbol and count of frequent words, size of the classes, corpus totals."""
 
@@ -312,11 +328,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = common.checkpoint(word_counts(training.select("text")))
     words, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     ends = training.count()
-    frequent = [(r[0], r[1]) for r in counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()]
-    rare = counts
-    if frequent:
-        word, least = frequent[-1]
-        rare = counts.where((F.col("c") < least) | (F.col("c") == least) & (F.col("word") > word))
+    least = threshold(counts)
+    frequent = sorted(((r[0], r[1]) for r in counts.where(F.col("c") >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+    rare = counts.where(F.col("c") < least)
     of_class = (F.crc32(F.col("word").cast("binary")) % CLASSES).cast("int")
     classes = {r[0]: (r[1], r[2]) for r in rare.groupBy(of_class.alias("r")).agg(F.sum("c"), F.count("*")).collect()}
     v = Vocabulary(frequent, classes, (words or 0) + ends, distinct + (ends > 0), ends)
