@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.iterate import stars
+
 from . import common
 from .common import WORD_HASH, gram_hashes, mix
 
@@ -95,24 +97,8 @@ def profile(docs: DataFrame, prefix: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``id, root`` of every id in the undirected edges ``a, b``: root is the least id of its component.
-
-    Alternating large and small stars; each round is checkpointed and ends when no edge changes.
-    """
-    star = common.checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # Large star: larger neighbours point at the least one around.
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        # Small star: a node and its smaller neighbours point at the least of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = common.checkpoint(large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct())
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        star, before = small, now
+    """``id, root`` of every id in the undirected edges ``a, b``: root is the least id of its component."""
+    star = stars(edges)
     return star.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
 
 
