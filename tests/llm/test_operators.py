@@ -239,6 +239,18 @@ def test_contamination(spark, documents, corpus):
     assert decontaminate.keep_clean(documents, bench).count() == sum(hit == 0 for _, hit, _ in want.values())
 
 
+def test_contamination_of_documents_shorter_than_a_window(spark):
+    """An item of five words makes documents keep all five-word hashes, which meet those of long items."""
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
+    items = [(1, " ".join(long)), (2, "one two three four five")]
+    docs = [(i, " ".join(long[i : i + 7])) for i in range(8)] + [(20, "so one two three four five then"), (21, " ".join(long[:9])), (22, " ".join(long[:10])), (23, "x y " + " ".join(long))]
+    want = brute.contamination(docs, items)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.report(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.items_sha256) for r in got} == {i: (n, hit, brute.sha(",".join(ids))) for i, (n, hit, ids) in want.items()}
+    assert {i for i, (_, hit, _) in want.items() if hit} == {20, 22, 23}
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a@b.co and some text"), (None, None), (1, "same words here now ok then"), (1, "same words here now ok then")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "and some text")], "item_id long, text string")

@@ -91,7 +91,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     hits = common.broadcast_if_small(common.checkpoint(hits), 32 + 16 * F.size("hits"))
     # Extension: each hit lies in at most SPAN windows of its length; compare their words.
-    around = lambda h, n: F.when(h["n"] < WINDOW, F.array(h["at"])).otherwise(F.sequence(F.greatest(h["at"] - (SPAN - 1), F.lit(0)), F.least(h["at"], n - WINDOW)))
+    # A short text can meet a long item's print through the hashes kept for short items, but has no window.
+    around = lambda h, n: F.when(h["n"] < WINDOW, F.array(h["at"])).when(n >= WINDOW, F.sequence(F.greatest(h["at"] - (SPAN - 1), F.lit(0)), F.least(h["at"], n - WINDOW))).otherwise(F.array().cast("array<int>"))
     spans = lambda w, hs: F.array_distinct(F.flatten(F.transform(hs, lambda h: F.transform(around(h, F.size(w)), lambda i: F.struct(i.alias("at"), h["n"].alias("n"), _run(w, i, h["n"]).alias("window"))))))
     # Equal rows share one result.
     near = common.join_rows(rows, hits).select("doc_id", "text_hash", F.explode(let(tokens(F.col("text")), lambda w: spans(w, F.col("hits")))).alias("s")).select("doc_id", "text_hash", "s.*")
