@@ -147,6 +147,19 @@ def test_language_model_learns_topics(spark):
     assert sum(r.score for r in out) / n > sum(r.base_score for r in out) / n + 0.1
 
 
+def test_language_model_gives_every_word_its_own_emission(spark, monkeypatch):
+    """Words outside the dictionary are trained as those in it are: the scores don't depend on where it ends."""
+    rng = random.Random(11)
+    texts = [" ".join(f"{topic}{rng.randrange(60)}" for _ in range(rng.randrange(60))) + f" unique{i}" for topic in ("a", "b") for i in range(60)] + [None, "", "never seen"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r for r in lm.score(df).collect()}
+    for known in (0, 30):
+        monkeypatch.setattr(lm, "KNOWN", known)
+        for r in lm.score(df).collect():
+            assert (r.n_tokens, r.n_known) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known)
+            assert (r.base_score, r.score) == (pytest.approx(whole[r.doc_id].base_score), pytest.approx(whole[r.doc_id].score, abs=1e-2, rel=1e-4))
+
+
 def test_hmm_recursions():
     rng = np.random.default_rng(1)
     model = lm.Model.first(np.full(300, 1 / 300))

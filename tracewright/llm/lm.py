@@ -3,18 +3,18 @@
 Tokens are lower-case words (A-Z) between ASCII blanks, and one end a text. Counts of all
 training words are gathered by shuffle. Of these
 
-* the ``KNOWN`` most frequent go to the workers with their counts (a bounded dictionary);
-* the ``STATE_WORDS`` most frequent of them are symbols of the hidden Markov model; every
-  other word belongs to one of ``CLASSES`` symbols by its checksum, inside which it has the
-  probability (c + 1) / (T + V + 1) of T tokens and V words there. That factor doesn't
-  depend on the state, so the likelihood stays exact;
-* rarer words meet the count table in a shuffle join. By choice of the dictionary none of them is
-  frequent, so no key is hot.
+* the ``KNOWN`` most frequent, the end and one symbol for words unseen in training are a bounded
+  dictionary: it goes to the workers with its emissions, and the driver gets its expected counts;
+* every rarer training word has an emission of its own too, in a table that grows with the input and stays
+  distributed: its expected counts are summed by shuffle, and texts meet them in a shuffle join on the
+  word's id. By choice of the dictionary none of these words is frequent, so no key is hot.
+
+Where the dictionary ends changes the cost alone: a word's first emission depends on the word and its count,
+and a state's norm follows from its total.
 
 ``STATES`` latent states are trained by Baum-Welch on every training text: each partition
 runs the scaled forward and backward recursions and adds up expected counts, in fixed point so that
-sums don't depend on their order; the driver gets one row a symbol, a bounded number. Texts
-are cut into runs of ``RUN`` tokens whose transfer matrices are computed side by side and
+sums don't depend on their order. Texts are cut into runs of ``RUN`` tokens whose transfer matrices are computed side by side and
 then chained, which is the same recursion in another order of multiplication.
 
 Defined cases: null or empty text is one end token; a null id counts as training; repeated
@@ -24,6 +24,7 @@ the id and text columns are read.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,14 +32,17 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-KNOWN, STATE_WORDS, CLASSES = 200_000, 60_000, 4096
+KNOWN = 200_000
 STATES, PASSES, RUN = 4, 4, 128
-END = CLASSES  # symbols: classes, the end, then the state words
+END, UNSEEN = 0, 1  # symbols: these, then the dictionary's words; rarer ones of a text are -1, -2, ...
+#: A symbol that two bytes can't hold.
+WIDE = 0xFFFF
 FIXED = 1 << 20
 #: Tokens, and share of a state's tokens, that the corpus shares count for in its emissions.
 LEAN = (200, 0.05)
@@ -94,77 +98,89 @@ def threshold(counts: DataFrame) -> int:
 
 
 class Vocabulary:
-    """The bounded dictionary: symbol and count of frequent words, size of the classes, corpus totals."""
+    """The bounded dictionary: symbol and count of frequent words, corpus totals."""
 
-    def __init__(self, frequent: list[tuple[str, int]], classes: dict[int, tuple[int, int]], tokens: int, distinct: int, ends: int):
+    def __init__(self, frequent: list[tuple[str, int]], tokens: int, distinct: int, ends: int):
         self.tokens, self.distinct, self.ends = tokens, distinct, ends
         self.all = tokens + distinct + 1
-        self.size = np.zeros((CLASSES, 2), np.int64)
-        for r, (t, v) in classes.items():
-            self.size[r] = t, v
         words = [(w.encode(), c) for w, c in frequent]
-        own = words[:STATE_WORDS]
-        for w, c in words[STATE_WORDS:]:
-            self.size[zlib.crc32(w) % CLASSES] += c, 1
-        self.symbols = CLASSES + 1 + len(own)
-        counts = np.ones(self.symbols)
-        counts[:CLASSES] += self.size[:, 0]
-        counts[END] += ends
-        counts[END + 1 :] += [c for _, c in own]
-        self.share = counts / counts.sum()
-        #: word -> symbol, log10 of the base probability, log10 inside its symbol
-        self.known = {w: (END + 1 + i, log10((c + 1) / self.all), 0.0) for i, (w, c) in enumerate(own)}
-        for w, c in words[STATE_WORDS:]:
-            r = zlib.crc32(w) % CLASSES
-            self.known[w] = r, log10((c + 1) / self.all), log10((c + 1) / (self.size[r, 0] + self.size[r, 1] + 1))
+        self.symbols = 2 + len(words)
+        #: Sums to 1 with the shares (c + 1) / all of the other training words.
+        self.counts = np.array([ends + 1, 1, *(c + 1 for _, c in words)], np.int64)
+        self.share = self.counts / self.all
+        self.marks = np.array([END, UNSEEN, *(zlib.crc32(w) for w, _ in words)], np.uint64)
+        #: word -> symbol, log10 of the base probability
+        self.known = {w: (2 + i, log10((c + 1) / self.all)) for i, (w, c) in enumerate(words)}
 
 
 def encode(rows: DataFrame, vocabulary) -> DataFrame:
-    """Symbols of each text with the sums over its frequent words, and its other words."""
+    """Symbols of each text with the sum over its frequent words, and its other words, each once with its number and checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         known, end = v.known, log10((v.ends + 1) / v.all)
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(8)]
             for text in batch.column(2).to_pylist():
                 words = _split(text)
                 found = list(map(known.get, words))
-                rare = [w for w, f in zip(words, found, strict=True) if f is None]
-                ids = [f[0] if f else zlib.crc32(w) % CLASSES for w, f in zip(words, found, strict=True)] if rare else [f[0] for f in found]
-                hit = [f for f in found if f] if rare else found
+                rare = Counter(w for w, f in zip(words, found, strict=True) if f is None)
+                place = {w: (-1 - i, 0.0) for i, w in enumerate(rare)}
+                ids = [(f or place[w])[0] for w, f in zip(words, found, strict=True)] if rare else [f[0] for f in found]
                 ids.append(END)
-                for x, y in zip(out, (len(ids), len(hit) + (v.ends > 0), sum(f[1] for f in hit) + end, sum(f[2] for f in hit), np.array(ids, np.uint16).tobytes(), rare), strict=True):
+                ids = np.array(ids, np.int32)
+                big = (ids < 0) | (ids >= WIDE)
+                base = sum(f[1] for f in found if f) + end
+                short = np.where(big, WIDE, ids).astype(np.uint16).tobytes()
+                marks = np.array([zlib.crc32(w) for w in rare], np.uint32).tobytes()
+                for x, y in zip(out, (len(ids), len(found) - rare.total() + (v.ends > 0), base, short, ids[big].tobytes(), marks, list(rare), list(rare.values())), strict=True):
                     x.append(y)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
             arrays = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
-            arrays[5] = arrays[5].cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "symbols", "rare"])
+            arrays[6] = arrays[6].cast(pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n_tokens", "n_known", "base", "symbols", "wide", "marks", "rare", "times"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, symbols binary, wide binary, marks binary, rare array<string>, times array<int>")
+
+
+def _tilt(marks: np.ndarray) -> np.ndarray:
+    """What the first model multiplies shares by, in 2**-20: about one half to three halves, by a hash of word and state."""
+    at = np.asarray(marks, np.uint64)[:, None] * np.uint64(STATES) + np.arange(1, STATES + 1, dtype=np.uint64)
+    return (common.mix(at) >> np.uint64(44)).astype(np.int64) + (1 << 19)
+
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, inside double, symbols binary, rare array<string>")
+def tilted(counts: np.ndarray, marks: np.ndarray) -> list[int]:
+    """Sum of the tilted counts, exact in any order."""
+    return (np.asarray(counts, np.int64)[:, None] * _tilt(marks)).sum(axis=0).tolist()
 
 
 class Model:
-    """Start, transition and emission probabilities."""
+    """Start, transition and emission probabilities; of words outside the dictionary ``rare`` makes them of their counts."""
 
-    def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray):
-        self.start, self.moves, self.emits = start, moves, emits
+    def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray, norm: np.ndarray, lean: np.ndarray | None = None):
+        self.start, self.moves, self.emits, self.norm, self.lean = start, moves, emits, norm, lean
 
     @classmethod
-    def first(cls, share: np.ndarray) -> Model:
-        """States that stay, with emissions around the corpus shares; a hash of symbol and state breaks the tie."""
-        noise = common.mix(np.arange(1, STATES * len(share) + 1, dtype=np.uint64)).reshape(len(share), STATES) / 2.0**64
-        emits = share[:, None] * (0.5 + noise)
+    def first(cls, share: np.ndarray, marks: np.ndarray | None = None, norm: np.ndarray | None = None) -> Model:
+        """States that stay, with emissions around the corpus shares; a hash of word and state breaks the tie."""
+        emits = share[:, None] * (_tilt(np.arange(len(share)) if marks is None else marks) / 2.0**20)
+        norm = emits.sum(axis=0) if norm is None else norm
         moves = np.full((STATES, STATES), 0.1 / (STATES - 1))
         np.fill_diagonal(moves, 0.9)
-        return cls(np.full(STATES, 1 / STATES), moves, emits / emits.sum(axis=0))
+        return cls(np.full(STATES, 1 / STATES), moves, emits / norm, norm)
 
     @classmethod
-    def from_counts(cls, start, moves, emits, share) -> Model:
-        """Maximisation; each state's emissions lean on the corpus shares."""
-        emits = emits + share[:, None] * (LEAN[0] + LEAN[1] * emits.sum(axis=0))
+    def from_counts(cls, start, moves, emits, share, total) -> Model:
+        """Maximisation; each state's emissions lean on the corpus shares, which sum to 1. ``total`` is over all words."""
+        lean = LEAN[0] + LEAN[1] * total
+        norm = total + lean
         moves = moves + 1
-        return cls((start + 1) / (start + 1).sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+        return cls((start + 1) / (start + 1).sum(), moves / moves.sum(axis=1, keepdims=True), (emits + share[:, None] * lean) / norm, norm, lean)
+
+    def rare(self, share: np.ndarray, marks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if self.lean is None:
+            return share[:, None] * (_tilt(marks) / 2.0**20) / self.norm
+        return (counts / FIXED + share[:, None] * self.lean) / self.norm
 
 
 class Batch:
@@ -271,52 +287,141 @@ class Batch:
         return start, moves * m.moves, emits
 
 
-def _texts(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
-
-
-def baum_welch(symbols: DataFrame, model: Model, share: np.ndarray) -> Model:
-    """One pass over every text of the one column of symbols."""
-    shared = symbols.sparkSession.sparkContext.broadcast(model)
+class Coded:
+    """A batch of texts with the emissions of its own rare words behind the dictionary's."""
+
+    def __init__(self, batch: pa.RecordBatch, m: Model, total: int):
+        column = batch.column
+        flat = lambda x: x.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.here, self.ids = len(m.emits), flat(column("ids"))
+        size = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(size(column("ids")))])
+        self.texts = []
+        for at, symbols, wide in zip(first.tolist(), column("symbols").to_pylist(), column("wide").to_pylist(), strict=False):
+            t = np.frombuffer(symbols, np.uint16)
+            if wide:
+                t, wide = t.astype(np.int64), np.frombuffer(wide, np.int32).astype(np.int64)
+                t[t == WIDE] = np.where(wide >= 0, wide, self.here + at - 1 - wide)
+            self.texts.append(t)
+        if not len(self.ids):
+            self.model = m
+            return
+        counts, met = np.zeros((len(self.ids), STATES), np.int64), column("met")
+        found = met.flatten()
+        if len(found):
+            at = np.repeat(first[:-1], size(met)) + found.field(0).to_numpy()
+            counts[at] = np.stack([found.field(1 + k).to_numpy() for k in range(STATES)], axis=1)
+        marks = np.frombuffer(b"".join(column("marks").to_pylist()), np.uint32)
+        rare = m.rare((flat(column("cs")) + 1) / total, marks, counts)
+        # A word that training never saw.
+        rare[self.ids == UNSEEN] = m.emits[UNSEEN]
+        self.model = Model(m.start, m.moves, np.concatenate([m.emits, rare]), m.norm, m.lean)
+
+
+_MET = ["symbols", "wide", "marks", "ids", "cs", "met"]
+
+
+def meet(coded: DataFrame, table: DataFrame | None) -> DataFrame:
+    """``coded`` with ``met``, the expected counts of each text's rare words; empty before the first pass."""
+    kind = "array<struct<at:int," + ",".join(f"s{k}:bigint" for k in range(STATES)) + ">>"
+    if table is None:
+        return coded.withColumn("met", F.lit(None).cast(kind))
+    each = coded.where(F.size("ids") > 0).select("row", F.posexplode("ids").alias("at", "id")).where("id < 0")
+    table = common.broadcast_if_small(table, 8 + 8 * STATES)
+    met = each.join(table, "id").groupBy("row").agg(F.collect_list(F.struct("at", *(f"s{k}" for k in range(STATES)))).alias("met"))
+    return coded.join(met.hint("merge"), "row", "left")
+
+
+def baum_welch(coded: DataFrame, table: DataFrame | None, model: Model, v: Vocabulary) -> tuple[Model, DataFrame]:
+    """One pass over every training text: the next model, and the expected counts of rare words."""
+    all_, shared = v.all, coded.sparkSession.sparkContext.broadcast(model)
+
+    def rows(at: np.ndarray, fixed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(at), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 10_000]), *(pa.array(fixed[i : i + 10_000, k]) for k in range(STATES))], ["id", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        total = np.zeros((len(m.emits) + STATES + 1, STATES))  # emissions, then moves, then starts
+        here = len(m.emits)
+        total = np.zeros((here + STATES + 1, STATES))  # emissions, then moves, then starts
+        sums = np.zeros((1, STATES), np.int64)  # of rare words
         for batch in batches:
             if batch.num_rows:
-                start, moves, emits = Batch(_texts(batch.column(0))).expected(m)
-                total[: len(emits)] += emits
-                total[len(emits) : -1] += moves
+                c = Coded(batch, m, all_)
+                start, moves, emits = Batch(c.texts).expected(c.model)
+                total[:here] += emits[:here]
+                total[here:-1] += moves
                 total[-1] += start
+                if len(c.ids):
+                    ids, at = np.unique(c.ids, return_inverse=True)
+                    own = np.zeros((len(ids), STATES))
+                    np.add.at(own, at, emits[here:])
+                    fixed = np.rint(own * FIXED).astype(np.int64)
+                    sums += fixed.sum(axis=0)
+                    yield from rows(ids, fixed)
         fixed = np.rint(total * FIXED).astype(np.int64)
         some = np.flatnonzero(fixed.any(axis=1))
-        for at in range(0, len(some), 10_000):
-            part = some[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(fixed[part, k]) for k in range(STATES))], ["row", *(f"s{k}" for k in range(STATES))])
+        yield from rows(some, fixed[some])
+        yield from rows(np.array([here + STATES + 1]), sums)
 
     names = [f"s{k}" for k in range(STATES)]
-    sent = symbols.mapInArrow(run, "row long, " + ", ".join(f"{x} long" for x in names))
-    total = np.zeros((len(model.emits) + STATES + 1, STATES))
-    for r in sent.groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).collect():
-        total[r[0]] = r[1:]
+    sent = meet(coded, table).select(*_MET).mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in names))
+    sent = common.checkpoint(sent.groupBy("id").agg(*(F.sum(x).alias(x) for x in names)))
+    n = len(model.emits)
+    total = np.zeros((n + STATES + 2, STATES))
+    bounded = sent.where("id >= 0").toArrow()
+    total[bounded.column("id").to_numpy()] = np.stack([bounded.column(x).to_numpy() for x in names], axis=1)
     total /= FIXED
-    return Model.from_counts(total[-1], total[len(model.emits) : -1], total[: len(model.emits)], share)
+    emits = total[:n]
+    return Model.from_counts(total[-2], total[n:-2], emits, v.share, emits.sum(axis=0) + total[-1]), sent.where("id < 0")
 
 
-def likelihood(coded: DataFrame, model: Model) -> DataFrame:
+def likelihood(coded: DataFrame, table: DataFrame | None, model: Model, v: Vocabulary) -> DataFrame:
     """``coded`` without its symbols, and ``states``, the log10 likelihood of those."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in coded.columns if c not in ("symbols", "rare")]
+    all_, shared = v.all, coded.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in coded.columns if c not in (*_MET, "row")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                b = Batch(_texts(batch.column(batch.num_columns - 1)))
-                _, total = b.forward(*b.transfers(shared.value))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total / np.log(10))], [*kept, "states"])
+                c = Coded(batch, shared.value, all_)
+                b = Batch(c.texts)
+                _, total = b.forward(*b.transfers(c.model))
+                yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(total / np.log(10))], [*kept, "states"])
 
     kind = ", ".join(f"{c} {coded.schema[c].dataType.simpleString()}" for c in kept)
-    return coded.select(*kept, "symbols").mapInArrow(run, f"{kind}, states double")
+    return meet(coded, table).select(*kept, *_MET).mapInArrow(run, f"{kind}, states double")
+
+
+def first_norm(rare: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Each state's sum of the first model's emissions over all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                marks = np.array([zlib.crc32(w.encode()) for w in b.column(0).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in tilted(b.column(1).to_numpy() + 1, marks)], names)
+
+    names = [f"s{k}" for k in range(STATES)]
+    found = rare.select("word", "c").mapInArrow(run, ", ".join(f"{x} long" for x in names)).agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in names)).first()
+    return np.array([a + b for a, b in zip(found, tilted(v.counts, v.marks), strict=True)], float) / 2.0**20 / v.all
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """A checkpoint that stays dealt by ``row``: adaptive plans forget how they were dealt."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return common.checkpoint(df)
+    finally:
+        spark.conf.set(key, before)
+
+
+def release(spark) -> None:
+    """Lets Spark's cleaner drop the shuffles and checkpoints that nothing refers to any more; it follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,38 +430,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     common.small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     training = rows.where(~F.col("held_out"))
-    counts = common.checkpoint(word_counts(training.select("text")))
+    counts = common.checkpoint(word_counts(training.select("text")).withColumn("id", -1 - F.monotonically_increasing_id()))
     words, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     ends = training.count()
     least = threshold(counts)
     frequent = sorted(((r[0], r[1]) for r in counts.where(F.col("c") >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
     rare = counts.where(F.col("c") < least)
-    of_class = (F.crc32(F.col("word").cast("binary")) % CLASSES).cast("int")
-    classes = {r[0]: (r[1], r[2]) for r in rare.groupBy(of_class.alias("r")).agg(F.sum("c"), F.count("*")).collect()}
-    v = Vocabulary(frequent, classes, (words or 0) + ends, distinct + (ends > 0), ends)
+    v = Vocabulary(frequent, (words or 0) + ends, distinct + (ends > 0), ends)
     coded = common.checkpoint(encode(rows, spark.sparkContext.broadcast(v)).withColumn("row", F.monotonically_increasing_id()))
 
-    # At most CLASSES rows: a proven bound.
-    sizes = F.broadcast(spark.createDataFrame([(r, int(t + n)) for r, (t, n) in enumerate(v.size)], "r int, size long"))
     c = F.coalesce("c", F.lit(0))
-    met = coded.select("row", F.explode("rare").alias("word")).join(rare, "word", "left").withColumn("r", of_class).join(sizes, "r")
-    met = met.groupBy("row").agg(F.sum(F.log10((c + 1) / v.all)).alias("more_base"), F.sum(F.log10((c + 1) / (F.col("size") + 1))).alias("more_inside"), F.sum((c > 0).cast("long")).alias("more_known"))
+    each = coded.where(F.size("rare") > 0).select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("at", "x")).select("row", "at", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
+    own = F.sort_array(F.collect_list(F.struct("at", F.coalesce("id", F.lit(UNSEEN)).alias("id"), c.alias("c"))))
+    met = each.join(rare.hint("merge"), "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 1) / v.all)).alias("more_base"), F.sum(F.when(c > 0, F.col("n").cast("long")).otherwise(0)).alias("more_known"), own.alias("own"))
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    coded = coded.drop("rare", "times").join(met.hint("merge"), "row", "left")
+    coded = placed(coded.select("row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), (F.col("base") + zero("more_base")).alias("base"), "symbols", "wide", "marks", F.col("own.id").alias("ids"), F.col("own.c").alias("cs")))
 
-    model = Model.first(v.share)
-    symbols = coded.where(~F.col("held_out")).select("symbols")
+    model, table = Model.first(v.share, v.marks, first_norm(rare, v)), None
+    del counts, rare, each, met
     for _ in range(PASSES):
-        model = baum_welch(symbols, model, v.share)
-    scored = likelihood(coded, model).join(met, "row", "left")
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return scored.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + zero("more_known")).alias("n_known"),
-        F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more_base")).alias("base_score"),
-        (F.col("states") + F.col("inside") + zero("more_inside")).alias("score"),
-    )
+        release(spark)
+        model, table = baum_welch(coded.where(~F.col("held_out")), table, model, v)
+    release(spark)
+    return likelihood(coded, table, model, v).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("states").alias("score"))
 
 
 def op6_lm(spark, sf_dir: str) -> DataFrame:
