@@ -58,6 +58,17 @@ def test_pii_context_finds_unseen_identifiers(spark):
     assert "<phone> thanks" in {r.doc_id: r.text for r in pii.redact(df).collect()}[13]
 
 
+def test_pii_bootstraps_until_no_instance_is_added(spark):
+    """Each step of the chain is trusted by the instances of the step before: five rounds."""
+    rng = random.Random(6)
+    words, sizes = ("alpha", "beta", "gamma", "delta", "eta", "theta"), (121, 40, 13, 4, 1)
+    texts = [f"my alpha is +1 {rng.randrange(10**9, 10**10)} thanks" for _ in range(364)]
+    values = [[f"id{k}q{n:05d}" for n in range(size)] for k, size in enumerate(sizes)]
+    texts += [f"my {words[k + d]} is {v} thanks" for k, step in enumerate(values) for v in step for d in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all("is <phone> thanks" in r.text for r in pii.redact(df).collect())
+
+
 def test_bpe(documents, corpus, reference_encoding):
     got = {r.doc_id: r for r in bpe.digests(documents).collect()}
     assert len(got) == len(corpus)

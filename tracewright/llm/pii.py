@@ -11,7 +11,7 @@ entity (lower case, digits as 0). Identifier-shaped tokens that no base span tou
 candidate instances of the pattern before them. Patterns and instances form a graph that is
 scored in rounds: a pattern by its share of known instances (with ``SUPPORT`` distinct ones
 at least), an unknown instance by the patterns that hold it, 1 - prod(1 - confidence);
-instances above ``ACCEPT`` become known, for ``ROUNDS`` rounds or until none is added. All
+instances above ``ACCEPT`` become known, until none is added. All
 occurrences of the accepted instances are added as spans of the kind they were found by.
 
 Defined cases: null or empty text has no spans; null and repeated ids are rows of their own
@@ -39,7 +39,7 @@ PATTERNS = {
 CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,16}[0-9])[A-Za-z0-9][A-Za-z0-9._/:-]{4,62}[A-Za-z0-9](?![A-Za-z0-9])"
 #: Characters before an entity that are searched for its pattern, and the pattern's words.
 REACH, CONTEXT = 64, 2
-SUPPORT, CONFIDENT, ACCEPT, ROUNDS = 3, 0.5, 0.75, 3
+SUPPORT, CONFIDENT, ACCEPT = 3, 0.5, 0.75
 _CHUNK = 256
 
 
@@ -126,7 +126,8 @@ def discover(found: DataFrame) -> DataFrame | None:
     known = common.checkpoint(known)
     unknown = common.checkpoint(free.groupBy("context", "value").agg(F.lit(1).alias("one")).drop("one"))
     accepted = None
-    for _ in range(ROUNDS):
+    # A round takes what it accepts out of ``unknown``, so there is a last one.
+    while True:
         seen = known.groupBy("context", "kind").agg(F.count("*").alias("n")).groupBy("context").agg(F.sum("n").alias("all"), F.max(F.struct("n", -F.col("kind"))).alias("best")).where(F.col("best.n") >= SUPPORT)
         other = unknown.groupBy("context").agg(F.count("*").alias("others"))
         confidence = F.col("best.n") / (F.col("all") + F.col("others"))
@@ -139,7 +140,7 @@ def discover(found: DataFrame) -> DataFrame | None:
         fresh = common.checkpoint(best)
         if fresh.isEmpty():
             break
-        accepted = fresh if accepted is None else accepted.unionByName(fresh)
+        accepted = fresh if accepted is None else common.checkpoint(accepted.unionByName(fresh))
         known = common.checkpoint(known.unionByName(unknown.join(fresh, "value").select("context", "kind", "value")))
         unknown = common.checkpoint(unknown.join(fresh.select("value"), "value", "left_anti"))
     if accepted is None:
