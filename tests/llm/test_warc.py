@@ -57,3 +57,13 @@ def test_codings_and_other_media():
     odd = warc.record("response", "<urn:uuid:4>", b"HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=nope\r\n\r\n\xff", "application/http")
     assert warc.derivatives(odd)[1]["block"] == "�".encode()
     assert list(warc.parse(io.BytesIO(warc.to_bytes(source)[:-20]))) == []
+
+
+def test_derivatives_keep_the_source_headers(spark, tmp_path):
+    more = {"WARC-IP-Address": "192.0.2.7", "WARC-Warcinfo-ID": "<urn:uuid:9>", "WARC-Truncated": "length"}
+    source = warc.response("1", "http://a/", b"<p>x") | {"headers": list(more.items()), "concurrent_to": "<urn:uuid:8>"}
+    (tmp_path / "a.warc").write_bytes(warc.to_bytes(source))
+    found = {r.type: r for r in warc.derive(warc.read(spark, str(tmp_path))).collect()}
+    fields = dict(x.split(": ", 1) for x in bytes(found["metadata"].block).decode().split("\r\n") if x)
+    assert {k: fields[f"source-{k}"] for k in more} == more
+    assert (fields["source-block-digest"], fields["source-payload-digest"], fields["source-WARC-Concurrent-To"]) == (source["block_digest"], source["payload_digest"], "<urn:uuid:8>")

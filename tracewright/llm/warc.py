@@ -6,8 +6,8 @@ fetched pages, ``read`` of WARC files (plain or gzip, record by record); ``deriv
 ``serialise`` the bytes of a record.
 
 A derivative keeps the source's target URI and date, and refers to its record id. The metadata record
-lists the source's payload digest, HTTP status and HTTP header fields as ``warc-fields``, with the length and digest
-of the text; it is concurrent to the conversion record. The conversion's block is the visible text (``html.render``) of an
+lists the source's payload and block digests, its links and other WARC header fields (``source-``), HTTP status and HTTP
+header fields as ``warc-fields``, with the length and digest of the text; it is concurrent to the conversion record. The conversion's block is the visible text (``html.render``) of an
 HTML payload, or a plain-text payload as it is, in UTF-8. Digests are SHA-1 in base 32. Ids are name-based
 UUIDs of source id and kind, so a task that runs again makes the same records.
 
@@ -106,7 +106,9 @@ def derivatives(source: dict) -> list[dict]:
     rid, uri, date = source["record_id"], source["target_uri"], source["date"]
     payload = source["payload_digest"] or digest(body)
     shared = {"refers_to": rid, "target_uri": uri, "date": date}
-    listed = [("source-payload-digest", payload), ("http-status", status)] + [(f"http-{k}", v) for k, v in fields]
+    kept = [("source-payload-digest", payload), ("source-block-digest", source["block_digest"]), ("source-WARC-Refers-To", source["refers_to"]), ("source-WARC-Concurrent-To", source["concurrent_to"])]
+    kept += [(f"source-{k}", v) for k, v in dict(source["headers"] or {}).items()]
+    listed = [(k, v) for k, v in kept if v is not None] + [("http-status", status)] + [(f"http-{k}", v) for k, v in fields]
     out, conversion = [], None
     if kind in ("text/html", "application/xhtml+xml", "text/plain"):
         charset = re.search(r"charset=\"?([\w.:-]+)", media, re.I)
@@ -191,7 +193,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def derive(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of the responses among ``records``."""
     common.small_batches(records.sparkSession)
-    rows = records.where("type = 'response'").select("record_id", "target_uri", "date", "payload_digest", "block")
+    rows = records.where("type = 'response'").select("record_id", "target_uri", "date", "refers_to", "concurrent_to", "payload_digest", "block_digest", "headers", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(d for b in batches for r in b.to_pylist() for d in derivatives(r))
