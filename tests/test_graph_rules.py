@@ -143,3 +143,9 @@ def test_counting_property(spark):
     pairs = spark.range(300).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 25)).alias("snk"))
     hub = spark.range(5000).select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("snk"))
     assert counts.edge_counts(pairs.union(hub)).where("freq <> 1").count() == 0
+
+
+def test_simple_cycles_have_no_bound(spark):
+    ring = spark.createDataFrame([(i, i % 10 + 1) for i in range(1, 11)] + [(3, 1)], "src long, snk long")
+    assert sorted(r.path for r in paths.simple_cycles(ring).collect()) == [[1, 2, 3], list(range(1, 11))]
+    assert [r.path for r in paths.simple_cycles(ring, longest=3).collect()] == [[1, 2, 3]]

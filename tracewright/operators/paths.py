@@ -62,19 +62,21 @@ def has_cycle(edges: DataFrame) -> bool:
     return not cycle_core(edges).isEmpty()
 
 
-def simple_cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
-    """``path``: each simple cycle of at most ``longest`` nodes once, from its least node."""
+def simple_cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """``path``: each simple cycle (of at most ``longest`` nodes) once, from its least node."""
     step = checkpoint(edges.select("src", "snk").distinct())
     paths = step.select(F.array("src").alias("path"), F.col("snk").alias("at"))
-    found = None
-    for k in range(longest):
+    found, k = None, 1
+    while True:
         closed = paths.where(F.col("at") == F.col("path")[0]).select("path")
         found = closed if found is None else found.unionByName(closed)
-        if k + 1 == longest:
+        if k == longest:
             break
         grown = paths.where((F.col("at") > F.col("path")[0]) & ~F.array_contains("path", F.col("at")))
         grown = grown.select(F.concat("path", F.array("at")).alias("path"), F.col("at").alias("src")).join(step, "src").select("path", F.col("snk").alias("at"))
-        paths = checkpoint(grown)
+        paths, k = checkpoint(grown), k + 1
+        if paths.isEmpty():
+            break
     return found
 
 

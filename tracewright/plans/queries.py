@@ -447,7 +447,7 @@ ORACLE_SQL["ml_cycle_prob"] = with_views("", "e").replace("WITH ", "WITH RECURSI
 
 @query()
 def simple_cycles(spark, sf_dir):
-    return paths.simple_cycles(V.edges(spark, sf_dir), longest=5).select(F.array_join("path", ">").alias("path"))
+    return paths.simple_cycles(V.edges(spark, sf_dir)).select(F.array_join("path", ">").alias("path"))
 
 
 ORACLE_SQL["simple_cycles"] = with_views("", "e").replace("WITH ", "WITH RECURSIVE ", 1) + ", w AS (SELECT [src] AS path, snk AS here FROM e UNION ALL SELECT list_append(path, here), e.snk FROM w JOIN e ON e.src = here WHERE here > path[1] AND NOT list_contains(path, here)) SELECT array_to_string(path, '>') AS path FROM w WHERE here = path[1]"
