@@ -1,13 +1,12 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact comparison disposes.
+"""N-gram Jaccard join: MinHash banding proposes, exact comparison disposes.
 
 A document is the set of its ``SHINGLE``-word runs (a shorter text with words is one run).
 Two documents are linked if their sets have a Jaccard similarity of ``SIMILAR`` or more.
 
 1. Documents of equal sets are copies: one class, led by its least id. Only leaders go on.
-2. Each leader has ``TREES`` labels of ``DEPTH`` min-hashes. A tree's sorted labels form a
-   prefix trie; ``prefix_length`` starts from whole labels and shortens the matched prefix
-   until pairs at the threshold are met in some tree with probability ``RECALL``. Leaders
-   that share a prefix are candidates of each other.
+2. Each leader has ``TREES`` bands of as many min-hashes as ``prefix_length`` gives: the most, up to ``DEPTH``, with
+   which pairs at the threshold meet in some band with probability ``RECALL``. Leaders that share a band are
+   candidates of each other. This is fixed banding in the place of an LSH forest (README says why).
 3. Candidate leaders are grouped into the connected components of those buckets (a star of
    edges for each bucket, never its pairs). A component is cut by hash into blocks of bounded size, and
    each pair of blocks is one task that compares all its documents exactly, by products of
