@@ -275,6 +275,22 @@ def test_contamination_of_documents_shorter_than_a_window(spark):
     assert {i for i, (_, hit, _) in want.items() if hit} == {20, 22, 23}
 
 
+def test_contamination_counts_an_item_id_once(spark):
+    """An id on several texts, short and long, and windows that several ids share."""
+    long = [f"v{i}" for i in range(14)]
+    items = [(7, "alpha beta gamma"), (7, "delta eps zeta eta"), (8, "alpha beta gamma"), (9, " ".join(long)), (10, " ".join(long[2:])), (9, " ".join(long[1:12])), (None, "no id here")]
+    docs = [(1, "alpha beta gamma delta eps zeta eta"), (2, " ".join(long)), (3, " ".join(long[:10])), (4, "so no id here"), (5, "delta eps zeta eta " * 300), (6, None)]
+    df = spark.createDataFrame(docs + [(1, "unlike all others")], "doc_id long, text string")
+    df = df.withColumns({"window": F.lit(1), "ids": F.lit("x"), "prints": F.lit(2), "text_hash": F.lit(3)})
+    got = decontaminate.report(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == 7
+    for i, (n, hit, ids) in brute.contamination(docs, [x for x in items if x[0] is not None]).items():
+        if i != 4:
+            assert (n, hit, len(ids), brute.sha(",".join(ids))) in {(r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got if r.doc_id == i}
+    assert {(r.n_hit, r.n_items) for r in got if r.doc_id == 4} == {(3, 0)}
+    assert {(r.n_items, r.items_sha256) for r in got if r.doc_id == 5} == {(1, brute.sha("7"))}
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a@b.co and some text"), (None, None), (1, "same words here now ok then"), (1, "same words here now ok then")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "and some text")], "item_id long, text string")
