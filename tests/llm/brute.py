@@ -122,3 +122,11 @@ def jaccard(docs, k=5):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {i: (find(lead[s]) if s else i, links[lead[s]] if s else 0) for i, s in sets.items()}
+
+
+def pairs(docs, k=5):
+    """As ``jaccard``, for rows of which only 2n and 2n + 1 can be linked."""
+    out = {}
+    for at in range(0, len(docs), 2):
+        out |= jaccard(docs[at : at + 2], k)
+    return out

@@ -218,21 +218,80 @@ def test_jaccard(documents, corpus):
     assert jaccard.join(documents.limit(0)).count() == 0
 
 
+def near_copies(rng, base, n, most):
+    """Copies of a list of words with up to ``most`` words changed."""
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, most)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        out.append(w)
+    return out
+
+
 def test_jaccard_over_many_blocks(spark, monkeypatch):
-    """A large group of near copies, cut into blocks that are much smaller."""
+    """A large group of near copies of several lengths, cut into blocks that are much smaller."""
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 7)
     rng = random.Random(2)
     base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
-    rows = []
-    for i in range(60):
-        w = list(base)
-        for _ in range(rng.randint(0, 3)):
-            w[rng.randrange(120)] = f"z{rng.randrange(10_000)}"
-        rows.append((i, " ".join(w)))
+    texts = near_copies(rng, base, 60, 3) + [w[: rng.randrange(70, 120)] for w in near_copies(rng, base, 40, 1)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.jaccard(rows)
 
 
+def test_jaccard_of_texts_that_share_boilerplate(spark):
+    """Chains of texts that share half of their words: prefix groups meet, few pairs are links."""
+    rng = random.Random(3)
+    halves = [[f"h{k}x{i}" for i in range(60)] for k in range(12)]
+    rows = []
+    for i in range(150):
+        k = rng.randrange(12)
+        rows.append((i, " ".join(halves[k] + halves[(k + rng.randrange(3)) % 12] + [f"own{i}x{j}" for j in range(rng.randrange(60))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit(1), "key": F.lit(2), "labels": F.lit("x"), "_doc_id": F.lit(3)})
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(df).collect()}
+    assert got == brute.jaccard(rows)
+
+
+def test_jaccard_recall_by_similarity(spark):
+    """Pairs of every hundredth from 0.8 on: all of them are found, at a prefix that the links decide."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        own = [f"p{k}w{j}" for j in range(200)]
+        cut = rng.randrange(0, 23)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[: 200 - cut] + [f"q{k}w{j}" for j in range(cut)]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.pairs(rows)
+
+
+def test_jaccard_prefix_follows_the_links():
+    assert jaccard.prefix_length({}) == 5
+    assert jaccard.prefix_length({80: 500}) == 5
+    assert jaccard.prefix_length({99: 100_000}) == 7
+    assert all(jaccard.found_at(0.8, jaccard.prefix_length({b: 1000})) >= 0.99 for b in range(80, 100))
+
+
+def test_jaccard_met_before():
+    rng = np.random.default_rng(5)
+    label = rng.integers(0, 3, (30, jaccard.TREES, jaccard.DEPTH)).astype("<u2")
+    for depth in (1, 3, 4, 5, 8):
+        want = [[any((label[i, t, :depth] == label[j, t, :depth]).all() for t in range(4)) for j in range(30)] for i in range(30)]
+        assert jaccard.met_before(label, depth, range(4)).tolist() == want
+
+
+def test_jaccard_of_repeated_ids(spark):
+    """Rows of one id are judged by their texts; no text is lost, and of equal rows one stays."""
+    t, u = " ".join(f"t{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, t), (1, u), (2, t + " x"), (3, u + " y"), (4, None), (4, None), (None, t + " z"), (None, "quite alone"), (5, "quite alone"), (7, "seven"), (7, "seven")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_text_hash", F.lit(1))
+    got = jaccard.join(df).collect()
+    assert len(got) == len(rows)
+    assert len({r.class_key for r in got if r.class_id == 1}) == 2 and sorted(r.n_links for r in got if r.class_id == 1) == [1, 1, 2, 2, 2]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()), key=str)
+    assert kept == sorted([(1, t), (1, u), (4, None), (4, None), (5, "quite alone"), (7, "seven")], key=str)
+
+
 def test_quality(documents, corpus):
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.statistics(documents).collect()}
     assert got == {i: brute.quality(t) for i, t in corpus}
