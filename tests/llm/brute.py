@@ -130,3 +130,109 @@ def pairs(docs, k=5):
     for at in range(0, len(docs), 2):
         out |= jaccard(docs[at : at + 2], k)
     return out
+
+
+def context(text):
+    """Words of the context: lower case, numbers as 0, cut at blanks and behind punctuation."""
+    text = re.sub("[0-9]+", "0", lower(text))
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub(r"([\"'`=,;:<>(){}\[\]|#!?*&$%])", r"\1 ", text)) if w]
+
+
+def shape(value):
+    if not re.search("[A-Za-z]", value):
+        return re.sub("[0-9]", "0", value)
+    if re.fullmatch("[a-z0-9]{16,}", value) or re.fullmatch("[A-Z0-9]{16,}", value):
+        return "x16" if value == value.lower() else "X16"
+    return re.sub("[0-9]+", "0", re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", value)))
+
+
+def occurrences(text, found, kind, credentials=()):
+    """(start, kind, end, value, patterns) of the matches of one expression, with the gaps around them."""
+    found, letter, out = list(found), re.compile(r"[a-z\x80-\U0010FFFF]"), []
+    for i, m in enumerate(found):
+        value = m[0] if kind >= 0 or " " in m[0] or "(" in m[0] or ")" in m[0] else re.sub("[./+_~-]+$", "", m[0])
+        words = context(text[found[i - 1].end() if i else 0 : m.start()])[-4:]
+        after = (context(re.match(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]*", text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)])[0]) or [""])[0]
+        names = [(f"b{k}", " ".join(words[-k:])) for k in (1, 2, 3) if len(words) >= k] + [("a1", after)]
+        names = [(sort, x) for sort, x in names if letter.search(x)]
+        if op := re.search(r"([=:])(?: [\"'`])?$", " ".join(words)):
+            names.append(("operator", op[1]))
+        names.append(("shape", shape(value)))
+        own = kind
+        if kind < 0:
+            key = re.search(r"([a-z_-]+) ?[=:](?: [\"'`])?$", " ".join(words))
+            own = 4 if re.fullmatch("(?:AKIA|ASIA)[A-Z0-9]{16}", value) or (key and key[1] in credentials) else -1
+        out.append((m.start(), own, m.start() + len(value), value.lower(), names))
+    return out
+
+
+def bootstrapped(texts, token, numbers, credentials, support=3, confident=0.5, agree=0.25, accept=0.6):
+    """All spans of each text, as the operator lists them: base, seeds of secrets, and what patterns and instances accept."""
+    names = [*PII, "secret"]
+    base, free = [pii(t) for t in texts], []
+    every, grams = Counter(), Counter()
+    for row, t in enumerate(texts):
+        t = t or ""
+        for k, pattern in enumerate(PII.values()):
+            good = {(a, e) for a, kind, e in base[row] if kind == k}
+            for a, _, e, value, f in occurrences(t, re.finditer(pattern, t), k):
+                if (a, e) in good:
+                    every.update((x, k, value) for x in f)
+        some = occurrences(t, re.finditer(token, t), -1, credentials)
+        some += [x for x in occurrences(t, re.finditer(numbers, t), -1, credentials) if re.search("[ ()]", t[x[0] : x[2]])]
+        for a, k, e, value, f in some:
+            if len(value) < 4:
+                continue
+            if not any(b < e and a < c for b, _, c in base[row]):
+                free.append((row, a, k, e, value, f))
+                every.update((x, k, value) for x in f)
+        w = context(t)
+        for k in (1, 2, 3):
+            grams.update(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
+    known = Counter({x: n for x, n in every.items() if x[1] >= 0})
+    unknown = {(f, v): n for (f, k, v), n in every.items() if k < 0}
+    accepted = {}
+    while True:
+        values, times, others, more = defaultdict(set), Counter(), defaultdict(set), Counter()
+        for (f, k, v), n in known.items():
+            values[f, k].add(v)
+            times[f, k] += n
+        for (f, v), n in unknown.items():
+            others[f].add(v)
+            more[f] += n
+        trust = {}
+        for f in {f for f, _ in values}:
+            kinds = [k for k in range(5) if (f, k) in values]
+            best = max(kinds, key=lambda k: (len(values[f, k]), -k))
+            if len(values[f, best]) < support:
+                continue
+            if f[0] in ("operator", "shape"):
+                c = len(values[f, best]) / (sum(len(values[f, k]) for k in kinds) + len(others[f]))
+            else:
+                c = times[f, best] / max(grams[f[1]], sum(times[f, k] for k in kinds) + more[f])
+            trust[f] = best, c
+        views = defaultdict(lambda: defaultdict(float))
+        for f, v in unknown:
+            if f in trust and trust[f][1] >= agree:
+                k, c = trust[f]
+                sort = f[0] if f[0] in ("operator", "shape") else "lexical"
+                views[v, k][sort] = max(views[v, k][sort], c)
+        fresh = {}
+        for (v, k), x in views.items():
+            err = 1 - x["shape"]
+            score = max(1 - (1 - x["lexical"]) * err if x["lexical"] >= confident else 0, 1 - (1 - x["operator"]) * err if min(x["operator"], x["shape"]) >= agree else 0)
+            if score >= accept and (v not in fresh or (score, -k) > fresh[v]):
+                fresh[v] = score, -k
+        if not fresh:
+            break
+        accepted |= {v: -k for v, (_, k) in fresh.items()}
+        for (f, v), n in list(unknown.items()):
+            if v in fresh:
+                known[f, accepted[v], v] += n
+                del unknown[f, v]
+    out = [list(x) for x in base]
+    for row, a, k, e, value, f in free:
+        placed = len(value) >= 8 or any(x in trust and x[0] not in ("operator", "shape") and trust[x][1] >= confident for x in f)
+        if k >= 0 or (value in accepted and placed):
+            out[row].append((a, k if k >= 0 else accepted[value], e))
+    return [",".join(f"{names[k]}:{a}:{e}" for a, k, e in sorted(x)) for x in out]

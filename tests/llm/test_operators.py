@@ -44,6 +44,48 @@ def test_pii_edges(spark):
     assert pii.digest(pii.extract(df.limit(0))).count() == 0
 
 
+def twin(texts):
+    return brute.bootstrapped(texts, pii.TOKEN, pii.NUMBERS, pii.CREDENTIALS)
+
+
+def test_pii_spans_equal_the_plain_form(spark, documents, corpus):
+    """The whole corpus, and a text with contexts, forms, ties and short values of its own."""
+    got = {r.doc_id: r.spans for r in pii.digest(pii.extract(documents)).collect()}
+    assert [got[i] for i, _ in corpus] == twin([t for _, t in corpus])
+    rng = random.Random(8)
+    texts = [f"mail me: {a}{n}@site.org or ring extension {n % 7}{n} now" for n, a in enumerate("abcdefghijkl")]
+    texts += [f"ring extension {rng.randrange(100, 9999)} now; room {n} of 12345{n}" for n in range(9)] + [f"contact user{n}@localhost or mail me: root{n}@localhost" for n in range(5)]
+    texts += [f"password={rng.randrange(16**18):018x} and pin: {n}{n}99" for n in range(6)] + [f'session = "{rng.randrange(16**40):040x}" then' for n in range(5)]
+    texts += [f"call +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} or call (020) 7946 {rng.randrange(1000, 9999)} today" for _ in range(8)]
+    texts += ["version 2.0, see 3.1.4 and 1.2.3.4.5; 9 9 9", "call 12 call 13 call 14", None, "", "x" * 3000 + " password=abc123" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.spans for r in pii.digest(pii.extract(df)).collect()}
+    want = twin(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum("secret" in x for x in want) >= 11
+
+
+def test_pii_adds_secrets_and_leaves_clean_documents_alone(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.spans for r in pii.digest(pii.extract(docs)).collect()}
+    added = {i: set(filter(None, s.split(","))) - set(filter(None, brute.listed(brute.pii(texts[i])).split(","))) for i, s in got.items()}
+    assert sum(map(len, added.values())) >= 12
+    for i, spans in added.items():
+        assert bool(spans) == ("token = " in (texts[i] or ""))
+
+
+def test_pii_redact_odd_rows(spark):
+    rows = [(1, "write to a@b.co now", "x"), (1, "write to a@b.co now", "y"), (None, "1.2.3.4", "z"), (2, None, None), (3, "", "w"), (4, "password=hunter22 " * 2000, "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _spans string").withColumns({"spans": F.lit(1), "text_hash": F.lit(2), "_doc_id": F.lit(3)})
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text, r._spans) for r in out.collect()), key=str)
+    want = [(1, "write to <email> now", "x"), (1, "write to <email> now", "y"), (None, "<ip>", "z"), (2, None, None), (3, "", "w"), (4, "password=<secret> " * 2000, "v")]
+    assert got == sorted(want, key=str)
+    assert pii.redact(df.limit(0)).count() == 0
+
+
 def test_pii_context_finds_unseen_identifiers(spark):
     rng = random.Random(5)
     known = [f"my number is +1 {rng.randrange(10**9, 10**10)} thanks" for _ in range(12)]

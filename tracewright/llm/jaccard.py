@@ -135,7 +135,7 @@ def groups(sets: DataFrame, depth: int, after: int | None = None) -> DataFrame:
     open_ = about.groupBy("key").agg(*ends).where(~all_met).select("key")
     met = met.join(common.broadcast_if_small(common.checkpoint(open_), 16), "key").withColumn("class", F.floor(F.log("n") / F.log(F.lit(SIZE_CLASS))).cast("int"))
     met = common.checkpoint(met)
-    bins = 12 + (met.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES
+    bins = 12 + (met.agg(F.sum("n")).first()[0] or 0) // (BLOCK_SHINGLES // 4)
 
     cells = met.groupBy("key", "class").agg(F.count("*").alias("docs"), F.sum("n").alias("runs"))
     whole = cells.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("runs").alias("runs")).where((F.col("docs") > BLOCK_DOCS) | (F.col("runs") > BLOCK_SHINGLES)).select("key")
