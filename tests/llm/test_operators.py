@@ -200,17 +200,25 @@ def test_language_model_learns_topics(spark):
     assert sum(r.score for r in out) / n > sum(r.base_score for r in out) / n + 0.1
 
 
-def test_language_model_gives_every_word_its_own_emission(spark, monkeypatch):
-    """Words outside the dictionary are trained as those in it are: the scores don't depend on where it ends."""
+@pytest.mark.parametrize(("known", "own"), [(0, 0), (30, 0), (50, 20), (200_000, 60_000)])
+def test_language_model_equals_the_plain_form(spark, monkeypatch, known, own):
+    """Training and scores of a small corpus against recursions word by word, wherever the dictionary ends."""
     rng = random.Random(11)
-    texts = [" ".join(f"{topic}{rng.randrange(60)}" for _ in range(rng.randrange(60))) + f" unique{i}" for topic in ("a", "b") for i in range(60)] + [None, "", "never seen"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    whole = {r.doc_id: r for r in lm.score(df).collect()}
-    for known in (0, 30):
-        monkeypatch.setattr(lm, "KNOWN", known)
-        for r in lm.score(df).collect():
-            assert (r.n_tokens, r.n_known) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known)
-            assert (r.base_score, r.score) == (pytest.approx(whole[r.doc_id].base_score), pytest.approx(whole[r.doc_id].score, abs=1e-2, rel=1e-4))
+    texts = [" ".join(f"{topic}{rng.randrange(40)}" for _ in range(rng.randrange(40))) + f" unique{i}" for topic in ("a", "b") for i in range(40)] + [None, "", "never seen", "a1 A1 unique3 " * 60]
+    monkeypatch.setattr(lm, "KNOWN", known)
+    monkeypatch.setattr(lm, "OWN", own)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"row": F.lit(1), "rare": F.lit("x"), "word": F.lit(2)}).repartition(3)
+    got = {r.doc_id: r for r in lm.score(df).collect()}
+    want = brute.hidden_markov(texts, lm, known, own)
+    for i in range(len(texts)):
+        assert got[i].score == pytest.approx(want[i], abs=1e-3, rel=1e-5)
+
+
+def test_language_model_without_training_texts(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    df = spark.createDataFrame([(i, "some words") for i in held], "doc_id long, text string")
+    out = lm.score(df).collect()
+    assert len(out) == len(held) and all((r.n_known, r.train_tokens, r.held_out) == (0, 0, True) and math.isfinite(r.score) for r in out)
 
 
 def test_hmm_recursions():

@@ -1,16 +1,16 @@
 """Hidden Markov language model of the corpus.
 
 Tokens are lower-case words (A-Z) between ASCII blanks, and one end a text. Counts of all
-training words are gathered by shuffle. Of these
+training words are gathered by shuffle. The ``KNOWN`` most frequent, the end and one symbol for words unseen in
+training are a bounded dictionary that goes to the workers; of these the ``OWN`` most frequent have emissions of their own in every pass.
 
-* the ``KNOWN`` most frequent, the end and one symbol for words unseen in training are a bounded
-  dictionary: it goes to the workers with its emissions, and the driver gets its expected counts;
-* every rarer training word has an emission of its own too, in a table that grows with the input and stays
-  distributed: its expected counts are summed by shuffle, and texts meet them in a shuffle join on the
-  word's id. By choice of the dictionary none of these words is frequent, so no key is hot.
-
-Where the dictionary ends changes the cost alone: a word's first emission depends on the word and its count,
-and a state's norm follows from its total.
+All other training words are tied while the states form: a word shares the emission of its class (length and
+last letters, ``CLASSES`` of them). A word's share of its class is the same in all states, so it takes no part in
+the expected counts, and no pass but the last needs a table of words. The last maximisation unties them: its expected counts are
+kept word by word, those of the dictionary by the driver, those of rarer words in a table that grows with the input,
+stays distributed and is summed by shuffle. So in the model that scores, every training word has an emission of
+its own; texts meet those of their rarer words, and their counts, in one shuffle join on the word. By choice of the
+dictionary no rarer training word is frequent.
 
 ``STATES`` latent states are trained by Baum-Welch on every training text: each partition
 runs the scaled forward and backward recursions and adds up expected counts, in fixed point so that
@@ -18,8 +18,8 @@ sums don't depend on their order. Texts are cut into runs of ``RUN`` tokens whos
 then chained, which is the same recursion in another order of multiplication.
 
 Defined cases: null or empty text is one end token; a null id counts as training; repeated
-rows count each; without training texts every count is 0; words of any length are whole; only
-the id and text columns are read.
+rows count each; without training texts every count is 0; words and texts of any length are whole; words of equal
+count are ranked by name; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KNOWN = 200_000
+KNOWN, OWN, CLASSES = 200_000, 60_000, 4096
 STATES, PASSES, RUN = 4, 4, 128
 END, UNSEEN = 0, 1  # symbols: these, then the dictionary's words; rarer ones of a text are -1, -2, ...
 #: A symbol that two bytes can't hold.
@@ -97,24 +97,31 @@ def threshold(counts: DataFrame) -> int:
     return least
 
 
+def class_of(word: bytes) -> int:
+    """The class that a rare word is tied to: its length and last three letters."""
+    return (zlib.crc32(word[-3:]) * 16 + min(len(word), 15)) % CLASSES
+
+
 class Vocabulary:
-    """The bounded dictionary: symbol and count of frequent words, corpus totals."""
+    """The bounded dictionary: symbol and count of frequent words, and what they are tied to; corpus totals."""
 
     def __init__(self, frequent: list[tuple[str, int]], tokens: int, distinct: int, ends: int):
         self.tokens, self.distinct, self.ends = tokens, distinct, ends
         self.all = tokens + distinct + 1
         words = [(w.encode(), c) for w, c in frequent]
-        self.symbols = 2 + len(words)
+        self.symbols, self.own = 2 + len(words), 2 + min(OWN, len(words))
         #: Sums to 1 with the shares (c + 1) / all of the other training words.
         self.counts = np.array([ends + 1, 1, *(c + 1 for _, c in words)], np.int64)
         self.share = self.counts / self.all
-        self.marks = np.array([END, UNSEEN, *(zlib.crc32(w) for w, _ in words)], np.uint64)
+        #: Row of each symbol in a tied model: its own, or that of its class behind those.
+        self.tie = np.array([*range(self.own), *(self.own + class_of(w) for w, _ in words[self.own - 2 :])], np.int64)
+        self.marks = np.array([END, UNSEEN, *(zlib.crc32(w) for w, _ in words[: self.own - 2]), *range(1 << 32, (1 << 32) + CLASSES)], np.uint64)
         #: word -> symbol, log10 of the base probability
         self.known = {w: (2 + i, log10((c + 1) / self.all)) for i, (w, c) in enumerate(words)}
 
 
 def encode(rows: DataFrame, vocabulary) -> DataFrame:
-    """Symbols of each text with the sum over its frequent words, and its other words, each once with its number and checksum."""
+    """Symbols of each text with the sum over its frequent words, and its other words, each once with its number and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
@@ -132,15 +139,15 @@ def encode(rows: DataFrame, vocabulary) -> DataFrame:
                 big = (ids < 0) | (ids >= WIDE)
                 base = sum(f[1] for f in found if f) + end
                 short = np.where(big, WIDE, ids).astype(np.uint16).tobytes()
-                marks = np.array([zlib.crc32(w) for w in rare], np.uint32).tobytes()
-                for x, y in zip(out, (len(ids), len(found) - rare.total() + (v.ends > 0), base, short, ids[big].tobytes(), marks, list(rare), list(rare.values())), strict=True):
+                ties = np.fromiter(map(class_of, rare), np.uint16, len(rare)).tobytes()
+                for x, y in zip(out, (len(ids), len(found) - rare.total() + (v.ends > 0), base, short, ids[big].tobytes(), ties, list(rare), list(rare.values())), strict=True):
                     x.append(y)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
             arrays = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
             arrays[6] = arrays[6].cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n_tokens", "n_known", "base", "symbols", "wide", "marks", "rare", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n_tokens", "n_known", "base", "symbols", "wide", "ties", "rare", "times"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, symbols binary, wide binary, marks binary, rare array<string>, times array<int>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, symbols binary, wide binary, ties binary, rare array<string>, times array<int>")
 
 
 def _tilt(marks: np.ndarray) -> np.ndarray:
@@ -149,25 +156,19 @@ def _tilt(marks: np.ndarray) -> np.ndarray:
     return (common.mix(at) >> np.uint64(44)).astype(np.int64) + (1 << 19)
 
 
-def tilted(counts: np.ndarray, marks: np.ndarray) -> list[int]:
-    """Sum of the tilted counts, exact in any order."""
-    return (np.asarray(counts, np.int64)[:, None] * _tilt(marks)).sum(axis=0).tolist()
-
-
 class Model:
-    """Start, transition and emission probabilities; of words outside the dictionary ``rare`` makes them of their counts."""
+    """Start, transition and emission probabilities; ``norm`` and ``lean`` make those of words that have no row."""
 
-    def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray, norm: np.ndarray, lean: np.ndarray | None = None):
+    def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray, norm: np.ndarray | None = None, lean: np.ndarray | None = None):
         self.start, self.moves, self.emits, self.norm, self.lean = start, moves, emits, norm, lean
 
     @classmethod
-    def first(cls, share: np.ndarray, marks: np.ndarray | None = None, norm: np.ndarray | None = None) -> Model:
+    def first(cls, share: np.ndarray, marks: np.ndarray | None = None) -> Model:
         """States that stay, with emissions around the corpus shares; a hash of word and state breaks the tie."""
         emits = share[:, None] * (_tilt(np.arange(len(share)) if marks is None else marks) / 2.0**20)
-        norm = emits.sum(axis=0) if norm is None else norm
         moves = np.full((STATES, STATES), 0.1 / (STATES - 1))
         np.fill_diagonal(moves, 0.9)
-        return cls(np.full(STATES, 1 / STATES), moves, emits / norm, norm)
+        return cls(np.full(STATES, 1 / STATES), moves, emits / emits.sum(axis=0))
 
     @classmethod
     def from_counts(cls, start, moves, emits, share, total) -> Model:
@@ -177,11 +178,13 @@ class Model:
         moves = moves + 1
         return cls((start + 1) / (start + 1).sum(), moves / moves.sum(axis=1, keepdims=True), (emits + share[:, None] * lean) / norm, norm, lean)
 
-    def rare(self, share: np.ndarray, marks: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if self.lean is None:
-            return share[:, None] * (_tilt(marks) / 2.0**20) / self.norm
+    def rare(self, share: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Emissions of words without a row, from their shares and expected counts."""
         return (counts / FIXED + share[:, None] * self.lean) / self.norm
 
+    def with_rows(self, emits: np.ndarray) -> Model:
+        return Model(self.start, self.moves, emits, self.norm, self.lean)
+
 
 class Batch:
     """Texts cut into runs of RUN symbols, runs sorted by length so that those still going are a prefix."""
@@ -288,134 +291,148 @@ class Batch:
 
 
 class Coded:
-    """A batch of texts with the emissions of its own rare words behind the dictionary's."""
-
-    def __init__(self, batch: pa.RecordBatch, m: Model, total: int):
-        column = batch.column
-        flat = lambda x: x.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        self.here, self.ids = len(m.emits), flat(column("ids"))
-        size = lambda x: pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
-        first = np.concatenate([[0], np.cumsum(size(column("ids")))])
+    """Texts of a batch in symbols of the dictionary, with the batch's rare words numbered behind those."""
+
+    def __init__(self, batch: pa.RecordBatch, symbols: int):
+        self.size = pc.list_value_length(batch.column("rare" if "rare" in batch.schema.names else "times")).to_numpy(zero_copy_only=False)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
         self.texts = []
-        for at, symbols, wide in zip(first.tolist(), column("symbols").to_pylist(), column("wide").to_pylist(), strict=False):
-            t = np.frombuffer(symbols, np.uint16)
+        for at, short, wide in zip(self.first.tolist(), batch.column("symbols").to_pylist(), batch.column("wide").to_pylist(), strict=False):
+            t = np.frombuffer(short, np.uint16)
             if wide:
                 t, wide = t.astype(np.int64), np.frombuffer(wide, np.int32).astype(np.int64)
-                t[t == WIDE] = np.where(wide >= 0, wide, self.here + at - 1 - wide)
+                t[t == WIDE] = np.where(wide >= 0, wide, symbols + at - 1 - wide)
             self.texts.append(t)
-        if not len(self.ids):
-            self.model = m
-            return
-        counts, met = np.zeros((len(self.ids), STATES), np.int64), column("met")
-        found = met.flatten()
-        if len(found):
-            at = np.repeat(first[:-1], size(met)) + found.field(0).to_numpy()
-            counts[at] = np.stack([found.field(1 + k).to_numpy() for k in range(STATES)], axis=1)
-        marks = np.frombuffer(b"".join(column("marks").to_pylist()), np.uint32)
-        rare = m.rare((flat(column("cs")) + 1) / total, marks, counts)
-        # A word that training never saw.
-        rare[self.ids == UNSEEN] = m.emits[UNSEEN]
-        self.model = Model(m.start, m.moves, np.concatenate([m.emits, rare]), m.norm, m.lean)
-
-
-_MET = ["symbols", "wide", "marks", "ids", "cs", "met"]
-
-
-def meet(coded: DataFrame, table: DataFrame | None) -> DataFrame:
-    """``coded`` with ``met``, the expected counts of each text's rare words; empty before the first pass."""
-    kind = "array<struct<at:int," + ",".join(f"s{k}:bigint" for k in range(STATES)) + ">>"
-    if table is None:
-        return coded.withColumn("met", F.lit(None).cast(kind))
-    each = coded.where(F.size("ids") > 0).select("row", F.posexplode("ids").alias("at", "id")).where("id < 0")
-    table = common.broadcast_if_small(table, 8 + 8 * STATES)
-    met = each.join(table, "id").groupBy("row").agg(F.collect_list(F.struct("at", *(f"s{k}" for k in range(STATES)))).alias("met"))
-    return coded.join(met.hint("merge"), "row", "left")
-
-
-def baum_welch(coded: DataFrame, table: DataFrame | None, model: Model, v: Vocabulary) -> tuple[Model, DataFrame]:
-    """One pass over every training text: the next model, and the expected counts of rare words."""
-    all_, shared = v.all, coded.sparkSession.sparkContext.broadcast(model)
-
-    def rows(at: np.ndarray, fixed: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(at), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 10_000]), *(pa.array(fixed[i : i + 10_000, k]) for k in range(STATES))], ["id", *names])
+
+
+def ties_of(batch: pa.RecordBatch, v: Vocabulary) -> np.ndarray:
+    """Rows of the tied model: of the dictionary's symbols, then of the batch's rare words."""
+    return np.concatenate([v.tie, v.own + np.frombuffer(b"".join(batch.column("ties").to_pylist()), np.uint16).astype(np.int64)])
+
+
+_STATES = [f"s{k}" for k in range(STATES)]
+
+
+def _sums(at: np.ndarray, fixed: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(fixed[:, k]) for k in range(STATES))], ["id", *_STATES])
+
+
+def baum_welch(coded: DataFrame, model: Model, v: Vocabulary, share: np.ndarray) -> Model:
+    """One pass over every training text with a tied model: the next one."""
+    shared = coded.sparkSession.sparkContext.broadcast((model, v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, v = shared.value
         here = len(m.emits)
         total = np.zeros((here + STATES + 1, STATES))  # emissions, then moves, then starts
-        sums = np.zeros((1, STATES), np.int64)  # of rare words
         for batch in batches:
             if batch.num_rows:
-                c = Coded(batch, m, all_)
-                start, moves, emits = Batch(c.texts).expected(c.model)
-                total[:here] += emits[:here]
+                rows = ties_of(batch, v)
+                start, moves, emits = Batch([rows[t] for t in Coded(batch, v.symbols).texts]).expected(m)
+                total[:here] += emits
                 total[here:-1] += moves
                 total[-1] += start
-                if len(c.ids):
-                    ids, at = np.unique(c.ids, return_inverse=True)
-                    own = np.zeros((len(ids), STATES))
-                    np.add.at(own, at, emits[here:])
-                    fixed = np.rint(own * FIXED).astype(np.int64)
-                    sums += fixed.sum(axis=0)
-                    yield from rows(ids, fixed)
         fixed = np.rint(total * FIXED).astype(np.int64)
         some = np.flatnonzero(fixed.any(axis=1))
-        yield from rows(some, fixed[some])
-        yield from rows(np.array([here + STATES + 1]), sums)
-
-    names = [f"s{k}" for k in range(STATES)]
-    sent = meet(coded, table).select(*_MET).mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in names))
-    sent = common.checkpoint(sent.groupBy("id").agg(*(F.sum(x).alias(x) for x in names)))
-    n = len(model.emits)
-    total = np.zeros((n + STATES + 2, STATES))
-    bounded = sent.where("id >= 0").toArrow()
-    total[bounded.column("id").to_numpy()] = np.stack([bounded.column(x).to_numpy() for x in names], axis=1)
-    total /= FIXED
-    emits = total[:n]
-    return Model.from_counts(total[-2], total[n:-2], emits, v.share, emits.sum(axis=0) + total[-1]), sent.where("id < 0")
-
-
-def likelihood(coded: DataFrame, table: DataFrame | None, model: Model, v: Vocabulary) -> DataFrame:
-    """``coded`` without its symbols, and ``states``, the log10 likelihood of those."""
-    all_, shared = v.all, coded.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in coded.columns if c not in (*_MET, "row")]
+        for i in range(0, len(some), 10_000):
+            yield _sums(some[i : i + 10_000], fixed[some[i : i + 10_000]])
+
+    sent = coded.select("symbols", "wide", "ties", "times").mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in _STATES))
+    total = _gathered(sent.groupBy("id").agg(*(F.sum(x).alias(x) for x in _STATES)), len(model.emits) + STATES + 1)
+    emits = total[: len(model.emits)]
+    return Model.from_counts(total[-1], total[len(emits) : -1], emits, share, emits.sum(axis=0))
+
+
+def _gathered(sums: DataFrame, rows: int) -> np.ndarray:
+    """Sums by row, for a bounded number of rows."""
+    found, total = sums.toArrow(), np.zeros((rows, STATES))
+    total[found.column("id").to_numpy()] = np.stack([found.column(x).to_numpy() for x in _STATES], axis=1)
+    return total / FIXED
+
+
+def untied(coded: DataFrame, model: Model, v: Vocabulary) -> tuple[Model, DataFrame]:
+    """The last pass: the model with a row for each symbol of the dictionary, and ``word, c, s0, ...`` of all rarer training words."""
+    shared = coded.sparkSession.sparkContext.broadcast((model, v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, v = shared.value
+        here = v.symbols
+        total, rest = np.zeros((here + STATES + 1, STATES)), np.zeros((1, STATES), np.int64)
+
+        def rows(words: pa.Array, n: np.ndarray, ids: np.ndarray, fixed: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(ids), *(pa.array(fixed[:, k]) for k in range(STATES))], ["word", "c", "id", *_STATES])
+
         for batch in batches:
             if batch.num_rows:
-                c = Coded(batch, shared.value, all_)
-                b = Batch(c.texts)
-                _, total = b.forward(*b.transfers(c.model))
-                yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(total / np.log(10))], [*kept, "states"])
+                start, moves, emits = Batch(Coded(batch, here).texts).expected(m.with_rows(m.emits[ties_of(batch, v)]))
+                total[:here] += emits[:here]
+                total[here:-1] += moves
+                total[-1] += start
+                fixed = np.rint(emits[here:] * FIXED).astype(np.int64)
+                rest += fixed.sum(axis=0)
+                n = batch.column("times").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield rows(batch.column("rare").flatten(), n, np.full(len(n), -1), fixed)
+        fixed = np.concatenate([np.rint(total * FIXED).astype(np.int64), rest])
+        some = np.flatnonzero(fixed.any(axis=1))
+        for i in range(0, len(some), 10_000):
+            part = some[i : i + 10_000]
+            yield rows(pa.nulls(len(part), pa.string()), np.zeros(len(part), np.int64), part, fixed[part])
 
-    kind = ", ".join(f"{c} {coded.schema[c].dataType.simpleString()}" for c in kept)
-    return meet(coded, table).select(*kept, *_MET).mapInArrow(run, f"{kind}, states double")
+    sent = coded.select("symbols", "wide", "ties", "rare", "times").mapInArrow(run, "word string, c long, id long, " + ", ".join(f"{x} long" for x in _STATES))
+    sums = common.checkpoint(sent.groupBy("id", "word").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in _STATES)))
+    total = _gathered(sums.where("word IS NULL").drop("word", "c"), v.symbols + STATES + 2)
+    emits = total[: v.symbols]
+    return Model.from_counts(total[-2], total[v.symbols : -2], emits, v.share, emits.sum(axis=0) + total[-1]), sums.where("word IS NOT NULL").drop("id")
 
 
-def first_norm(rare: DataFrame, v: Vocabulary) -> np.ndarray:
-    """Each state's sum of the first model's emissions over all words."""
+def likelihood(coded: DataFrame, table: DataFrame, model: Model, v: Vocabulary) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, base, states`` of every text; ``states`` is its log10 likelihood."""
+    shared = coded.sparkSession.sparkContext.broadcast((model, v.symbols, v.all))
+    each = coded.where(F.size("rare") > 0).select("row", F.posexplode("rare").alias("at", "word"))
+    met = each.join(table.hint("merge"), "word").groupBy("row").agg(F.collect_list(F.struct("at", "c", *_STATES)).alias("met"))
+    whole = coded.drop("rare", "ties").join(met.hint("merge"), "row", "left").drop("row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, symbols, all_ = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = Coded(batch, symbols)
+            n, words = batch.num_rows, int(coded.first[-1])
+            c, counts, met = np.zeros(words, np.int64), np.zeros((words, STATES), np.int64), batch.column("met")
+            found = met.flatten()
+            if len(found):
+                of = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(met), 0).to_numpy(zero_copy_only=False))
+                at = coded.first[of] + found.field(0).to_numpy()
+                c[at] = found.field(1).to_numpy()
+                counts[at] = np.stack([found.field(2 + k).to_numpy() for k in range(STATES)], axis=1)
+            rare = m.rare((c + 1) / all_, counts)
+            rare[c == 0] = m.emits[UNSEEN]
+            b = Batch(coded.texts)
+            _, total = b.forward(*b.transfers(m.with_rows(np.concatenate([m.emits, rare]))))
+            times, owner = batch.column("times").flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), coded.size)
+            known = batch.column("n_known").to_numpy() + np.bincount(owner, times * (c > 0), n).astype(np.int64)
+            base = batch.column("base").to_numpy() + np.bincount(owner, times * np.log10((c + 1) / all_), n)
+            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "held_out", "n_tokens"]).columns, pa.array(known), pa.array(base), pa.array(total / np.log(10))], ["doc_id", "held_out", "n_tokens", "n_known", "base", "states"])
+
+    return whole.mapInArrow(run, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, states double")
+
+
+def tied_share(rare: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Share of the corpus of each row of a tied model; they sum to 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, np.int64)
         for b in batches:
             if b.num_rows:
-                marks = np.array([zlib.crc32(w.encode()) for w in b.column(0).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in tilted(b.column(1).to_numpy() + 1, marks)], names)
-
-    names = [f"s{k}" for k in range(STATES)]
-    found = rare.select("word", "c").mapInArrow(run, ", ".join(f"{x} long" for x in names)).agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in names)).first()
-    return np.array([a + b for a, b in zip(found, tilted(v.counts, v.marks), strict=True)], float) / 2.0**20 / v.all
+                at = np.fromiter((class_of(w.encode()) for w in b.column(0).to_pylist()), np.int64, b.num_rows)
+                np.add.at(total, at, b.column(1).to_numpy() + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], ["at", "n"])
 
-
-def placed(df: DataFrame) -> DataFrame:
-    """A checkpoint that stays dealt by ``row``: adaptive plans forget how they were dealt."""
-    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return common.checkpoint(df)
-    finally:
-        spark.conf.set(key, before)
+    out = np.bincount(v.tie, v.counts, v.own + CLASSES)
+    for at, n in rare.select("word", "c").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        out[v.own + at] += n
+    return out / v.all
 
 
 def release(spark) -> None:
@@ -430,28 +447,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     common.small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     training = rows.where(~F.col("held_out"))
-    counts = common.checkpoint(word_counts(training.select("text")).withColumn("id", -1 - F.monotonically_increasing_id()))
+    counts = common.checkpoint(word_counts(training.select("text")))
     words, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     ends = training.count()
     least = threshold(counts)
     frequent = sorted(((r[0], r[1]) for r in counts.where(F.col("c") >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
-    rare = counts.where(F.col("c") < least)
     v = Vocabulary(frequent, (words or 0) + ends, distinct + (ends > 0), ends)
+    share = tied_share(counts.where(F.col("c") < least), v)
     coded = common.checkpoint(encode(rows, spark.sparkContext.broadcast(v)).withColumn("row", F.monotonically_increasing_id()))
-
-    c = F.coalesce("c", F.lit(0))
-    each = coded.where(F.size("rare") > 0).select("row", F.posexplode(F.arrays_zip("rare", "times")).alias("at", "x")).select("row", "at", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
-    own = F.sort_array(F.collect_list(F.struct("at", F.coalesce("id", F.lit(UNSEEN)).alias("id"), c.alias("c"))))
-    met = each.join(rare.hint("merge"), "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 1) / v.all)).alias("more_base"), F.sum(F.when(c > 0, F.col("n").cast("long")).otherwise(0)).alias("more_known"), own.alias("own"))
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    coded = coded.drop("rare", "times").join(met.hint("merge"), "row", "left")
-    coded = placed(coded.select("row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), (F.col("base") + zero("more_base")).alias("base"), "symbols", "wide", "marks", F.col("own.id").alias("ids"), F.col("own.c").alias("cs")))
-
-    model, table = Model.first(v.share, v.marks, first_norm(rare, v)), None
-    del counts, rare, each, met
-    for _ in range(PASSES):
+    del counts
+    model, taught = Model.first(share, v.marks), coded.where(~F.col("held_out"))
+    for _ in range(PASSES - 1):
         release(spark)
-        model, table = baum_welch(coded.where(~F.col("held_out")), table, model, v)
+        model = baum_welch(taught, model, v, share)
+    model, table = untied(taught, model, v)
     release(spark)
     return likelihood(coded, table, model, v).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("states").alias("score"))
 
