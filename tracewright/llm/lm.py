@@ -26,9 +26,7 @@ from __future__ import annotations
 
 import gc
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -46,36 +44,47 @@ WIDE = 0xFFFF
 FIXED = 1 << 20
 #: Tokens, and share of a state's tokens, that the corpus shares count for in its emissions.
 LEAN = (200, 0.05)
-#: Words a partition counts before it sends what it has.
-FLUSH = 400_000
+#: Bytes of words that a partition counts before it sends what it has.
+FLUSH = 64 << 20
+#: Partitions of texts that one task of a training pass takes, if enough tasks are left: each task sends its sums.
+JOINED = 2
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _split(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words of a column of texts one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, size = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    # Blanks at the ends leave empty strings.
+    some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    if not some.all():
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[some], minlength=len(size))
+        words = words.filter(pa.array(some))
+    return words, size
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, c`` over all rows of the one text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        kept, size = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            words = list(counts)
-            for at in range(0, len(words), 20_000):
-                part = words[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in part], pa.int64())], ["word", "n"])
-            counts.clear()
+            found = pa.concat_arrays(kept).value_counts() if kept else []
+            for at in range(0, len(found), 20_000):
+                part = found.slice(at, 20_000)
+                yield pa.RecordBatch.from_arrays(part.flatten(), ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(_split(text))
-                if len(counts) >= FLUSH:
-                    yield from send()
+            words, _ = tokens(batch.column(0))
+            kept.append(words)
+            size += words.nbytes
+            if size >= FLUSH:
+                yield from send()
+                kept, size = [], 0
         yield from send()
 
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
@@ -116,8 +125,8 @@ class Vocabulary:
         #: Row of each symbol in a tied model: its own, or that of its class behind those.
         self.tie = np.array([*range(self.own), *(self.own + class_of(w) for w, _ in words[self.own - 2 :])], np.int64)
         self.marks = np.array([END, UNSEEN, *(zlib.crc32(w) for w, _ in words[: self.own - 2]), *range(1 << 32, (1 << 32) + CLASSES)], np.uint64)
-        #: word -> symbol, log10 of the base probability
-        self.known = {w: (2 + i, log10((c + 1) / self.all)) for i, (w, c) in enumerate(words)}
+        #: Words of the symbols from 2 on.
+        self.words = pa.array([w for w, _ in frequent], pa.string())
 
 
 def encode(rows: DataFrame, vocabulary) -> DataFrame:
@@ -125,27 +134,44 @@ def encode(rows: DataFrame, vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        known, end = v.known, log10((v.ends + 1) / v.all)
+        logs = np.log10(v.share)
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for text in batch.column(2).to_pylist():
-                words = _split(text)
-                found = list(map(known.get, words))
-                rare = Counter(w for w, f in zip(words, found, strict=True) if f is None)
-                place = {w: (-1 - i, 0.0) for i, w in enumerate(rare)}
-                ids = [(f or place[w])[0] for w, f in zip(words, found, strict=True)] if rare else [f[0] for f in found]
-                ids.append(END)
-                ids = np.array(ids, np.int32)
-                big = (ids < 0) | (ids >= WIDE)
-                base = sum(f[1] for f in found if f) + end
-                short = np.where(big, WIDE, ids).astype(np.uint16).tobytes()
-                ties = np.fromiter(map(class_of, rare), np.uint16, len(rare)).tobytes()
-                for x, y in zip(out, (len(ids), len(found) - rare.total() + (v.ends > 0), base, short, ids[big].tobytes(), ties, list(rare), list(rare.values())), strict=True):
-                    x.append(y)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            arrays = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
-            arrays[6] = arrays[6].cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "held_out", "n_tokens", "n_known", "base", "symbols", "wide", "ties", "rare", "times"])
+            n = batch.num_rows
+            words, size = tokens(batch.column(2))
+            coded = words.dictionary_encode()
+            distinct, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            # Each distinct word of the batch is looked up once; rare ones are symbol 0 here.
+            symbol = pc.fill_null(pc.index_in(distinct, value_set=v.words), -2).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+            chance = np.where(symbol > 0, logs[symbol], 0.0)
+            tie = np.zeros(len(symbol), np.uint16)
+            for i, w in zip(np.flatnonzero(symbol == 0).tolist(), distinct.filter(pa.array(symbol == 0)).cast(pa.binary()).to_numpy(zero_copy_only=False), strict=True):
+                tie[i] = class_of(w)
+            owner, ids = np.repeat(np.arange(n), size), symbol[code]
+            rare = ids == 0
+            # Rare words of each text, each once: numbered in the order of their codes.
+            pairs, inverse, times = np.unique(owner[rare] * max(len(symbol), 1) + code[rare], return_inverse=True, return_counts=True)
+            text, word = np.divmod(pairs, max(len(symbol), 1))
+            first = np.searchsorted(text, np.arange(n + 1))
+            ids[rare] = -1 - (inverse - first[owner[rare]])
+            ids = np.insert(ids, np.cumsum(size), END) if n else ids
+            ends = np.cumsum(size + 1)
+            big = (ids < 0) | (ids >= WIDE)
+            short, wide = np.where(big, WIDE, ids).astype(np.uint16), np.where(big, ids, 0).astype(np.int32)
+            pieces = [slice(a, b) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
+            names = distinct.take(pa.array(word))
+            ties = tie[word]
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), x)
+            columns = [
+                pa.array(size + 1, pa.int64()),
+                pa.array(size - np.bincount(owner[rare], minlength=n) + (v.ends > 0), pa.int64()),
+                pa.array(np.bincount(owner, chance[code], n) + logs[END], pa.float64()),
+                pa.array([short[p].tobytes() for p in pieces], pa.binary()),
+                pa.array([wide[p][big[p]].tobytes() for p in pieces], pa.binary()),
+                pa.array([ties[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary()),
+                lists(names),
+                lists(pa.array(times.astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", "n_tokens", "n_known", "base", "symbols", "wide", "ties", "rare", "times"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, symbols binary, wide binary, ties binary, rare array<string>, times array<int>")
 
@@ -267,16 +293,15 @@ class Batch:
             y /= y.sum(axis=1, keepdims=True)
             alphas.append(y)
             a = y
-        start, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(m.emits), STATES))
+        start, moves = np.zeros(STATES), np.zeros((STATES, STATES))
+        met, shares = [], []
         b = after
         for t in range(self.steps - 1, -1, -1):
             n, symbols = self.going[t], self.at(t)
             g = alphas[t] * b[:n]
             g /= g.sum(axis=1, keepdims=True)
-            for k in range(STATES):
-                emits[:, k] += np.bincount(symbols, g[:, k], len(emits)) if n > 4096 else 0
-            if n <= 4096:
-                np.add.at(emits, symbols, g)
+            met.append(symbols)
+            shares.append(g)
             w = m.emits[symbols] * b[:n]
             u = (before if t == 0 else alphas[t - 1])[:n]
             z = ((u @ m.moves) * w).sum(axis=1, keepdims=True)
@@ -287,6 +312,8 @@ class Batch:
             y = w @ m.moves.T
             b = b.copy() if t else b
             b[:n] = y / y.sum(axis=1, keepdims=True)
+        at, g = np.concatenate(met), np.concatenate(shares)
+        emits = np.stack([np.bincount(at, g[:, k], len(m.emits)) for k in range(STATES)], axis=1)
         return start, moves * m.moves, emits
 
 
@@ -456,7 +483,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     share = tied_share(counts.where(F.col("c") < least), v)
     coded = common.checkpoint(encode(rows, spark.sparkContext.broadcast(v)).withColumn("row", F.monotonically_increasing_id()))
     del counts
-    model, taught = Model.first(share, v.marks), coded.where(~F.col("held_out"))
+    parts, least_parts = coded.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism
+    model, taught = Model.first(share, v.marks), coded.where(~F.col("held_out")).coalesce(max(parts // JOINED, min(parts, least_parts), 1))
     for _ in range(PASSES - 1):
         release(spark)
         model = baum_welch(taught, model, v, share)
