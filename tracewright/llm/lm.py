@@ -47,7 +47,7 @@ LEAN = (200, 0.05)
 #: Bytes of words that a partition counts before it sends what it has.
 FLUSH = 64 << 20
 #: Partitions of texts that one task of a training pass takes, if enough tasks are left: each task sends its sums.
-JOINED = 2
+JOINED = 3
 
 
 def held_out(doc_id):
@@ -386,8 +386,8 @@ def untied(coded: DataFrame, model: Model, v: Vocabulary) -> tuple[Model, DataFr
         here = v.symbols
         total, rest = np.zeros((here + STATES + 1, STATES)), np.zeros((1, STATES), np.int64)
 
-        def rows(words: pa.Array, n: np.ndarray, ids: np.ndarray, fixed: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(ids), *(pa.array(fixed[:, k]) for k in range(STATES))], ["word", "c", "id", *_STATES])
+        def rows(words: pa.Array, n: np.ndarray, fixed: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([words, pa.array(n), *(pa.array(fixed[:, k]) for k in range(STATES))], ["word", "c", *_STATES])
 
         for batch in batches:
             if batch.num_rows:
@@ -398,18 +398,20 @@ def untied(coded: DataFrame, model: Model, v: Vocabulary) -> tuple[Model, DataFr
                 fixed = np.rint(emits[here:] * FIXED).astype(np.int64)
                 rest += fixed.sum(axis=0)
                 n = batch.column("times").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                yield rows(batch.column("rare").flatten(), n, np.full(len(n), -1), fixed)
+                yield rows(batch.column("rare").flatten(), n, fixed)
         fixed = np.concatenate([np.rint(total * FIXED).astype(np.int64), rest])
         some = np.flatnonzero(fixed.any(axis=1))
         for i in range(0, len(some), 10_000):
             part = some[i : i + 10_000]
-            yield rows(pa.nulls(len(part), pa.string()), np.zeros(len(part), np.int64), part, fixed[part])
+            # No word begins with a blank.
+            yield rows(pa.array([f" {x}" for x in part.tolist()]), np.zeros(len(part), np.int64), fixed[part])
 
-    sent = coded.select("symbols", "wide", "ties", "rare", "times").mapInArrow(run, "word string, c long, id long, " + ", ".join(f"{x} long" for x in _STATES))
-    sums = common.checkpoint(sent.groupBy("id", "word").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in _STATES)))
-    total = _gathered(sums.where("word IS NULL").drop("word", "c"), v.symbols + STATES + 2)
+    sent = coded.select("symbols", "wide", "ties", "rare", "times").mapInArrow(run, "word string, c long, " + ", ".join(f"{x} long" for x in _STATES))
+    sums = placed(sent.groupBy("word").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in _STATES)))
+    bounded = F.col("word").startswith(" ")
+    total = _gathered(sums.where(bounded).select(F.col("word").substr(F.lit(2), F.length("word")).cast("long").alias("id"), *_STATES), v.symbols + STATES + 2)
     emits = total[: v.symbols]
-    return Model.from_counts(total[-2], total[v.symbols : -2], emits, v.share, emits.sum(axis=0) + total[-1]), sums.where("word IS NOT NULL").drop("id")
+    return Model.from_counts(total[-2], total[v.symbols : -2], emits, v.share, emits.sum(axis=0) + total[-1]), sums.where(~bounded)
 
 
 def likelihood(coded: DataFrame, table: DataFrame, model: Model, v: Vocabulary) -> DataFrame:
@@ -462,6 +464,17 @@ def tied_share(rare: DataFrame, v: Vocabulary) -> np.ndarray:
     return out / v.all
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """A checkpoint that stays dealt by its key, so that a join on it needs no exchange: adaptive plans forget how they were dealt."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return common.checkpoint(df)
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark) -> None:
     """Lets Spark's cleaner drop the shuffles and checkpoints that nothing refers to any more; it follows the driver's garbage collection."""
     gc.collect()
@@ -481,7 +494,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     frequent = sorted(((r[0], r[1]) for r in counts.where(F.col("c") >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
     v = Vocabulary(frequent, (words or 0) + ends, distinct + (ends > 0), ends)
     share = tied_share(counts.where(F.col("c") < least), v)
-    coded = common.checkpoint(encode(rows, spark.sparkContext.broadcast(v)).withColumn("row", F.monotonically_increasing_id()))
+    coded = placed(encode(rows, spark.sparkContext.broadcast(v)).withColumn("row", F.monotonically_increasing_id()).repartition("row"))
     del counts
     parts, least_parts = coded.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism
     model, taught = Model.first(share, v.marks), coded.where(~F.col("held_out")).coalesce(max(parts // JOINED, min(parts, least_parts), 1))
