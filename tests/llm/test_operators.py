@@ -164,12 +164,29 @@ def test_substrings(documents, corpus):
     assert substrings.dedupe(documents.limit(0)).count() == 0
 
 
-def test_substrings_beyond_the_sketch(documents, corpus, monkeypatch):
-    monkeypatch.setattr(substrings, "MOST_CELLS", 10)
+def test_substrings_beyond_the_bits(documents, corpus, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST_BITS", 10)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.dedupe(documents).collect()}
     assert got == brute.substrings(corpus)
 
 
+@pytest.mark.parametrize(("width", "chunk"), [(1 << 16, 1 << 21), (1 << 20, 1 << 21), (1 << 20, 1000)])
+def test_sketch_never_underestimates(spark, monkeypatch, width, chunk):
+    """Many blocks or one, partitions in many pieces; keys in one list only pass by a collision at most."""
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    rng = np.random.default_rng(9)
+    pool = rng.integers(-(2**62), 2**62, 20_000)
+    lists = [np.unique(rng.choice(pool, 50)).tolist() for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in lists], "anchors array<long>").repartition(5)
+    n = Counter(k for x in lists for k in x)
+    got = [k for r in substrings.estimated(df, width).collect() for k in r.anchors]
+    assert len(got) == len(set(got)) and {k for k in n if n[k] > 1} <= set(got) <= set(n)
+    assert len(got) < 1.5 * sum(x > 1 for x in n.values())
+    keys = spark.createDataFrame([(0, got)], "block int, anchors array<long>")
+    bits = substrings.Estimates(substrings.cells_of(keys, width).collect(), width)
+    assert bits.repeated(np.array(got).view(np.uint64)).all()
+
+
 def test_anchor_is_the_least_gram():
     words = np.random.default_rng(1).integers(0, 2**63, 400).astype(np.uint64)
     grams = substrings.gram_hashes(words, 10)

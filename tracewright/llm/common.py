@@ -76,17 +76,21 @@ class WordHash(dict):
 
     LIMIT = 300_000
 
+    def __init__(self, digest=xxhash.xxh3_64_intdigest):
+        super().__init__()
+        self.digest = digest
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = self.digest(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-WORD_HASH = WordHash()
+WORD_HASH, SECOND_HASH = WordHash(), WordHash(xxhash.xxh64_intdigest)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -7,20 +7,20 @@ covers it also starts in a document of smaller id.
    hashes inside a window the least is the window's anchor, so equal windows have equal
    anchors, and a text has about one anchor for every twenty words. Documents of the same words
    are copies: all but the least id lose every window outright.
-2. Each partition sketches the anchors of the remaining documents (a document counts an
-   anchor once) in count-min rows; the partition sketches are merged block by
-   block, counts saturating at two. A window's estimate is that of its anchor, which is never below the number of
-   documents that hold the window.
-3. A second pass emits only windows estimated at two or more documents, groups them
-   exactly by a 96-bit digest, and keeps those of documents above a window's least id.
+2. The anchors of the remaining documents (a document counts an anchor once) are counted by a count-min sketch in
+   blocks of cells; both cells of an anchor lie in its block. Each partition sends its sketch block by block, and its distinct
+   anchors behind; the task of a block adds the partition sketches up, counts saturating at two, and then tests the
+   anchors against them. An estimate is never below the number of documents that hold the anchor, which is never below that of
+   documents that hold the window: no repeated window is lost.
+3. A second pass emits only windows whose anchor is estimated at two or more documents, groups them
+   exactly by a 128-bit digest (two polynomials over two independent word hashes), and keeps those of documents above a window's least id.
 
-The merged sketch has a largest size, as each worker of the second pass holds it. A corpus with more
-anchors than that counts them by shuffle instead, a sketch as wide as its keys, and each
-document gets the list of its repeated anchors by a join. Both ways pass every repeated window on.
+The estimated anchors reach the second pass as bits (16 for each) if they take at most ``MOST_BITS`` on a
+worker, as measured, and else by a join of each document with its own; the sketch and its estimates are the same at every size.
 
 Defined cases: null text has no words; texts below WINDOW words lose nothing; a null id is
 never smaller or larger than another, so it neither removes nor loses words; rows of equal
-id don't remove each other's words; only the id and text columns are read.
+id don't remove each other's words; texts of any length are taken whole; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import WORD_HASH, gram_hashes
+from .common import SECOND_HASH, WORD_HASH, gram_hashes
 
 WINDOW, GRAM = 50, 10
-#: Count-min rows, cells of a block, and the largest number of cells of a row.
-ROWS, BLOCK, MOST_CELLS = 2, 1 << 16, 1 << 26
+#: Count-min rows, cells of a block's row, cells of a row for each key, keys a partition sketches at a time.
+ROWS, BLOCK, SPARE, CHUNK = 2, 1 << 16, 8, 1 << 21
+#: Bits that a worker of the second pass holds at most.
+MOST_BITS = 1 << 29
 SECOND_BASE = 0xD1B54A32D192ED03
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -60,8 +62,10 @@ def anchors(words: np.ndarray) -> np.ndarray:
 
 
 def cells(keys: np.ndarray, width: int) -> list[np.ndarray]:
-    """The cell of each key in each row of the sketch."""
-    return [(common.mix(keys ^ np.uint64(seed)) & np.uint64(width - 1)).astype(np.int64) for seed in _SEEDS[:ROWS]]
+    """The cell of each key in each row of ``width`` cells: all in the block that the first row's hash chooses."""
+    hashes = [common.mix(keys ^ np.uint64(seed)) for seed in _SEEDS[:ROWS]]
+    block = (hashes[0] >> np.uint64(16)) & np.uint64(width // BLOCK - 1)
+    return [(block << np.uint64(16) | (h & np.uint64(BLOCK - 1))).astype(np.int64) for h in hashes]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -95,61 +99,103 @@ def profile(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, n_words long, digest binary, anchors array<long>")
 
 
-def sketch(lists: DataFrame, width: int) -> DataFrame:
-    """``row, block, bits``: one bit for each cell of the merged count-min sketch of a column of distinct keys, set where the count is two or more.
+def width_for(keys: int) -> int:
+    """Cells of a row for so many keys: a power of two, SPARE a key or more."""
+    return max(BLOCK, 1 << max(SPARE * keys - 1, 0).bit_length())
 
-    A partition sends its sketch as the cells it has touched, block by block; each merging
-    task adds them up in the blocks it owns, as they come in.
+
+def _by_block(at: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Blocks of sorted cells, and where they stand."""
+    if len(at):
+        cut = np.flatnonzero(np.diff(at >> 16)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+            yield int(at[a]) >> 16, slice(a, b)
+
+
+def estimated(lists: DataFrame, width: int, least: int = 2) -> DataFrame:
+    """``block, anchors``: the keys of a column of distinct lists whose estimate by the merged sketch is ``least`` or more, each once.
+
+    The rows of a block's task are sorted: first the partitions' sketches of it, which it adds up, then their keys.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [[] for _ in range(ROWS)], 0
+        kept, size = [], 0
         for batch in batches:
-            keys = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            for mine, c in zip(kept, cells(keys, width), strict=True):
-                mine.append(c.astype(np.uint32))
-            size += len(keys)
-            if size >= 1 << 21:
-                yield from _touched(kept)
-                kept, size = [[] for _ in range(ROWS)], 0
-        yield from _touched(kept)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
+            kept.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            size += len(kept[-1])
+            if size >= CHUNK:
+                yield from _sketched(np.concatenate(kept), width)
+                kept, size = [], 0
+        if size:
+            yield from _sketched(np.concatenate(kept), width)
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts, passed = None, None, np.empty(0, np.uint64)
         for batch in batches:
-            for r, b, at, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (r, b) not in total:
-                    total[r, b] = np.zeros(BLOCK, np.uint8)
-                own, at = total[r, b], np.frombuffer(at, np.uint16)
-                own[at] = np.minimum(own[at] + np.frombuffer(more, np.uint8), 2)
-        for (r, b), counts in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())], ["row", "block", "bits"])
-
-    sent = lists.mapInArrow(partial, "row int, block int, cells binary, counts binary")
-    return sent.repartition("row", "block").mapInArrow(merge, "row int, block int, bits binary")
-
-
-def _touched(kept: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Cells and their counts, saturating at 2, of one partition's sketch."""
-    for r, parts in enumerate(kept):
-        if not parts:
-            continue
-        some, n = np.unique(np.concatenate(parts), return_counts=True)
-        cut = np.flatnonzero(np.diff(some >> 16)) + 1
-        blocks = [int(x[0]) >> 16 for x in np.split(some, cut)] if len(some) else []
-        at = [(x & 0xFFFF).astype(np.uint16).tobytes() for x in np.split(some, cut)][: len(blocks)]
-        counts = [np.minimum(x, 2).astype(np.uint8).tobytes() for x in np.split(n, cut)][: len(blocks)]
-        yield pa.RecordBatch.from_arrays([pa.array([r] * len(blocks), pa.int32()), pa.array(blocks, pa.int32()), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["row", "block", "cells", "counts"])
+            for block, row, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    if len(passed):
+                        yield _keys(now, passed)
+                    now, counts, passed = block, np.zeros((ROWS, BLOCK), np.uint8), np.empty(0, np.uint64)
+                if row < ROWS:
+                    at = np.frombuffer(at, np.uint16)
+                    counts[row, at] = np.minimum(counts[row, at] + np.frombuffer(data, np.uint8), 2)
+                else:
+                    keys = np.frombuffer(data, np.uint64)
+                    found = np.minimum.reduce([counts[r, c & (BLOCK - 1)] for r, c in enumerate(cells(keys, width))])
+                    passed = np.union1d(passed, keys[found >= least])
+        if len(passed):
+            yield _keys(now, passed)
+
+    sent = lists.mapInArrow(partial, "block int, row int, cells binary, data binary")
+    return sent.repartition("block").sortWithinPartitions("block", "row").mapInArrow(tested, "block int, anchors array<long>")
+
+
+def _keys(block: int, keys: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.array(keys.view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), lists], ["block", "anchors"])
+
+
+def _sketched(keys: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """The touched cells of each block with their counts, saturating at 2, row by row; then the block's distinct keys."""
+    out: list[tuple] = []
+    distinct = np.unique(keys)
+    for r, (every, own) in enumerate(zip(cells(keys, width), cells(distinct, width), strict=True)):
+        at, n = np.unique(every, return_counts=True)
+        n = np.minimum(n, 2).astype(np.uint8)
+        out += [(b, r, (at[part] & (BLOCK - 1)).astype(np.uint16).tobytes(), n[part].tobytes()) for b, part in _by_block(at)]
+        if r == 0:
+            order = np.argsort(own, kind="stable")
+            out += [(b, ROWS, b"", distinct[order[part]].tobytes()) for b, part in _by_block(own[order])]
+    for i in range(0, len(out), 4096):
+        columns = zip(*out[i : i + 4096], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "row", "cells", "data"])
+
+
+def cells_of(keys: DataFrame, width: int) -> DataFrame:
+    """``row, block, cells``: two bytes for each cell of the keys of ``block, anchors``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [np.unique(c) for c in cells(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), width)]
+            out = [(r, b, (every[part] & (BLOCK - 1)).astype(np.uint16).tobytes()) for r, every in enumerate(at) for b, part in _by_block(every)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["row", "block", "cells"])
+
+    return keys.select("anchors").mapInArrow(run, "row int, block int, cells binary")
 
 
 class Estimates:
-    """Which keys the merged sketch puts at two or more: one bit a cell, at most ROWS * MOST_CELLS bits."""
+    """Which keys the sketch puts at two or more: a bit for each of their cells."""
 
-    def __init__(self, blocks, width: int):
+    def __init__(self, touched, width: int):
         self.width = width
         self.bits = np.zeros((ROWS, width // 8), np.uint8)
-        for r, b, bits in blocks:
-            self.bits[r, b * BLOCK // 8 : (b + 1) * BLOCK // 8] = np.frombuffer(bits, np.uint8)
+        for r, b, at in touched:
+            block = self.bits[r, b * BLOCK // 8 : (b + 1) * BLOCK // 8]
+            some = np.unpackbits(block)
+            some[np.frombuffer(at, np.uint16)] = 1
+            block[:] = np.packbits(some)
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
@@ -158,15 +204,14 @@ class Estimates:
         return out
 
 
-def repeated_anchors(about: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, hot``: of each document, the anchors that two leaders or more hold."""
-    twice = leaders.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    held = about.select("doc_id", "text_hash", F.explode("anchors").alias("anchor")).join(common.checkpoint(twice), "anchor")
+def own_anchors(about: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, hot``: of each document, its anchors among ``block, anchors``."""
+    held = about.select("doc_id", "text_hash", F.explode("anchors").alias("anchor")).join(repeated.select(F.explode("anchors").alias("anchor")), "anchor")
     return held.groupBy("doc_id", "text_hash").agg(F.collect_set("anchor").alias("hot"))
 
 
 def suspects(rows: DataFrame, estimates: Estimates | None) -> DataFrame:
-    """``h1, h2, doc_id, text_hash, at`` of each window estimated in two documents or more: by the sketch, or by the column ``hot``.
+    """``h1, h2, doc_id, text_hash, at`` of each window estimated in two documents or more: by bits, or by the column ``hot``.
 
     Among a batch's documents of the same words only the least id is sent: the others are copies.
     """
@@ -189,12 +234,13 @@ def suspects(rows: DataFrame, estimates: Estimates | None) -> DataFrame:
                 passed = known.repeated(keys) if known else np.isin(keys, np.array(hot[0], np.int64).view(np.uint64))
                 at = np.flatnonzero(passed[back])
                 if len(at):
-                    for x, y in zip(out, (gram_hashes(h, WINDOW)[at].view(np.int64), (gram_hashes(h, WINDOW, SECOND_BASE)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), doc), np.full(len(at), th), at.astype(np.int32)), strict=True):
+                    other = SECOND_HASH.of(w)
+                    for x, y in zip(out, (gram_hashes(h, WINDOW)[at].view(np.int64), gram_hashes(other, WINDOW, SECOND_BASE)[at].view(np.int64), np.full(len(at), doc), np.full(len(at), th), at.astype(np.int32)), strict=True):
                         x.append(y)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h1", "h2", "doc_id", "text_hash", "at"])
 
-    return rows.mapInArrow(run, "h1 long, h2 int, doc_id long, text_hash long, at int")
+    return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, text_hash long, at int")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,12 +253,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     leaders = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("anchors").alias("anchors"))
     leaders = common.checkpoint(leaders)
     total = leaders.select(F.sum(F.size("anchors"))).first()[0] or 0
-    if total <= MOST_CELLS:
-        width = min(MOST_CELLS, max(BLOCK, 1 << (8 * total).bit_length()))
-        # At most ROWS * MOST_CELLS bits (16 MB) come back, whatever the corpus.
-        found = suspects(rows, Estimates(sketch(leaders.select("anchors"), width).collect(), width))
+    repeated = common.checkpoint(estimated(leaders.select("anchors"), width_for(total)))
+    width = width_for(repeated.select(F.sum(F.size("anchors"))).first()[0] or 0)
+    if ROWS * width <= MOST_BITS:
+        # Two bytes a cell, so at most MOST_BITS / SPARE * 2 bytes, come back.
+        found = suspects(rows, Estimates(cells_of(repeated, width).collect(), width))
     else:
-        found = suspects(common.join_rows(rows, repeated_anchors(known, leaders)), None)
+        found = suspects(common.join_rows(rows, own_anchors(known, repeated)), None)
     found = common.checkpoint(found)
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
     windows = found.join(common.checkpoint(first), ["h1", "h2"]).where("doc_id > first").select("doc_id", "text_hash", "at")
