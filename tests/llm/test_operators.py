@@ -274,9 +274,34 @@ def test_licences(spark):
 
 def test_licence_rules(spark):
     whole = ". ".join(licences.SENTENCES[x] for x in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"))
+    isc = [licences.SENTENCES[x] for x in ("isc-grant", "isc-as-is")]
     texts = ["Text.\nReleased under the MIT License.\nMore.", whole, licences.SENTENCES["bsd-source"] + ".", None, "", "no licence here.", "Permission is hereby granted to all."]
-    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got == {0: ["MIT"], 1: ["BSD-3-Clause"], 2: ["partial"], 3: [], 4: [], 5: [], 6: []}
+    texts += [". ".join([isc[0], "One", "Two", isc[1]]), ". ".join([isc[0], *["Another"] * 3000, isc[1]])]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (1, texts[0])], "doc_id long, text string").withColumns({"sentence_ids": F.lit(1), "licences": F.lit(2)})
+    got = licences.scan(df).collect()
+    assert [r.licences for r in got[:9]] == [["MIT"], ["BSD-3-Clause"], ["partial"], [], [], [], [], ["ISC"], ["partial"]]
+    assert [(r.doc_id, r.licences) for r in got[9:]] == [(None, ["MIT"]), (1, ["MIT"])]
+    assert licences.scan(df.limit(0)).count() == 0
+
+
+def test_published_notices(spark):
+    """Notices as they are published, plain, as comments of several styles, and one after the other."""
+    from notices import NOTICES
+
+    texts, want = [], []
+    for licence, text in NOTICES:
+        lines = text.split("\n")
+        for form in (text, "\n".join(f"# {x}" for x in lines), "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */", "\n".join(f"// {x}".rstrip() for x in lines), "code before\n\n" + text + "\n\nand behind"):
+            texts.append(form)
+            want.append([licence])
+    texts.append("\n\n".join(text for _, text in NOTICES))
+    want.append(sorted({x for x, _ in NOTICES}))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841
+    assert {r[0]: r[1] for r in con.execute(f"SELECT doc_id, licences FROM ({licences.ORACLE})").fetchall()} == {i: ",".join(x) for i, x in enumerate(want)}
 
 
 def test_jaccard(documents, corpus):
