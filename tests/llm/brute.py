@@ -301,3 +301,103 @@ def hidden_markov(texts, lm, known, own):
         start, moves = (first + 1) / (first + 1).sum(), (move + 1) / (move + 1).sum(axis=1, keepdims=True)
     assert np.allclose(sum(emits.values()), 1)
     return [math.log10(math.e) * np.log(recursions(lambda w: emits.get(w, emits["unseen",]), t)[2]).sum() for t in tokens]
+
+
+def warc_records(data):
+    """(header fields, block) of each record, by header end and length alone."""
+    out = []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        fields = [tuple(x.split(": ", 1)) for x in head.decode().split("\r\n")[1:]]
+        size = int(dict(fields)["Content-Length"])
+        out.append((fields, rest[:size]))
+        data = rest[size + 4 :]
+    return out
+
+
+def page(rng, depth=0):
+    """A random tree: its markup, and its text as items (lines, apart from neighbours by a blank line)."""
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6)))
+    text = lambda: " ".join(word() for _ in range(rng.randint(1, 6)))
+    markup, items = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["p", "h2", "div", "ul", "ol", "table", "pre", "hidden", "ghost", "section"])
+        t = text()
+        if kind in ("p", "h2"):
+            markup.append(f"<{kind}> {t.replace(' ', chr(10) + ' ', 1)} </{kind}>" if rng.random() < 0.5 else f"<{kind}><b>{t}</b></{kind}>")
+            items.append(([t], True))
+        elif kind == "div":
+            markup.append(f"<div>{t}</div>")
+            items.append(([t], False))
+        elif kind in ("ul", "ol"):
+            start, lines, parts = rng.randint(-3, 30), [], []
+            first = f" start='{start}'" if kind == "ol" else ""
+            for n in range(rng.randint(1, 4)):
+                if n == 1 and kind == "ol" and rng.random() < 0.5:
+                    start += 5
+                    parts.append(f"<li value={start + n}>")
+                else:
+                    parts.append("<li>")
+                mark = f"{start + n}. " if kind == "ol" else "- "
+                inner, own = page(rng, depth + 1) if depth < 2 and rng.random() < 0.4 else (text(), None)
+                own = laid_out(own).split("\n") if own is not None else [inner]
+                parts.append(inner + rng.choice(["", "</li>"]))
+                own = [x for x in own if x]
+                lines += [(mark if i == 0 else " " * len(mark)) + x for i, x in enumerate(own)]
+            markup.append(f"<{kind}{first}>{''.join(parts)}</{kind}>")
+            items.append((lines, True))
+        elif kind == "table":
+            # Cells on a grid; some take two columns or two rows.
+            wide, high = rng.randint(1, 4), rng.randint(1, 4)
+            taken, rows, cells = set(), [], {}
+            for y in range(high):
+                row = ""
+                for x in range(wide):
+                    if (x, y) in taken:
+                        continue
+                    w = 2 if x + 1 < wide and (x + 1, y) not in taken and rng.random() < 0.2 else 1
+                    h = 2 if y + 1 < high and rng.random() < 0.2 else 1
+                    taken |= {(x + i, y + j) for i in range(w) for j in range(h)}
+                    cells[x, y] = w, text()
+                    row += f"<td{' colspan=2' if w == 2 else ''}{' rowspan=2' if h == 2 else ''}>{cells[x, y][1]}"
+                rows.append(f"<tr>{row}</tr>")
+            used = sorted({x for x, _ in cells})
+            last = lambda x, w: max(c for c in used if c < x + w)
+            width = dict.fromkeys(used, 0)
+            for (x, _), (w, t) in sorted(cells.items(), key=lambda c: len([u for u in used if c[0][0] <= u < c[0][0] + c[1][0]])):
+                within = [c for c in used if x <= c < x + w]
+                width[last(x, w)] = max(width[last(x, w)], len(t) - sum(width[c] + 2 for c in within[:-1]))
+            lines = []
+            for y in range(high):
+                line = ""
+                for x in used:
+                    if (x, y) in cells:
+                        line = line.ljust(sum(width[c] + 2 for c in used if c < x)) + cells[x, y][1]
+                if line:
+                    lines.append(line.rstrip())
+            markup.append(f"<table><tbody>{''.join(rows)}</tbody></table>")
+            items.append((lines, True))
+        elif kind == "pre":
+            markup.append(f"<pre>{t}   x\n  {t}<div>{t}</div>{t}</pre>")
+            items.append(([f"{t}   x", f"  {t}", t, t], True))
+        elif kind == "hidden":
+            markup.append(rng.choice(["<div style='color:red; display : none'>{}<p>{}</p></div>", "<p hidden>{}{}</p>", "<script>'{}{}</p>'</script>", "<!-- {} {} -->"]).format(t, t))
+        elif kind == "ghost":
+            markup.append(f"<div style='visibility:hidden'>{t}<div style='visibility: visible'>{t}</div>{t}</div>")
+            items.append(([t], False))
+        elif depth < 3:
+            inner, own = page(rng, depth + 1)
+            markup.append(f"<section>{inner}</section>")
+            items += own
+    return "".join(markup), items
+
+
+def laid_out(items):
+    out, before = [], False
+    for lines, apart in items:
+        if lines:
+            if out and (apart or before):
+                out.append("")
+            out += lines
+            before = apart
+    return "\n".join(out)

@@ -148,6 +148,33 @@ def test_html_keeps_all_visible_words(spark):
         assert re.findall(r"\w+", references.unescape(re.sub(r"<[^>]+>", " ", shown))) == re.findall(r"\w+", got[r.page_id])
 
 
+def test_html_equals_the_plain_layout():
+    """Random trees of blocks, lists, tables with spans, preformatted and hidden parts."""
+    rng = random.Random(12)
+    for _ in range(600):
+        markup, items = brute.page(rng)
+        assert html.render(markup) == brute.laid_out(items).strip("\n"), markup
+
+
+def test_html_layout_details():
+    assert html.render("<div>" * 300 + "<div style='display:none'>SECRET</div>ok") == "ok"
+    assert html.render("<div>" * 300 + "<ul><li>a<li>b</ul>") == "- a\n- b"
+    assert html.render("<button>a</button><button>b</button><select><option>c<option>d</select>") == "a b c d"
+    assert html.render("<pre><div>a</div><div>b</div></pre>") == "a\nb"
+    long, wide = " ".join(["word"] * 90), "x" * 300
+    lines = html.render(f"<table><tr><td>{long}<td>B<tr><td>{wide}<td>D<tr><td>e<td>F</table>").split("\n")
+    assert [x.index(c) for x, c in ((lines[0], "B"), (lines[-1], "F"))] == [201, 201] and lines[-2] == f"{wide}  D"
+    assert html.render("<table><tr><td colspan=1000000>a<td rowspan=0>b<td colspan=x>c</table>") == "a  b  c"
+    assert html.render("<p>" + "</p><b></b>" * 20_000 + "<td>" * 5000 + "z").endswith("z")
+
+
+def test_html_odd_rows(spark):
+    rows = [(None, "<p>a"), (1, None), (1, "<p>b"), (1, "<p>b"), (2, ""), (3, "<p>" + "long text " * 100_000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit(1))
+    assert sorted((len(r.text) for r in html.extract(df).collect())) == [0, 0, 1, 1, 1, 999_999]
+    assert html.extract(df.limit(0)).count() == 0
+
+
 def test_html_never_fails():
     rng = random.Random(3)
     parts = ["<p>", "</p>", "<li>", "<ul>", "</ul>", "<table>", "</table>", "<tr>", "<td>", "x", " y ", "<b", "<", ">", "&amp", "&#x41;", "<!--", "-->", "<pre>", '"', "'", "<script>", "<br/>", "<a href="]

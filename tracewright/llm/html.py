@@ -2,24 +2,29 @@
 
 The tree builder reads tags, text and references, closes what the next tag implies to be
 closed (``p`` before a block, ``li`` before ``li``, cells before cells, ...), ignores end
-tags without a start, reads raw text elements up to their end tag, and never nests deeper
-than ``DEEPEST``. The renderer leaves out elements that are never shown (scripts, styles, head data,
-``hidden``, ``display:none``, ``visibility:hidden``), and writes *all* other text: blocks
+tags without a start, and reads raw text elements up to their end tag; elements may nest to any depth. The renderer
+leaves out elements that are never shown (scripts, styles, head data,
+``hidden``, ``display:none``) and text under ``visibility:hidden`` that no inner ``visible`` shows again, and writes *all* other text: blocks
 on lines of their own (blank lines around paragraphs and headings), list items with a dash
-or a number under their indent, table cells padded to their column, preformatted text as it stands. White
+or a number under their indent, table cells padded to their columns (``colspan`` and ``rowspan`` hold
+columns and rows; text wraps at ``WIDEST`` columns, and a longer word pushes the cells behind it in its line alone), preformatted text as it stands. White
 space elsewhere shrinks to one blank.
 
 Defined cases: null or empty markup gives empty text; unclosed and misnested markup, stray
 ``<`` and unknown references are text or ignored as above, never an error (after a tag whose
 quotes never close, ``>`` ends tags inside quotes too); ids may be null
-or repeated; only the id and markup columns are read; time is linear in the markup.
+or repeated, each row gives one; an empty table gives an empty table; only the id and markup columns are read, so other columns
+can't clash; very long pages are taken whole, in time linear in the markup but for the padding of tables.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+import sys
 import unicodedata
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,9 +33,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEEPEST = 200
-#: Cells wider than this don't widen their column.
+#: Columns at which the text of a cell wraps.
 WIDEST = 200
+#: The largest spans of a cell, as in the standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Never shown. ``title`` is the window's, not the page's.
@@ -59,55 +65,91 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\
 PLAIN_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?", re.S)
 UNENDED = re.compile(r"<[A-Za-z/]")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Set apart by a blank on either side.
+APART = frozenset("button select option".split())
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "shown", "start", "tag")
+    """An element: whether it is shown, whether its own text is visible, an ordered list's first number, an item's number, a cell's spans."""
 
-    def __init__(self, tag: str, shown: bool = True, start: int = 1):
-        self.tag, self.shown, self.start, self.children = tag, shown, start, []
+    __slots__ = ("children", "columns", "number", "rows", "shown", "start", "tag", "visible")
+
+    def __init__(self, tag: str, visible: bool = True):
+        self.tag, self.visible, self.children = tag, visible, []
+        self.shown, self.start, self.number, self.columns, self.rows = tag not in UNSEEN, 1, None, 1, 1
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
-def _shown(tag: str, raw: str) -> tuple[bool, int]:
-    """Whether the element is shown, and an ordered list's first number."""
-    if tag in UNSEEN:
-        return False, 1
-    if not raw or raw.isspace():
-        return True, 1
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"\s*-?[0-9]{1,9}\s*", text) else None
+
+
+def _element(tag: str, raw: str, visible: bool) -> Node:
+    """An element by its tag and attributes, under one whose text is visible or not."""
+    node = Node(tag, visible)
+    if not node.shown or not raw or raw.isspace():
+        return node
     at = _attributes(raw)
-    shown = "hidden" not in at and not HIDING.search(at.get("style", "")) and not (tag == "input" and at.get("type", "").lower() == "hidden")
-    first = at.get("start", "1") if tag == "ol" else "1"
-    return shown, int(first) if re.fullmatch(r"-?[0-9]{1,9}", first) else 1
+    style = at.get("style", "")
+    node.shown = "hidden" not in at and not HIDING.search(style) and not (tag == "input" and at.get("type", "").lower() == "hidden")
+    if own := VISIBILITY.findall(style):
+        node.visible = own[-1].lower() == "visible"
+    if tag == "ol":
+        node.start = 1 if (n := _number(at.get("start"))) is None else n
+    elif tag == "li":
+        node.number = _number(at.get("value"))
+    elif tag in _CELL:
+        node.columns = min(max(_number(at.get("colspan")) or 1, 1), MOST_COLUMNS)
+        node.rows = min(max(_number(at.get("rowspan")) or 1, 1), MOST_ROWS)
+    return node
+
+
+class Open:
+    """The open elements, outermost first, with a count of each tag: what isn't open needs no search."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.count = [root], Counter()
+
+    def push(self, node: Node) -> None:
+        self.nodes[-1].children.append(node)
+        self.nodes.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, at: int) -> None:
+        for node in self.nodes[at:]:
+            self.count[node.tag] -= 1
+        del self.nodes[at:]
+
+    def has(self, tags) -> bool:
+        return any(self.count[t] for t in tags)
+
+    def close(self, tags: frozenset | set, fences: frozenset | set, every: bool = False) -> None:
+        """Closes the innermost of ``tags``, or every one, up to a fence, with what is inside."""
+        i = len(self.nodes) - 1
+        while i > 0 and self.nodes[i].tag not in fences and self.has(tags):
+            if self.nodes[i].tag in tags:
+                self.cut(i)
+                if not every:
+                    return
+            i -= 1
 
 
 def parse(markup: str) -> Node:
     """The tree of a page."""
     root = Node("#root")
-    open_: list[Node] = [root]
+    open_ = Open(root)
     at, size, last = 0, len(markup), markup.rfind(">")
     find = MARKUP.search
 
     def add_text(raw: str) -> None:
-        if raw:
-            open_[-1].children.append(references.unescape(raw) if "&" in raw else raw)
-
-    def close(tags: frozenset | set, fences: frozenset | set) -> None:
-        """Closes open elements up to the outermost of ``tags`` before a fence."""
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in fences:
-                return
-            if open_[i].tag in tags:
-                del open_[i:]
-                if not (tags - {"td", "th"}):
-                    return
-                close(tags, fences)
-                return
+        if raw and open_.nodes[-1].visible:
+            open_.nodes[-1].children.append(references.unescape(raw) if "&" in raw else raw)
 
     while at < size:
         m = find(markup, at) if at <= last else None
@@ -124,32 +166,28 @@ def parse(markup: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and all(x.tag != "p" for x in open_):
-                open_[-1].children.append(Node("p"))
+            if tag == "p" and not open_.count["p"]:
+                open_.nodes[-1].children.append(Node("p"))
                 continue
-            close({tag}, FENCES.get(tag, frozenset()) | ({"td", "th"} if tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html") else set()))
+            open_.close({tag}, FENCES.get(tag, frozenset()) | (_CELL if tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html") else set()))
             continue
         if tag in BLOCKS and tag not in ("html", "body", "option"):
-            close({"p"}, frozenset(("td", "th", "li", "div", "blockquote", "button")))
+            open_.close({"p"}, frozenset(("td", "th", "li", "div", "blockquote", "button")))
         if tag in IMPLIED:
-            close(*IMPLIED[tag])
-        if tag in ("tr", "td", "th"):
-            inside = next((x.tag for x in reversed(open_) if x.tag in ("table", "tr")), None)
-            if tag != "tr" and inside == "table":
-                row = Node("tr")
-                open_[-1].children.append(row)
-                open_.append(row)
-        shown, start = _shown(tag, m[3])
-        node = Node(tag, shown, start)
-        open_[-1].children.append(node)
+            open_.close(*IMPLIED[tag], every=True)
+        if tag in _CELL and open_.has(("table", "tr")) and next(x.tag for x in reversed(open_.nodes) if x.tag in ("table", "tr")) == "table":
+            open_.push(Node("tr", open_.nodes[-1].visible))
+        node = _element(tag, m[3], open_.nodes[-1].visible)
         if tag in RAW:
+            open_.nodes[-1].children.append(node)
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(markup, at)
-            body = markup[at : end.start() if end else size]
-            if tag in ("textarea", "xmp"):
-                node.children.append(references.unescape(body))
+            if tag in ("textarea", "xmp") and node.visible:
+                node.children.append(references.unescape(markup[at : end.start() if end else size]))
             at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/") and len(open_) < DEEPEST:
-            open_.append(node)
+        elif tag in VOID or m[3].endswith("/"):
+            open_.nodes[-1].children.append(node)
+        else:
+            open_.push(node)
     return root
 
 
@@ -221,39 +259,99 @@ def _rows(node: Node, out: list[list[Node]], others: list[Node]) -> None:
             others.append(x)
 
 
+def _wrapped(lines: list[str]) -> list[str]:
+    """Lines cut between words at WIDEST columns."""
+    out = []
+    for line in lines:
+        if columns_of(line) <= WIDEST:
+            out.append(line)
+            continue
+        part, width = [], 0
+        for word in line.split(" "):
+            n = columns_of(word)
+            if part and width + 1 + n > WIDEST:
+                out.append(" ".join(part))
+                part, width = [], 0
+            width += n + bool(part)
+            part.append(word)
+        out.append(" ".join(part))
+    return out
+
+
+def _placed(rows: list[list[Node]]) -> list[list[tuple[int, int, Node]]]:
+    """First and last column (of those in which a cell begins) of each cell of each row; rows leave out what spans from above."""
+    held: dict[int, int] = {}  # column -> rows it is taken for
+    grid = []
+    for row in rows:
+        at, placed, below = 0, [], {}
+        for cell in row:
+            while held.get(at, 0):
+                at += 1
+            placed.append((at, at + cell.columns - 1, cell))
+            if cell.rows > 1:
+                below.update(dict.fromkeys(range(at, at + cell.columns), cell.rows))
+            at += cell.columns
+        grid.append(placed)
+        held = {c: n - 1 for c, n in held.items() if n > 1} | {c: n - 1 for c, n in below.items()}
+    starts = sorted({a for row in grid for a, _, _ in row})
+    number = {a: i for i, a in enumerate(starts)}
+    return [[(number[a], bisect_right(starts, b) - 1, cell) for a, b, cell in row] for row in grid]
+
+
 def _table(node: Node) -> list[str]:
-    """Captions and strays, then the rows: each cell's lines padded to its column."""
+    """Captions and strays, then the rows: each cell's lines padded to its columns."""
     rows: list[list[Node]] = []
     others: list[Node] = []
     _rows(node, rows, others)
     head = Lines()
     for x in others:
-        head.text(x) if isinstance(x, str) else _render(x, head, False)
+        if isinstance(x, str):
+            head.text(x)
+        else:
+            _render(x, head, False)
     head.end_line()
-    cells = [[_block(c) for c in row] for row in rows]
-    widths: list[int] = []
-    for row in cells:
-        for i, lines in enumerate(row):
-            width = max((w for w in map(columns_of, lines) if w <= WIDEST), default=0)
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], width)
+    cells = []
+    for row in _placed(rows):
+        cells.append([])
+        for a, b, cell in row:
+            cells[-1].append((a, b, _wrapped(_block(cell))))
+    widths: Counter = Counter()
+    need = lambda lines: max((w for w in map(columns_of, lines) if w <= WIDEST), default=0)
+    for a, b, lines in sorted((c for row in cells for c in row), key=lambda c: c[1] - c[0]):
+        # A spanning cell widens its last column by what the others lack.
+        widths[b] = max(widths[b], need(lines) - sum(widths[i] + 2 for i in range(a, b)))
+    start, at = {}, 0
+    for i in range(max((b for row in cells for _, b, _ in row), default=-1) + 1):
+        start[i] = at
+        at += widths[i] + 2
     out = list(head.lines)
     for row in cells:
-        for j in range(max((len(c) for c in row), default=0)):
-            line = [(c[j] if j < len(c) else "") for c in row]
-            out.append("  ".join(x + " " * (widths[i] - columns_of(x)) for i, x in enumerate(line)).rstrip(" "))
+        for j in range(max((len(lines) for _, _, lines in row), default=0)):
+            line, done = [], 0
+            for a, _, lines in row:
+                if j < len(lines) and lines[j]:
+                    gap = max(start[a] - done, 2 if done else 0)
+                    line.append(" " * gap + lines[j])
+                    done += gap + columns_of(lines[j])
+            out.append("".join(line).rstrip(" "))
     return out
 
 
 def _block(node: Node) -> list[str]:
     inner = Lines()
-    for x in node.children:
-        inner.text(x) if isinstance(x, str) else _render(x, inner, False)
+    _inside(node, inner, False)
     inner.end_line()
     return inner.lines
 
 
+def _inside(node: Node, to: Lines, pre: bool) -> None:
+    for x in node.children:
+        if isinstance(x, str):
+            to.text(x)
+        else:
+            _render(x, to, pre)
+
+
 def _render(node: Node, to: Lines, pre: bool) -> None:
     if not node.shown:
         return
@@ -273,6 +371,7 @@ def _render(node: Node, to: Lines, pre: bool) -> None:
             if isinstance(x, str):
                 to.text(x)
             elif x.tag == "li" and x.shown:
+                number = number if x.number is None else x.number
                 mark = f"{number}. " if tag == "ol" else "- "
                 number += 1
                 lines = [line for line in _block(x) if line] if x.children else []
@@ -282,13 +381,13 @@ def _render(node: Node, to: Lines, pre: bool) -> None:
         to.space()
     elif tag in ("pre", "textarea", "xmp"):
         to.space()
-        to.whole(_plain(node).strip("\n").split("\n"))
+        to.whole("".join(_plain(node, [])).strip("\n").split("\n"))
         to.space()
     elif tag == "dd":
         to.whole(["  " + line for line in _block(node)])
-    elif tag in ("td", "th"):  # outside a table
-        for x in node.children:
-            to.text(x) if isinstance(x, str) else _render(x, to, pre)
+    elif tag in _CELL or tag in APART:  # a cell outside a table
+        to.text(" ")
+        _inside(node, to, pre)
         to.text(" ")
     else:
         block = tag in BLOCKS
@@ -296,24 +395,55 @@ def _render(node: Node, to: Lines, pre: bool) -> None:
             to.space()
         elif block:
             to.end_line()
-        for x in node.children:
-            to.text(x) if isinstance(x, str) else _render(x, to, pre)
+        _inside(node, to, pre)
         if tag in SPACED:
             to.space()
         elif block:
             to.end_line()
 
 
-def _plain(node: Node) -> str:
-    return "".join(x if isinstance(x, str) else ("\n" if x.tag == "br" else _plain(x) if x.shown else "") for x in node.children)
+def _plain(node: Node, out: list[str]) -> list[str]:
+    """Preformatted text; inner blocks begin and end lines."""
+
+    def begin_line() -> None:
+        if out and not out[-1].endswith("\n"):
+            out.append("\n")
+
+    for x in node.children:
+        if isinstance(x, str):
+            if x:
+                out.append(x)
+        elif x.tag == "br":
+            out.append("\n")
+        elif x.shown:
+            if x.tag in BLOCKS:
+                begin_line()
+            _plain(x, out)
+            if x.tag in BLOCKS:
+                begin_line()
+    return out
+
+
+def _depth(root: Node) -> int:
+    """How deep elements nest."""
+    depth, level = 0, [root]
+    while level:
+        depth, level = depth + 1, [c for x in level for c in x.children if isinstance(c, Node)]
+    return depth
 
 
 def render(markup: str | None) -> str:
     """The visible text of a page."""
     if not markup:
         return ""
-    out = Lines()
-    _render(parse(markup), out, False)
+    root, out, limit = parse(markup), Lines(), sys.getrecursionlimit()
+    # A few calls for each level.
+    if (need := 6 * _depth(root) + 500) > limit:
+        sys.setrecursionlimit(need)
+    try:
+        _render(root, out, False)
+    finally:
+        sys.setrecursionlimit(limit)
     out.end_line()
     return "\n".join(out.lines).strip("\n")
 

@@ -1,7 +1,7 @@
 """WARC derivatives: each response gives a metadata record and a plain-text conversion record that refer to it.
 
 A record is a row ``record_id, type, target_uri, date, refers_to, concurrent_to, content_type,
-block_digest, payload_digest, headers (the other named fields), block``. ``responses`` makes records of
+block_digest, payload_digest, headers (the other named fields, and repeated ones), block``. ``responses`` makes records of
 fetched pages, ``read`` of WARC files (plain or gzip, record by record); ``derive`` makes the derivatives, and
 ``serialise`` the bytes of a record.
 
@@ -14,7 +14,9 @@ UUIDs of source id and kind, so a task that runs again makes the same records.
 Defined cases: a null payload is an empty one; a null URI gives records without one; responses of other media types
 get metadata alone; records of other types give nothing; chunked and gzip or deflate bodies are decoded, and taken as they are
 where that fails; payloads in an unknown or wrong charset are read as UTF-8 with replacements; repeated rows give
-repeated records; only the named columns are read.
+repeated records; an empty table gives an empty table; only the named columns are read, so other columns can't clash. Of a file, what comes after a record cut short, or after
+a broken gzip member, is left out; a record without a length that is a number is left out alone. A file is read as a whole, so it
+may have 2 GB at most.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ from . import common
 from .html import render
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, RFC 4122
-FIELDS = "record_id string, type string, target_uri string, date string, refers_to string, concurrent_to string, content_type string, block_digest string, payload_digest string, headers map<string,string>, block binary"
+FIELDS = "record_id string, type string, target_uri string, date string, refers_to string, concurrent_to string, content_type string, block_digest string, payload_digest string, headers array<struct<name:string,value:string>>, block binary"
 NAMED = {"WARC-Record-ID": "record_id", "WARC-Type": "type", "WARC-Target-URI": "target_uri", "WARC-Date": "date", "WARC-Refers-To": "refers_to", "WARC-Concurrent-To": "concurrent_to", "Content-Type": "content_type", "WARC-Block-Digest": "block_digest", "WARC-Payload-Digest": "payload_digest"}
 _BY_NAME = {k.lower(): v for k, v in NAMED.items()}
-_KIND = pa.schema([(n, pa.string()) for n in NAMED.values()] + [("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+_KIND = pa.schema([(n, pa.string()) for n in NAMED.values()] + [("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary())])
 FETCHED = "2024-01-01T00:00:00Z"
 #: Records an output batch holds at most.
 ROWS = 256
@@ -57,6 +59,11 @@ def record(kind: str, rid: str, block: bytes, content_type: str, **more) -> dict
     return {"refers_to": None, "concurrent_to": None, "target_uri": None, "date": None, "payload_digest": None, "headers": []} | more | {"record_id": rid, "type": kind, "content_type": content_type, "block": block, "block_digest": digest(block)}
 
 
+def fields_of(named: list[tuple[str, str | None]]) -> list[dict]:
+    """Header fields in order; those without a value are left out."""
+    return [{"name": k, "value": v} for k, v in named if v is not None]
+
+
 def response(page: str, uri: str | None, payload: bytes, date: str = FETCHED) -> dict:
     """The record of a fetched HTML page."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -107,7 +114,8 @@ def derivatives(source: dict) -> list[dict]:
     payload = source["payload_digest"] or digest(body)
     shared = {"refers_to": rid, "target_uri": uri, "date": date}
     kept = [("source-payload-digest", payload), ("source-block-digest", source["block_digest"]), ("source-WARC-Refers-To", source["refers_to"]), ("source-WARC-Concurrent-To", source["concurrent_to"])]
-    kept += [(f"source-{k}", v) for k, v in dict(source["headers"] or {}).items()]
+    others = [(h["name"], h["value"]) for h in source["headers"] or ()]
+    kept += [(f"source-{k}", v) for k, v in others]
     listed = [(k, v) for k, v in kept if v is not None] + [("http-status", status)] + [(f"http-{k}", v) for k, v in fields]
     out, conversion = [], None
     if kind in ("text/html", "application/xhtml+xml", "text/plain"):
@@ -115,11 +123,12 @@ def derivatives(source: dict) -> list[dict]:
         raw = entity(by, body)
         try:
             text = raw.decode(charset[1] if charset else "utf-8", "replace")
-        except LookupError:
+        except (LookupError, ValueError):
+            # Unknown, or one that can't replace what it can't read.
             text = raw.decode("utf-8", "replace")
         plain = (text if kind == "text/plain" else render(text)).encode("utf-8", "replace")
         conversion = name("conversion", rid)
-        out.append(record("conversion", conversion, plain, "text/plain; charset=utf-8", headers=[("X-Source-Payload-Digest", payload)], payload_digest=digest(plain), **shared))
+        out.append(record("conversion", conversion, plain, "text/plain; charset=utf-8", headers=fields_of([("X-Source-Payload-Digest", payload), ("X-Source-Block-Digest", source["block_digest"]), *((f"X-Source-{k}", v) for k, v in others)]), payload_digest=digest(plain), **shared))
         listed += [("text-length", str(len(plain))), ("text-digest", out[0]["block_digest"])]
     fields_block = "".join(f"{k}: {v}\r\n" for k, v in listed).encode()
     return [record("metadata", name("metadata", rid), fields_block, "application/warc-fields", concurrent_to=conversion, **shared), *out]
@@ -127,7 +136,7 @@ def derivatives(source: dict) -> list[dict]:
 
 def to_bytes(r: dict) -> bytes:
     """A record as WARC/1.1."""
-    named = [(k, r[v]) for k, v in NAMED.items() if r.get(v) is not None] + list(dict(r["headers"] or {}).items())
+    named = [(k, r[v]) for k, v in NAMED.items() if r.get(v) is not None] + [(h["name"], h["value"]) for h in r["headers"] or ()]
     head = "".join(f"{k}: {v}\r\n" for k, v in named)
     return f"WARC/1.1\r\n{head}Content-Length: {len(r['block'])}\r\n\r\n".encode() + r["block"] + b"\r\n\r\n"
 
@@ -142,15 +151,57 @@ def parse(stream) -> Iterator[dict]:
             k, _, v = line.decode("utf-8", "replace").partition(":")
             k, v = k.strip(), v.strip()
             if k.lower() == "content-length":
-                length = int(v)
-            elif k.lower() in _BY_NAME:
+                length = int(v) if re.fullmatch("[0-9]{1,18}", v) else -1
+            elif out.get(_BY_NAME.get(k.lower(), ""), v) is None:
                 out[_BY_NAME[k.lower()]] = v
             else:
                 more.append((k, v))
+        if length < 0:
+            continue
         block = stream.read(length)
         if len(block) < length:
             return
-        yield out | {"headers": more, "block": block}
+        yield out | {"headers": fields_of(more), "block": block}
+
+
+class Inflated(io.RawIOBase):
+    """The content of gzip members one after the other, up to where they are broken."""
+
+    PIECE = 1 << 16
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at, self.piece, self.member = raw, 0, b"", zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        out = b""
+        while not out and self.member is not None:
+            if self.member.eof:
+                # The next member begins where this one left off.
+                self.at -= len(self.member.unused_data)
+                self.piece, more = b"", self.raw[self.at : self.at + 2] == b"\x1f\x8b"
+                self.member = zlib.decompressobj(31) if more else None
+                continue
+            if not self.piece:
+                self.piece = self.raw[self.at : self.at + self.PIECE]
+                self.at += len(self.piece)
+            last = not self.piece
+            try:
+                out = self.member.decompress(self.piece, len(into))
+            except zlib.error:
+                last = True
+            self.piece = self.member.unconsumed_tail
+            if last and not out and not self.member.eof:
+                self.member = None
+        into[: len(out)] = out
+        return len(out)
+
+
+def records_of(raw: bytes) -> Iterator[dict]:
+    """Records of a file's bytes, plain or gzip, up to where it is broken."""
+    yield from parse(io.BufferedReader(Inflated(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw))
 
 
 def _batches(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +235,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0).to_pylist():
-                stream = io.BytesIO(raw)
-                yield from _batches(parse(io.BufferedReader(gzip.GzipFile(fileobj=stream)) if raw[:2] == b"\x1f\x8b" else stream))
+                yield from _batches(records_of(raw))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FIELDS)
 
