@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators import counts, dataflow, deps, epochs, graph, hotcode, intervals, metrics, paths, rewrite, segment, trace, valuehist
+from tracewright.operators import counts, dataflow, deps, epochs, graph, hotcode, intervals, iterate, metrics, paths, rewrite, segment, trace, valuehist
 from tracewright.sources import text
 
 from . import views as V
@@ -547,8 +545,7 @@ def call_graph_json(spark, sf_dir):
 
 
 def _shared(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-")
-    return f"{root.rstrip(os.sep)}/{name}-{uuid.uuid4().hex}"
+    return f"{iterate.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT a AS src, b AS snk, freq FROM (SELECT CAST(ascii(src) AS BIGINT) AS a, CAST(ascii(snk) AS BIGINT) AS b, freq FROM e)", "e")
