@@ -6,13 +6,12 @@ and read again as the next stage's ``docs``. All but the last return the columns
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import bpe, common, decontaminate, jaccard, pii, quality
+from tracewright.operators.iterate import remove, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,18 +47,19 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: Learned rules, LSH and BPE are beyond SQL; tests compare stages with brute force.
+#: Learned rules, LSH and BPE are beyond SQL; tests compare the stages, and the whole, with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    home = f"{shared.rstrip(os.sep)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each but the last is written to the shared folder and read again, and removed once its successor is written."""
+    home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{home}/{k}-{name}")
             docs = spark.read.parquet(f"{home}/{k}-{name}")
+            if k:
+                remove(spark, f"{home}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

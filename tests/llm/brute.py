@@ -401,3 +401,28 @@ def laid_out(items):
             out += lines
             before = apart
     return "\n".join(out)
+
+
+def base_failed(text):
+    n, _, _, _, repeats = quality(text)
+    return n < 50 or 100 * repeats > 50 * n
+
+
+def kept(text, rules):
+    """The base rules, then an ordered list of (feature, above, cut) conjunctions."""
+    text = text or ""
+    n, chars, symbols, dup, repeats = quality(text)
+    lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+    share = lambda a, b: math.floor(a / max(b, 1) * 1000 + 0.5) / 1000
+    row = (share(chars, n), share(symbols, n), share(dup, lines), share(repeats, n), share(len(re.findall("[A-Z]", text)), chars), share(text.count("!"), n), float(n))
+    return not base_failed(text) and not any(all((row[c.feature] > c.cut) is c.above for c in r) for r in rules)
+
+
+def redacted(text, spans):
+    """Each span replaced by its kind; of overlapping ones the first."""
+    out, at = "", 0
+    for kind, a, b in ((k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans.split(",") if s)):
+        if a >= at:
+            out += text[at:a] + f"<{kind}>"
+        at = max(at, b)
+    return out + text[at:]

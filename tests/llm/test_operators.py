@@ -428,6 +428,40 @@ def test_decision_list_learns_thresholds(spark):
     assert quality.keep(df.drop("quality"), df.select("doc_id", "quality")).count() == 120
 
 
+def test_decision_list_of_several_conjunctions(spark):
+    """Junk that takes two thresholds at once, and another kind that takes a rule of its own; odd labels don't teach."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(900):
+        shout, marked = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"{'W' if shout else 'w'}{rng.randrange(10**6)}x{j}{'$' if marked and j % 2 else ''}" for j in range(60)]
+        lines = i % 9 == 0
+        rows.append((i, "\n".join(["same line here"] * 15 + words) if lines else " ".join(words), int(not (lines or (shout and marked)))))
+    df = spark.createDataFrame(rows, "id long, body string, quality int").repartition(3)
+    labels = df.select(F.col("id").alias("doc_id"), "quality").unionByName(spark.createDataFrame([(0, 1), (None, 0), (1, None)], "doc_id long, quality int"))
+    rules = quality.learn(df, labels, id_col="id", text_col="body")
+    assert len(rules) >= 2 and any(len(r) >= 2 for r in rules)
+    kept = {r.id for r in quality.keep(df, labels, "id", "body").collect()}
+    want = {i for i, t, q in rows if q and not brute.base_failed(t)}
+    assert kept == {i for i, t, _ in rows if brute.kept(t, rules)} and len(kept ^ want) <= 9
+
+
+def test_quality_kept_equals_the_plain_form(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.learn(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()} == {i: brute.kept(t, rules) for i, t in texts.items()}
+
+
+def test_bpe_of_another_pattern(spark, reference_encoding):
+    pattern = r"\S+ \S+|\s+|\S+"
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    df = spark.createDataFrame([(1, "some words and more of them\n"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in bpe.encode(df, pattern=pattern).collect()} == {1: other.encode_ordinary("some words and more of them\n"), 2: []}
+
+
 def test_contamination(spark, documents, corpus):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items += [(900, "One, TWO"), (901, None), (902, ""), (903, items[0][1]), (904, "words at its end")]

@@ -114,8 +114,8 @@ class Recent(dict):
 class Encoder:
     """Ids of whole texts.
 
-    The pattern never joins what lies on either side of a lone blank between two other
-    characters, so a text falls into chunks at such blanks. Chunks and their pieces are
+    The usual pattern never joins what lies on either side of a lone blank between two other
+    characters, so a text falls into chunks at such blanks; with another pattern it is one chunk. Chunks and their pieces are
     remembered up to a bound, their ids as the bytes of 32-bit integers.
     """
 
@@ -124,10 +124,11 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         ranks, split = load(path)[0], regex.compile(pattern).findall
         self.pieces = Recent(lambda piece: array("i", merge(piece.encode(), ranks)).tobytes(), CACHE_ENTRIES, CACHE_PIECE)
+        self.cut = self.CHUNK.findall if pattern == public_tokenizers.PATTERN else lambda text: [text]
         self.chunks = Recent(lambda chunk: b"".join(map(self.pieces.__getitem__, split(chunk))), CACHE_ENTRIES, CACHE_PIECE)
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, self.CHUNK.findall(text))), np.int32)
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, self.cut(text))), np.int32)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

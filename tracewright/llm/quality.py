@@ -7,7 +7,8 @@ on the other third, and stops when the pruned rule isn't precise enough. ``verdi
 the ordered rules into ``CASE WHEN`` branches. The main path holds no Python code.
 
 Defined cases: null text has no words, so it fails the base rules; a null or repeated id
-is a row of its own; labels that are null, or that repeat with other values, don't teach;
+is a row of its own; labels that are null, or that repeat with other values, don't teach; of conditions of equal gain the first in the order of
+FEATURES and cuts is taken; very long texts are taken whole;
 without labels of both kinds the list is empty and the base rules decide alone; only the
 id and text columns are read, so other columns can't clash.
 """
@@ -152,12 +153,13 @@ def cover(rows: list[tuple[tuple, bool]]) -> list[list[Condition]]:
     return rules
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[list[Condition]]:
     """The decision list for junk, from those of ``sample`` labelled rows that pass the base rules."""
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("least"), F.max("quality").alias("most")).where("least = most")
     picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("label_id"), (F.col("least") == 0).alias("is_junk"))
     # At most `sample` rows of 9 bytes: a proven bound.
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")), "doc_id", "text", "is_junk")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = statistics(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")), "doc_id", "text", "is_junk")
     taught = rows.select("doc_id", "is_junk", F.array(*features().values()).alias("x"), base_failed().alias("failed")).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()
     # What the base rules fail needs no learning. A filter in the plan would go below the join and measure every text.
     return cover([(tuple(r.x), r.is_junk) for r in taught if not r.failed])
@@ -180,9 +182,9 @@ def judge(docs: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
     return statistics(docs, "doc_id", "text", *more).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
-def keep(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, as they are; a text is measured once."""
-    rules = learn(docs, labels)
+    rules = learn(docs, labels, id_col=id_col, text_col=text_col)
     return docs.where(let(measure(F.col(text_col)), lambda m: ~base_failed(m.getField) & verdict(rules, m.getField)))
 
 
