@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Children of an inner node of the segment tree.
 FAN = 16
 #: Chunks, and pieces, that a worker remembers (twice that at most); longer ones aren't kept.
-CACHE_ENTRIES, CACHE_PIECE = 250_000, 40
+CACHE_ENTRIES, CACHE_PIECE = 150_000, 40
 _LOADED: dict[str, tuple[dict[bytes, int], list[bytes]]] = {}
 
 
@@ -134,22 +134,32 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    coder = _ENCODERS.get((path, pattern)) or _ENCODERS.setdefault((path, pattern), Encoder(path, pattern))
+    for batch in batches:
+        ids = [coder(t or "") for t in batch.column(1).to_pylist()]
+        ends = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum([len(x) for x in ids], out=ends[1:])
+        flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    token = load(path)[1].__getitem__
+    for batch in batches:
+        column = batch.column(1)
+        flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets) - column.offsets[0].as_py() if len(column) else []
+        out = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<int>`` of each row's whole text."""
     path = path or public_tokenizers.path(VOCABULARY)
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _ENCODERS.get((path, pattern)) or _ENCODERS.setdefault((path, pattern), Encoder(path, pattern))
-        for batch in batches:
-            ids = [coder(t or "") for t in batch.column(1).to_pylist()]
-            ends = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=ends[1:])
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(lambda batches: _encoded(batches, path, pattern), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -158,20 +168,24 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     common.small_batches(coded.sparkSession)
     rows = coded.select("doc_id", "ids")
 
+    return rows.mapInArrow(lambda batches: _decoded(batches, path), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+
+
+def _both(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids, decoded`` of each row: ``decode(encode(docs))`` in one worker."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    common.small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = load(path)[1].__getitem__
-        for batch in batches:
-            column = batch.column(1)
-            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets) - column.offsets[0].as_py() if len(column) else []
-            out = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+        return _decoded(_encoded(batches, path, pattern), path)
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
     """One row per document: the count and digests of its ids and of the bytes they decode to."""
-    return decode(encode(docs, **options)).select(
+    return _both(docs, **options).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
@@ -181,7 +195,7 @@ def digests(docs: DataFrame, **options) -> DataFrame:
 
 def tokenised(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256``: the ids themselves."""
-    return decode(encode(docs, **options)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return _both(docs, **options).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

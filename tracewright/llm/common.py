@@ -6,6 +6,7 @@ import os
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,13 @@ class WordHash(dict):
 WORD_HASH, SECOND_HASH = WordHash(), WordHash(xxhash.xxh64_intdigest)
 
 
+def rest() -> None:
+    """At the end of a partition: a worker that waits for its next task gives back what it remembers."""
+    WORD_HASH.clear()
+    SECOND_HASH.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads every input bit."""
     h = h ^ (h >> np.uint64(33))

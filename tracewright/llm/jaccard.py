@@ -33,7 +33,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +45,7 @@ from .common import WORD_HASH, gram_hashes, mix
 SHINGLE, SIMILAR = 5, (4, 5)
 TREES, DEPTH, RECALL, PRIOR = 24, 8, 0.9999, 0.01
 #: Documents, and shingles, of a block; columns of an incidence matrix at a time.
-BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
+BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 19, 2048
 #: Sets of sizes a and b are linked only if neither is more than 5/4 of the other; the rest is for rounding.
 SIZE_CLASS = SIMILAR[1] / SIMILAR[0] + 0.01
 #: Links are told apart by hundredths of similarity.
@@ -107,6 +106,7 @@ def profile(rows: DataFrame) -> DataFrame:
                 n.append(len(runs))
                 found.append(labels(runs) if len(runs) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "text_hash", "set_key", "n", "labels"])
+        common.rest()
 
     return rows.mapInArrow(run, "doc_id long, text_hash long, set_key binary, n long, labels binary")
 
@@ -135,7 +135,7 @@ def groups(sets: DataFrame, depth: int, after: int | None = None) -> DataFrame:
     open_ = about.groupBy("key").agg(*ends).where(~all_met).select("key")
     met = met.join(common.broadcast_if_small(common.checkpoint(open_), 16), "key").withColumn("class", F.floor(F.log("n") / F.log(F.lit(SIZE_CLASS))).cast("int"))
     met = common.checkpoint(met)
-    bins = 12 + (met.agg(F.sum("n")).first()[0] or 0) // (BLOCK_SHINGLES // 4)
+    bins = 12 + (met.agg(F.sum("n")).first()[0] or 0) // (BLOCK_SHINGLES // 2)
 
     cells = met.groupBy("key", "class").agg(F.count("*").alias("docs"), F.sum("n").alias("runs"))
     whole = cells.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("runs").alias("runs")).where((F.col("docs") > BLOCK_DOCS) | (F.col("runs") > BLOCK_SHINGLES)).select("key")
@@ -170,8 +170,8 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def compare(sets: list[np.ndarray], skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which pairs are linked: (i, j) arrays, i < j, and their similarity in hundredths; pairs of the matrix ``skip`` don't count."""
-    size = np.array([len(x) for x in sets])
-    shared = _intersections(sets).astype(np.int64)
+    size = np.array([len(x) for x in sets], np.int32)
+    shared = _intersections(sets).astype(np.int32)
     p, q = SIMILAR
     union = size[:, None] + size[None, :] - shared
     i, j = np.nonzero(np.triu((q * shared >= p * union) & ~skip, 1))
@@ -213,23 +213,24 @@ def links(rows: DataFrame, sets: DataFrame, members: DataFrame, depth: int, afte
         for batch in batches:
             runs = [shingles(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(runs, pa.binary()), *batch.columns[1:]], ["runs", "node", "labels"])
+        common.rest()
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, tree, first = frame["node"].to_numpy(), frame["tree"].to_numpy(), frame["first"].to_numpy()
-        order = np.lexsort((ids, frame["key"].to_numpy()))
-        cuts = np.flatnonzero(np.diff(frame["key"].to_numpy()[order])) + 1
+    def one(table: pa.Table) -> pa.Table:
+        ids, tree, key, first = (table.column(c).to_numpy() for c in ("node", "tree", "key", "first"))
+        runs, label = (table.column(c).to_pylist() for c in ("runs", "labels"))
+        order = np.lexsort((ids, key))
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
         found, bands = [(np.empty(0, np.int64),) * 3], np.zeros(BANDS + 1, np.int64)
         for part in np.split(order, cuts):
-            own = [np.frombuffer(frame["runs"].iat[k], np.uint64) for k in part]
-            label = np.frombuffer(b"".join(frame["labels"].iat[k] for k in part), "<u2").reshape(len(part), TREES, DEPTH)
-            skip = met_before(label, depth, range(tree[part[0]]))
+            own = np.frombuffer(b"".join(label[k] for k in part), "<u2").reshape(len(part), TREES, DEPTH)
+            skip = met_before(own, depth, range(tree[part[0]]))
             if after:
-                skip |= met_before(label, after, range(TREES))
+                skip |= met_before(own, after, range(TREES))
             if not first[part].all():
                 skip |= first[part][:, None] == first[part][None, :]
             if skip[np.triu_indices(len(part), 1)].all():
                 continue
-            i, j, similarity = compare(own, skip)
+            i, j, similarity = compare([np.frombuffer(runs[k], np.uint64) for k in part], skip)
             if len(i):
                 degree = np.bincount(np.concatenate([i, j]), minlength=len(part))
                 some = np.flatnonzero(degree)
@@ -237,7 +238,8 @@ def links(rows: DataFrame, sets: DataFrame, members: DataFrame, depth: int, afte
                 bands += np.bincount(similarity, minlength=BANDS + 1)
         some = np.flatnonzero(bands)
         nodes, degrees, roots = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"id": pd.array([*nodes, *[None] * len(some)], "Int64"), "n_links": np.concatenate([degrees, bands[some]]), "root": np.concatenate([roots, some])})
+        named = pa.concat_arrays([pa.array(nodes, pa.int64()), pa.nulls(len(some), pa.int64())])
+        return pa.table([named, pa.array(np.concatenate([degrees, bands[some]])), pa.array(np.concatenate([roots, some]))], ["id", "n_links", "root"])
 
     nodes = members.select("node").distinct().join(sets, "node").select("node", "labels", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
     nodes = common.broadcast_if_small(common.checkpoint(nodes), 48 + 2 * TREES * DEPTH)
@@ -257,7 +259,7 @@ def links(rows: DataFrame, sets: DataFrame, members: DataFrame, depth: int, afte
     dealt = common.checkpoint(dealt)
     kind = "id long, n_links long, root long"
     joined = runs.join(common.broadcast_if_small(dealt, 48), "node")
-    return joined.groupBy("task", "whole").applyInPandas(one, kind)
+    return joined.groupBy("task", "whole").applyInArrow(one, kind)
 
 
 def _compared(rows: DataFrame, sets: DataFrame, depth: int, after: int | None, twice: bool) -> DataFrame:
