@@ -290,8 +290,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     root = star.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
     linked = sets.select(F.col("node").alias("id"), "set_key", "rep", "n_copies").join(degree, "id", "left").join(root, "id", "left")
     linked = common.checkpoint(linked.select("set_key", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "id").alias("root")))
-    lead = linked.groupBy("root").agg(F.min("rep").alias("lead"), F.min("set_key").alias("class_key"))
-    return about.select("doc_id", "text_hash", "set_key"), linked.join(lead, "root").select("set_key", "lead", "class_key", "n_links", "n_copies")
+    # Classes of one set lead themselves; a large class meets its leader through a broadcast row, if these fit.
+    lead = linked.groupBy("root").agg(F.min("rep").alias("lead"), F.min("set_key").alias("class_key"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
+    led = linked.join(common.broadcast_if_small(common.checkpoint(lead), 72), "root", "left")
+    led = led.select("set_key", F.coalesce("lead", "rep").alias("lead"), F.coalesce("class_key", "set_key").alias("class_key"), "n_links", "n_copies")
+    return about.select("doc_id", "text_hash", "set_key"), led
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
