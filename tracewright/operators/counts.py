@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -28,8 +27,9 @@ def block_frequency(edges: DataFrame) -> DataFrame:
 
 
 def weights(edges: DataFrame) -> DataFrame:
-    """``edges`` with ``weight = freq / sum of the source's freq``."""
-    return edges.withColumn("weight", F.col("freq") / F.sum("freq").over(W.partitionBy("src")))
+    """``edges`` with ``weight = freq / sum of the source's freq``; sums are partial aggregates, so a hub's edges are never held together."""
+    total = edges.groupBy(F.col("src").alias("_of")).agg(F.sum("freq").alias("_total"))
+    return edges.join(total, F.col("src") == F.col("_of")).withColumn("weight", F.col("freq") / F.col("_total")).drop("_of", "_total")
 
 
 def order_counts(states: DataFrame) -> DataFrame:

@@ -226,8 +226,12 @@ class LocalGraph:
         exits = sorted(((n, m) for n in inside for m in self.succ.get(n, ()) if m not in inside), key=str)
         return entrances, exits
 
+    def cycle(self, node, graph: dict | None = None) -> list:
+        """The likeliest cycle through a node, in order; empty if there is none."""
+        return local_path(self.weighted() if graph is None else graph, node, node)
+
     def best_cycle(self, node, graph: dict | None = None) -> frozenset:
-        return frozenset(local_path(self.weighted() if graph is None else graph, node, node))
+        return frozenset(self.cycle(node, graph))
 
     def rare_loops(self) -> bool:
         """Contracts disjoint likeliest cycles of low frequency that have one entrance and one exit."""

@@ -23,16 +23,19 @@ class Kernel:
 def candidates(graph: LocalGraph, known: set) -> list[tuple]:
     """New cycles worth a kernel: frequent enough, entered and left; each node's likeliest."""
     weights = graph.weighted()
-    found = {c for n in graph.nodes() if (c := graph.best_cycle(n, weights))}
+    # Of one set of nodes the likeliest order; its probability is the product around the cycle itself.
+    found: dict[frozenset, float] = {}
+    for n in graph.nodes():
+        if path := graph.cycle(n, weights):
+            p = prod(weights[a][b] for a, b in zip(path, [*path[1:], path[0]], strict=True))
+            found[frozenset(path)] = max(p, found.get(frozenset(path), 0.0))
     out = []
     for inside in sorted(found, key=lambda c: (len(c), sorted(map(str, c)))):
         entrances, exits = graph.boundary(set(inside))
         nested = any(other < inside for other in found)
         if nested or inside in known or graph.anchor(set(inside)) < ANCHOR or not entrances or not exits:
             continue
-        # The product of weights around the cycle: each member's likeliest step inside it.
-        p = prod(max((weights[n].get(m, 0.0) for m in inside), default=0.0) for n in inside)
-        out.append((len(entrances) + len(exits), -p, min(map(str, inside)), inside, entrances, exits))
+        out.append((len(entrances) + len(exits), -found[inside], min(map(str, inside)), inside, entrances, exits))
     return sorted(out, key=lambda x: x[:3])
 
 

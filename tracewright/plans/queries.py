@@ -399,7 +399,7 @@ def reachable(spark, sf_dir):
 ORACLE_SQL["reachable"] = with_views("", "items").replace("WITH ", "WITH RECURSIVE ", 1) + ", rc AS (SELECT 'r1' AS id UNION SELECT items.snk FROM rc JOIN items ON items.src = rc.id) SELECT id FROM rc"
 
 
-@query("SELECT 'calls' AS graph, EXISTS (SELECT 1 FROM cl WHERE src = snk) AS has_cycle UNION ALL SELECT 'turns', FALSE", "cl")
+@query("SELECT 'calls' AS graph, EXISTS (SELECT 1 FROM cl WHERE src = snk) AS has_cycle UNION ALL SELECT 'turns', EXISTS (SELECT 1 FROM tcl WHERE src = snk)", "cl", "tcl")
 def has_cycle(spark, sf_dir):
     """A turn's number only grows, so the conversation graph has none."""
     c = V.calls(spark, sf_dir).select(F.col("caller").alias("src"), F.col("callee").alias("snk"))
@@ -573,3 +573,98 @@ def stream_edges(spark, sf_dir):
     run = streaming.transitions(t).writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/moves").trigger(availableNow=True).start()
     run.awaitTermination()
     return streaming.edge_counts(spark.read.parquet(f"{home}/moves"))
+
+
+@query("SELECT src, snk, freq FROM e WHERE src = 'view' AND snk = 'click'", "e")
+def edge_lookup(spark, sf_dir):
+    return counts.lookup(V.edges(spark, sf_dir), "view", "click").select("src", "snk", "freq")
+
+
+@query("SELECT src, snk, freq FROM we WHERE src NOT IN (SELECT block FROM hot) AND snk NOT IN (SELECT block FROM hot)", "we", "hot")
+def graph_without_hot(spark, sf_dir):
+    """The wide graph less its hot blocks."""
+    e = V.wide_edges(spark, sf_dir)
+    hot = hotcode.hot_blocks(counts.block_frequency(e))
+    return graph.Graph(e).without_nodes(hot.select(F.col("block").alias("id"))).edges.select("src", "snk", "freq")
+
+
+@query("SELECT src, snk, freq, freq / sum(freq) OVER (PARTITION BY src) AS weight FROM we WHERE src <> snk", "we")
+def renormalised_edges(spark, sf_dir):
+    """Weights after the self-transitions have gone."""
+    return graph.renormalise(V.wide_edges(spark, sf_dir).where("src <> snk")).select("src", "snk", "freq", "weight")
+
+
+@query("SELECT caller, string_agg(DISTINCT callee, ',' ORDER BY callee) AS callees FROM calls GROUP BY caller", "calls")
+def static_call_graph(spark, sf_dir):
+    """Even callees as static targets, the others as seen through pointers."""
+    c = V.calls(spark, sf_dir)
+    even = F.length("callee") % 2 == 0
+    both = graph.static_call_graph(c.where(even).unionByName(c.where(~even).withColumn("callee", F.lit(None).cast("string"))), c.where(~even))
+    return both.select("caller", F.array_join("callees", ",").alias("callees"))
+
+
+@query("SELECT DISTINCT src, snk FROM items WHERE src[1] = 'n' AND CAST(src[2:] AS INT) < 20 AND CAST(snk[2:] AS INT) % 2 = 0", "items")
+def def_use_edges(spark, sf_dir):
+    """Nations under 20 and even customers as the known instructions."""
+    i = V.items(spark, sf_dir)
+    known = i.where("src LIKE 'n%' AND CAST(substring(src, 2) AS INT) < 20").select(F.col("src").alias("inst")).unionByName(i.where("snk LIKE 'c%' AND CAST(substring(snk, 2) AS INT) % 2 = 0").select(F.col("snk").alias("inst"))).distinct()
+    return graph.def_use(known, i.select(F.col("src").alias("operand"), F.col("snk").alias("user")))
+
+
+@query("SELECT count(*) FILTER (WHERE fn IN (SELECT caller FROM calls WHERE caller = callee)) AS direct, count(*) FILTER (WHERE fn IN (SELECT src FROM nc WHERE src = snk)) AS indirect, (SELECT count(DISTINCT caller) FROM calls) AS live FROM (SELECT caller AS fn FROM calls UNION SELECT callee FROM calls)", "calls", "nc")
+def recursion_counts(spark, sf_dir):
+    c = V.calls(spark, sf_dir)
+    return paths.recursion_counts(paths.recursion(c), c.select(F.col("caller").alias("fn")))
+
+
+@query()
+def recursion_entrances(spark, sf_dir):
+    return paths.recursion_entrances(V.calls(spark, sf_dir))
+
+
+ORACLE_SQL["recursion_entrances"] = (
+    with_views("", "cl")
+    + f", {_SCC}, many AS (SELECT scc FROM scc GROUP BY scc HAVING count(*) > 1)"
+    + " SELECT DISTINCT b.scc, caller, callee FROM calls JOIN scc a ON a.id = caller JOIN scc b ON b.id = callee WHERE a.scc <> b.scc AND b.scc IN (SELECT scc FROM many)"
+)
+
+_OPS = ("load", "store", "memcpy", "memset", "malloc", "free")
+
+
+def _memory_events(spark, sf_dir):
+    """Lines of an order as memory events: order as epoch, part as address, supplier as source, quantity as size."""
+    op = F.element_at(F.array(*map(F.lit, _OPS)), (F.col("l_suppkey") % len(_OPS) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("epoch"), F.col("l_linenumber").alias("seq"), op.alias("op"), (F.col("l_partkey") * 10).alias("addr"), (F.col("l_suppkey") * 10).alias("src"), F.col("l_quantity").cast("long").alias("size"))
+
+
+_MEMORY = """ev AS (SELECT l_orderkey AS epoch, l_linenumber AS seq, list_extract(['load', 'store', 'memcpy', 'memset', 'malloc', 'free'], CAST(l_suppkey % 6 + 1 AS INT)) AS op,
+                   l_partkey * 10 AS addr, l_suppkey * 10 AS src, CAST(l_quantity AS BIGINT) AS size FROM lineitem),
+ac AS (SELECT epoch, seq, 'READ' AS rw, 'reader' AS type, addr AS base, addr + size AS "end" FROM ev WHERE op = 'load'
+       UNION ALL SELECT epoch, seq, 'WRITE', 'writer', addr, addr + size FROM ev WHERE op = 'store'
+       UNION ALL SELECT epoch, seq, 'READ', 'memcpy', src, src + size - 1 FROM ev WHERE op = 'memcpy'
+       UNION ALL SELECT epoch, seq, 'WRITE', 'memcpy', addr, addr + size - 1 FROM ev WHERE op = 'memcpy'
+       UNION ALL SELECT epoch, seq, 'WRITE', 'memset', addr, addr + size - 1 FROM ev WHERE op = 'memset'
+       UNION ALL SELECT epoch, seq, 'ALLOC', 'malloc', addr, addr + size - 1 FROM ev WHERE op = 'malloc'
+       UNION ALL SELECT epoch, seq, 'FREE', 'free', addr, addr + size - 1 FROM ev WHERE op = 'free')"""
+
+
+@query(f'WITH {_MEMORY} SELECT epoch, seq, rw, type, base, "end" FROM ac')
+def memory_accesses(spark, sf_dir):
+    return intervals.accesses(_memory_events(spark, sf_dir))
+
+
+@query(f"""WITH {_MEMORY}, rwa AS (SELECT * FROM ac WHERE rw IN ('READ', 'WRITE'))
+SELECT epoch, CASE WHEN first = 'READ' THEN CASE WHEN kinds > 1 THEN 'ReadThenWrite' ELSE 'Read' END ELSE CASE WHEN kinds > 1 THEN 'WriteThenRead' ELSE 'Write' END END AS pattern
+FROM (SELECT epoch, arg_min(rw, seq * 10 + CASE WHEN rw = 'READ' THEN 0 ELSE 1 END) AS first, count(DISTINCT rw) AS kinds FROM rwa GROUP BY epoch)""")
+def access_pattern(spark, sf_dir):
+    return intervals.access_pattern(intervals.accesses(_memory_events(spark, sf_dir)))
+
+
+@query("""WITH k AS (SELECT n_regionkey AS kernel, CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey + 1 AS BIGINT) AS b FROM nation)
+SELECT DISTINCT a AS src, b AS snk FROM k WHERE kernel % 2 = 0 UNION SELECT DISTINCT b, a FROM k WHERE kernel % 2 = 0""")
+def epoch_boundaries(spark, sf_dir):
+    """Regions as kernels, odd ones with a parent; nations as their entrances and exits."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("kernel"), F.col("n_nationkey").cast("long").alias("a"), (F.col("n_nationkey") + 1).cast("long").alias("b"))
+    ends = lambda x, y: F.map_from_entries(F.collect_list(F.struct(F.col(x), F.array(F.col(y)))))
+    k = n.groupBy("kernel").agg(ends("a", "b").alias("entrances"), ends("b", "a").alias("exits"))
+    return epochs.boundaries(k.withColumn("parents", F.when(F.col("kernel") % 2 == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))))

@@ -110,6 +110,8 @@ SQL = {
     "iv": ('SELECT epoch, rw, min(base) AS base, max("end") AS "end", count(*) AS ref_count FROM iv1 GROUP BY epoch, rw, g', ("iv1",)),
     "calls": ("SELECT src AS caller, snk AS callee, freq FROM we JOIN (SELECT DISTINCT block, exp AS a FROM wt) x ON we.src = x.block JOIN (SELECT DISTINCT block, exp AS b FROM wt) y ON we.snk = y.block WHERE b <= a", ("we", "wt")),
     "cl": ("SELECT caller AS src, callee AS snk FROM calls UNION SELECT cl.src, c.callee FROM cl JOIN calls c ON cl.snk = c.caller", ("calls",)),
+    "nc": ("SELECT caller AS src, callee AS snk FROM calls WHERE caller <> callee UNION SELECT nc.src, c.callee FROM nc JOIN calls c ON nc.snk = c.caller AND c.caller <> c.callee", ("calls",)),
+    "tcl": ("SELECT src, snk FROM ce UNION SELECT tcl.src, ce.snk FROM tcl JOIN ce ON tcl.snk = ce.src", ("ce",)),
     "items": ("SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS snk FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders", ()),
     "votes": ("SELECT event_type AS block, regexp_extract(props, '\"k\": *([0-9]+)', 1) AS label, count(*) AS votes FROM events GROUP BY 1, 2", ()),
     "f": ("SELECT snk AS block, sum(freq) AS freq FROM we GROUP BY snk", ("we",)),
@@ -126,7 +128,7 @@ SQL = {
     "sg": ("SELECT p AS sb, lead(p) OVER (ORDER BY p) - 1 AS se FROM pt", ("pt",)),
     "xs": ('SELECT iv.*, sb, se FROM iv JOIN sg ON iv.base <= sg.sb AND iv."end" >= sg.se', ("iv", "sg")),
 }
-_RECURSIVE = {"cl", "chw"}
+_RECURSIVE = {"cl", "chw", "nc", "tcl"}
 
 
 def with_views(query: str, *names: str) -> str:
