@@ -11,6 +11,7 @@ import brute
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from brute import SF
@@ -511,3 +512,16 @@ def test_null_ids(spark):
     assert decontaminate.report(df, bench).where(F.col("contaminated")).count() == 1
     assert jaccard.keep_one(df).count() == 3
     assert hashlib.sha256(b"").hexdigest() in {r.ids_sha256 for r in bpe.digests(df).collect()}
+
+
+def test_worker_remembers_for_one_operator():
+    from tracewright.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some text"])], ["doc_id", "text"])
+    first = next(bpe._encoded(iter([batch]), public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN))
+    assert bpe._ENCODERS and bpe._LOADED
+    common.begin("bpe")
+    assert bpe._ENCODERS
+    common.begin("jaccard")
+    assert not bpe._ENCODERS and not bpe._LOADED
+    assert first.equals(next(bpe._encoded(iter([batch]), public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)))

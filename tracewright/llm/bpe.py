@@ -134,7 +134,13 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
+def _forget() -> None:
+    _ENCODERS.clear()
+    _LOADED.clear()
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    common.begin("bpe", _forget)
     coder = _ENCODERS.get((path, pattern)) or _ENCODERS.setdefault((path, pattern), Encoder(path, pattern))
     for batch in batches:
         ids = [coder(t or "") for t in batch.column(1).to_pylist()]
@@ -145,6 +151,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    common.begin("bpe", _forget)
     token = load(path)[1].__getitem__
     for batch in batches:
         column = batch.column(1)

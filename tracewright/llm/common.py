@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -86,11 +88,32 @@ class WordHash(dict):
 WORD_HASH, SECOND_HASH = WordHash(), WordHash(xxhash.xxh64_intdigest)
 
 
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the machine (with glibc, which else keeps it)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def begin(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """At the start of a task: workers are reused, so what this one remembers for another operator goes. ``forget`` does that for this one."""
+    others = [o for o in _FORGET if o != operator]
+    for o in others:
+        _FORGET.pop(o)()
+    if others:
+        _give_back()
+    if forget:
+        _FORGET[operator] = forget
+
+
 def rest() -> None:
     """At the end of a partition: a worker that waits for its next task gives back what it remembers."""
     WORD_HASH.clear()
     SECOND_HASH.clear()
-    pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -98,6 +98,7 @@ def profile(rows: DataFrame) -> DataFrame:
     """``doc_id, text_hash, set_key, n, labels``: the digest and size of each shingle set, and its tree labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("jaccard")
         for batch in batches:
             keys, n, found = [], [], []
             for text in batch.column(2).to_pylist():
@@ -210,12 +211,14 @@ def links(rows: DataFrame, sets: DataFrame, members: DataFrame, depth: int, afte
     """``id, n_links, root``, a row for each task a linked node was in; rows without an id count links by similarity (``root``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("jaccard")
         for batch in batches:
             runs = [shingles(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(runs, pa.binary()), *batch.columns[1:]], ["runs", "node", "labels"])
         common.rest()
 
     def one(table: pa.Table) -> pa.Table:
+        common.begin("jaccard")
         ids, tree, key, first = (table.column(c).to_numpy() for c in ("node", "tree", "key", "first"))
         runs, label = (table.column(c).to_pylist() for c in ("runs", "labels"))
         order = np.lexsort((ids, key))
