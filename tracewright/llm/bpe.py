@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Children of an inner node of the segment tree.
 FAN = 16
 #: Chunks, and pieces, that a worker remembers (twice that at most); longer ones aren't kept.
-CACHE_ENTRIES, CACHE_PIECE = 250_000, 40
+CACHE_ENTRIES, CACHE_PIECE = 170_000, 40
 _LOADED: dict[str, tuple[dict[bytes, int], list[bytes]]] = {}
 
 
