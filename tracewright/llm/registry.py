@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, filters, html, jaccard, licences, lm, pieces, pii, quality, substrings, warc
+from . import bpe, decontaminate, divergence, filters, html, jaccard, licences, lm, pieces, pii, quality, substrings, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_pieces": pieces.op11_pieces,
+    "op12_divergence": divergence.op12_divergence,
     "op13_filters": filters.op13_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_licences": licences.ORACLE,
+    "op12_divergence": divergence.ORACLE,
     "op13_filters": filters.ORACLE,
 }
