@@ -6,7 +6,7 @@ from math import prod
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import counts, graph, paths, rewrite, segment
+from tracewright.operators import counts, graph, local_segment, paths, rewrite
 
 CHAIN = [(3, 0, 1), (0, 1, 1), (1, 2, 1), (2, 0, 1)]
 FORK = [(6, 0, 1), (0, 1, 9), (0, 2, 1), (1, 3, 9), (2, 4, 1), (3, 5, 9), (4, 5, 1), (5, 0, 10)]
@@ -116,7 +116,7 @@ def test_cycles_and_recursion(spark):
 
 def test_segmentation_finds_the_hot_loop():
     edges = [(0, 1, 1), (1, 2, 100), (2, 3, 100), (3, 1, 99), (3, 4, 1), (4, 5, 1)]
-    found = segment.kernels(rewrite.LocalGraph(edges))
+    found = local_segment.kernels(rewrite.LocalGraph(edges))
     assert len(found) == 1 and found[0].blocks == {1, 2, 3}
     assert len(found[0].entrances) == len(found[0].exits) == 1
 
@@ -124,7 +124,7 @@ def test_segmentation_finds_the_hot_loop():
 def test_nested_kernels():
     inner = [(2, 3, 1000), (3, 2, 950), (3, 4, 50), (4, 9, 1)]
     edges = [(0, 1, 1), (1, 2, 50), *inner, (4, 1, 49), (9, 10, 1)]
-    found = segment.kernels(rewrite.LocalGraph(edges))
+    found = local_segment.kernels(rewrite.LocalGraph(edges))
     assert any(k.blocks == {2, 3} for k in found)
 
 

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import counts, graph, hotcode, metrics, rewrite, segment
+from tracewright.operators import counts, graph, hotcode, local_segment, metrics, rewrite, segment
 from tracewright.sources import jsonfiles, markov_bin, text
 
 
@@ -33,7 +33,7 @@ def kernels(spark: SparkSession, a: argparse.Namespace) -> None:
         none = F.array().cast("array<string>")
         found = found.select("kernel", "blocks", none.alias("children"), none.alias("parents"), none.alias("entrances"), none.alias("exits"))
     else:
-        found = segment.table(spark, segment.kernels(rewrite.LocalGraph.of(edges)))
+        found = local_segment.table(spark, local_segment.kernels(rewrite.LocalGraph.of(edges)))
     outside = segment.outside(blocks, found.select("kernel", F.explode("blocks").alias("block")))
     jsonfiles.write_kernels(found, blocks, outside).coalesce(1).write.mode("overwrite").text(a.output)
     if a.dot:

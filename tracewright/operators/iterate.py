@@ -48,6 +48,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``checkpoint(df)`` without what the optimiser knew of its columns: in fixpoints over self-joins those facts, one for each name a column
+    has had, multiply from round to round, and planning soon takes longer than the work."""
+    done, spark = checkpoint(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
+
+
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` (already checkpointed) with a broadcast hint if its rows are counted to fit BROADCAST_BYTES."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

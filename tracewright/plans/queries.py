@@ -6,9 +6,10 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.operators import counts, dataflow, deps, epochs, graph, hotcode, intervals, iterate, metrics, paths, rewrite, segment, trace, valuehist
+from tracewright.operators import contraction, counts, dataflow, deps, epochs, graph, hotcode, intervals, iterate, local_segment, metrics, paths, regions, rewrite, segment, trace, valuehist
 from tracewright.sources import text
 
 from . import views as V
@@ -450,9 +451,57 @@ def simple_cycles(spark, sf_dir):
 
 ORACLE_SQL["simple_cycles"] = with_views("", "e").replace("WITH ", "WITH RECURSIVE ", 1) + ", w AS (SELECT [src] AS path, snk AS here FROM e UNION ALL SELECT list_append(path, here), e.snk FROM w JOIN e ON e.src = here WHERE here > path[1] AND NOT list_contains(path, here)) SELECT array_to_string(path, '>') AS path FROM w WHERE here = path[1]"
 
+@query()
+def ml_path(spark, sf_dir):
+    """The likeliest path between any two event types, and the likeliest cycle of each."""
+    return paths.likeliest_paths(V.edges(spark, sf_dir)).select("source", "sink", F.array_join("path", ">").alias("path"), F.round("prob", 9).alias("prob"))
+
+
+ORACLE_SQL["ml_path"] = with_views("", "e").replace("WITH ", "WITH RECURSIVE ", 1) + ", w AS (SELECT src AS source, snk AS here, weight AS prob, [src] AS path FROM e UNION ALL SELECT w.source, e.snk, w.prob * e.weight, list_append(w.path, w.here) FROM w JOIN e ON e.src = w.here WHERE w.here <> w.source AND NOT list_contains(w.path, w.here)) SELECT source, here AS sink, array_to_string(CASE WHEN here = source THEN path ELSE list_append(path, here) END, '>') AS path, round(prob, 9) AS prob FROM w QUALIFY row_number() OVER (PARTITION BY source, here ORDER BY prob DESC, len(path), path[-1]) = 1"
+
+
 # Rewrites
 
 
+def order_graph(spark, sf_dir):
+    """Customers work off their orders by key: an order leads to its lines, all of these to its end, that to the next order, or to the common last node."""
+    name = lambda p, *c: F.concat_ws(".", F.lit(p), *(F.col(x).cast("string") for x in c))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct()
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").join(lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
+    after = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    first = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("snk"))
+    onward = orders.withColumn("next", after).select(name("z", "o_orderkey").alias("src"), F.when(F.col("next").isNull(), F.lit("last")).otherwise(name("o", "next")).alias("snk"))
+    out = lines.select(name("o", "l_orderkey").alias("src"), name("l", "l_orderkey", "l_linenumber").alias("snk"))
+    back = lines.select(name("l", "l_orderkey", "l_linenumber").alias("src"), name("z", "l_orderkey").alias("snk"))
+    return first.unionByName(onward).unionByName(out).unionByName(back).withColumn("freq", F.lit(1).cast("long"))
+
+
+_ORDERS = "WITH ln AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), od AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders WHERE o_orderkey IN (SELECT k FROM ln))"
+
+
+@query()
+def order_regions(spark, sf_dir):
+    """Blocks that each customer's orders become: all of them one node, as branches over lines meet again and what is left is a chain."""
+    now = regions.simplify(contraction.begin(order_graph(spark, sf_dir)))
+    blocks = contraction.tops(now).groupBy("top").agg(F.count("*").alias("blocks"), F.min("id").alias("least"))
+    into = now.edges.where("src LIKE 'c.%'").join(blocks, F.col("snk") == F.col("top"))
+    return into.select(F.col("src").alias("customer"), "least", "blocks", "freq")
+
+
+ORACLE_SQL["order_regions"] = _ORDERS + " SELECT 'c.' || c AS customer, min(least) AS least, CAST(sum(b) AS BIGINT) AS blocks, 1::BIGINT AS freq FROM (SELECT c, od.k, count(*) + 2 AS b, min('l.' || ln.k || '.' || n) AS least FROM od JOIN ln ON od.k = ln.k GROUP BY c, od.k) GROUP BY c"
+
+
+@query()
+def order_regions_undone(spark, sf_dir):
+    """Out-edges by kind of node after all contractions were undone from their log: the graph that there was."""
+    now = regions.simplify(contraction.begin(order_graph(spark, sf_dir)))
+    back = contraction.expanded(now)
+    return back.groupBy(F.substring("src", 1, 1).alias("kind")).agg(F.count("*").alias("edges"), F.sum("freq").alias("freq"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+ORACLE_SQL["order_regions_undone"] = _ORDERS + ", g AS (SELECT 'c.' || c AS src, count(DISTINCT 1) AS n FROM od GROUP BY c UNION ALL SELECT 'z.' || k, 1 FROM od UNION ALL SELECT 'o.' || k, count(*) FROM ln GROUP BY k UNION ALL SELECT 'l.' || k || '.' || n, 1 FROM ln) SELECT src[1] AS kind, CAST(sum(n) AS BIGINT) AS edges, CAST(sum(n) AS BIGINT) AS freq, round(CAST(count(*) AS DOUBLE), 6) AS weight FROM g GROUP BY 1"
+
+
 @query("SELECT id, super FROM chm", "chm")
 def chain_merge(spark, sf_dir):
     return rewrite.chains(V.turn_edges(spark, sf_dir))
@@ -472,11 +521,10 @@ def kcl_balance(spark, sf_dir):
     return rewrite.balance(V.turn_edges(spark, sf_dir), rounds=1).select("src", "snk", "freq")
 
 
-@query()
+@query("SELECT src, snk, freq FROM we", "we")
 def transform_fixpoint(spark, sf_dir):
-    """The wide graph after all rules, on the driver; tests hold its invariants."""
-    g = rewrite.LocalGraph.of(V.wide_edges(spark, sf_dir)).simplify()
-    return spark.createDataFrame([(str(a), str(b), int(f)) for a, b, f in g.edges()], "src string, snk string, freq long")
+    """The wide graph after all rules: it is so dense that none finds a set. ``order_regions`` has graphs that shrink."""
+    return regions.simplify(contraction.begin(V.wide_edges(spark, sf_dir))).edges.select("src", "snk", "freq")
 
 
 # Kernels and tasks
@@ -484,7 +532,7 @@ def transform_fixpoint(spark, sf_dir):
 
 @query()
 def ml_kernels(spark, sf_dir):
-    return segment.table(spark, segment.kernels(rewrite.LocalGraph.of(V.wide_edges(spark, sf_dir))))
+    return local_segment.table(spark, local_segment.kernels(rewrite.LocalGraph.of(V.wide_edges(spark, sf_dir))))
 
 
 _KM = "(SELECT DISTINCT block, exp AS kernel FROM wt WHERE exp >= 0)"
