@@ -36,7 +36,7 @@ SPACE = "▁"
 #: Fixed values of the published model format: kinds of a piece, the merge-type model.
 NORMAL, UNKNOWN, CONTROL, BYTE, BPE_TYPE = 1, 2, 3, 6, 2
 #: Chunks and pairs of tokens that a worker remembers (twice that at most); longer chunks aren't kept.
-CACHE_ENTRIES, CACHE_CHUNK, CACHE_PAIRS = 150_000, 40, 400_000
+CACHE_ENTRIES, CACHE_CHUNK, CACHE_PAIRS = 450_000, 40, 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -81,6 +81,7 @@ class Model:
         self.begin, self.end = self.text.index("<s>"), self.text.index("</s>")
         self.bytes = [self.text.index(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {piece: b for b, piece in enumerate(self.bytes)}
+        self.is_byte = np.array([kind == BYTE for kind in kinds])
         normal = [i for i, kind in enumerate(kinds) if kind == NORMAL]
         #: Order of merging: better scores first.
         self.order = {self.text[i]: -struct.unpack("<f", pieces[i][2])[0] for i in normal}
@@ -88,7 +89,7 @@ class Model:
         self.tokens = [self.text[i] for i in normal]
         self.tokens += sorted({c for t in self.tokens for c in t} - self.order.keys())
         self.ids = [[i] for i in normal] + [self.fallback(t) for t in self.tokens[len(normal) :]]
-        self.plain_tokens = len(normal)
+        self.plain_tokens, self.first_ids = len(normal), normal
         self.sizes = list(map(len, self.tokens))
         number = {t: k for k, t in enumerate(self.tokens)}
         #: The longest token that is a proper prefix of a token; -1: none.
@@ -108,12 +109,18 @@ class Model:
 
     def remerge(self, text: str) -> list[str]:
         """Merges a short text from its characters."""
-        parts, order = list(text), self.order
-        while len(parts) > 1:
-            score, at = min((order.get(parts[i] + parts[i + 1], float("inf")), i) for i in range(len(parts) - 1))
-            if score == float("inf"):
-                break
+        parts, none = list(text), float("inf")
+        order = self.order.get
+        scores = [order(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (score := min(scores)) < none:
+            # The leftmost of the best pairs; its neighbours' pairs change.
+            at = scores.index(score)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = order(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = order(parts[at] + parts[at + 1], none)
         return parts
 
 
@@ -158,9 +165,9 @@ class Coder:
         return out
 
     def _ids(self, tokens: list[int]) -> list[int]:
-        ids, plain = self.model.ids, self.model.plain_tokens
+        ids, first, plain = self.model.ids, self.model.first_ids, self.model.plain_tokens
         if max(tokens) < plain:
-            return [ids[t][0] for t in tokens]
+            return [first[t] for t in tokens]
         return [i for t in tokens for i in ids[t]]
 
     def _backtrack(self, ends: dict[int, int], last: int, start: int, end: int) -> list[int]:
@@ -200,7 +207,7 @@ class Coder:
         """Text of ids: a first blank goes, runs of byte pieces are read as UTF-8, each byte that isn't as the replacement character."""
         model = self.model
         codes = ids.tolist()
-        is_byte = [k for k, i in enumerate(codes) if i in model.byte_of] if np.isin(ids, model.bytes).any() else []
+        is_byte = np.flatnonzero(model.is_byte[ids]).tolist()
         if not is_byte:
             text = "".join(map(model.plain.__getitem__, codes))
         else:
