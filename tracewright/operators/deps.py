@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intervals import LONGER_THAN
+from .intervals import LONGER_THAN, subtract
+from .iterate import checkpoint, settled
 
 
 def elementary(spans: DataFrame, width: int) -> DataFrame:
@@ -59,6 +60,104 @@ def with_copies(spans: DataFrame, copies: DataFrame, longer_than: int = LONGER_T
     return spans.select("epoch", "rw", "base", "end").unionByName(inherited)
 
 
+def copy_targets(spans: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame:
+    """``epoch, dst, dst_end, src, src_end`` of copies whose source the trace doesn't name: ``spans(epoch, rw, type, base, end)``.
+
+    A memcpy copies the epoch's first read that shares more than ``longer_than`` with its target, a memmove the first
+    read at least as long as its target (first by base and end). Copies without such a read are left out.
+    """
+    reads = spans.where("rw = 'READ'").select("epoch", F.col("base").alias("src"), F.col("end").alias("src_end")).distinct()
+    made = spans.where("rw = 'WRITE' AND type IN ('memcpy', 'memmove')").select("epoch", "type", F.col("base").alias("dst"), F.col("end").alias("dst_end")).distinct()
+    shared = F.least("src_end", "dst_end") - F.greatest("src", "dst") > longer_than
+    as_long = F.col("src_end") - F.col("src") >= F.col("dst_end") - F.col("dst")
+    met = made.join(reads, "epoch").where(F.when(F.col("type") == "memcpy", shared).otherwise(as_long))
+    first = met.groupBy("epoch", "type", "dst", "dst_end").agg(F.min(F.struct("src", "src_end")).alias("s"))
+    return first.select("epoch", "dst", "dst_end", "s.src", "s.src_end").distinct()
+
+
+def _latest(parts: DataFrame, value: Column, bucket: int) -> DataFrame:
+    """``parts`` with ``w``: the greatest ``value`` of the same place (``_bin, lo``) at an earlier ``_at``.
+
+    A place that very many epochs touch is split into ``bucket`` steps of ``_at``; what came before a bucket reaches it as one value.
+    """
+    cut = parts.withColumn("_b", F.floor(F.col("_at") / bucket))
+    inside = W.partitionBy("_bin", "lo", "_b").orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_bin", "lo").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carried = cut.groupBy("_bin", "lo", "_b").agg(F.max(value).alias("_m")).withColumn("_c", F.max("_m").over(before)).where("_c IS NOT NULL").drop("_m")
+    return cut.withColumn("_i", F.max(value).over(inside)).join(carried, ["_bin", "lo", "_b"], "left").withColumn("w", F.coalesce("_i", "_c")).drop("_b", "_i", "_c")
+
+
+def _since(writes: DataFrame, consumers: DataFrame, bucket: int) -> DataFrame:
+    """``consumers`` with ``since``: the newest earlier epoch that has a WriteThenRead span among its writes, for consumers of that pattern."""
+    same = "pattern = 'WriteThenRead'"
+    ids = consumers.where(same).select("epoch", F.lit(None).cast("long").alias("e")).unionByName(writes.where(same).select("epoch", F.col("epoch").alias("e"))).distinct()
+    at = ids.select(F.lit(0).alias("_bin"), F.lit(0).alias("lo"), F.col("epoch").alias("_at"), "epoch", "e")
+    found = _latest(at, F.col("e"), bucket).groupBy("epoch").agg(F.max("w").alias("since"))
+    return consumers.join(found, "epoch", "left").withColumn("since", F.when(F.expr(same), F.col("since")))
+
+
+def sources(spans: DataFrame, copies: DataFrame | None = None, consumer: str = "READ", longer_than: int = LONGER_THAN, width: int = 256, bucket: int = 4096) -> DataFrame:
+    """``epoch, writer, hops``: whose data an epoch uses (READ) or overwrites (WRITE), through any number of copies.
+
+    ``spans(epoch, rw, base, end[, pattern])`` are disjoint in each epoch and side. Each consumed span starts as wanted
+    from the epochs before its own. In a round the newest writer explains each wanted part, which leaves the rest;
+    a part explained by a copy ``copies(epoch, dst, dst_end, src, src_end)`` is wanted again at the copy's source, from the copy's
+    epoch backwards, less what was wanted so already: thus copies in a circle end. A source as long as its target
+    passes on the part asked for, any other the whole of itself. An overwritten span
+    is only traced to its last writer.
+
+    An edge needs a stretch longer than ``longer_than`` that one producer span explains of one consumed span (or, behind a
+    copy, of all that was wanted from there); shorter ones explain without an edge. ``hops`` is the least number of copies between.
+    With ``pattern``, a consumed WriteThenRead span drops out without an edge at the newest earlier epoch with a
+    WriteThenRead write: of that epoch other writes still count, of older ones none. What is passed on carries no pattern.
+    Null epochs or bounds drop out; empty tables give none.
+    """
+    known = "pattern" in spans.columns
+    pattern = F.col("pattern") if known else F.lit(None).cast("string").alias("pattern")
+    spans = checkpoint(spans.where("epoch IS NOT NULL AND base IS NOT NULL AND end IS NOT NULL").select(F.col("epoch").cast("long"), "rw", F.col("base").cast("long"), F.col("end").cast("long"), pattern))
+    writes = spans.where("rw = 'WRITE'").drop("rw")
+    wanted = spans.where(F.col("rw") == consumer).drop("rw")
+    wanted = _since(writes, wanted, bucket) if known else wanted.withColumn("since", F.lit(None).cast("long"))
+    wanted = wanted.select("epoch", (F.col("epoch") - 1).alias("upto"), F.col("base").alias("own"), "base", "end", "since")
+    if copies is not None and consumer == "READ":
+        copies = copies.select(F.col("epoch").cast("long").alias("writer"), *(F.col(c).cast("long") for c in ("dst", "dst_end", "src", "src_end"))).dropna().distinct()
+        copies = checkpoint(copies.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("dst") / width), F.floor(F.col("dst_end") / width)))))
+    else:
+        copies = None
+    seen, explained, hop = None, None, 0
+    bin_of = lambda df: df.select(F.explode(F.sequence(F.floor(F.col("base") / width), F.floor(F.col("end") / width))).alias("_bin")).distinct()
+    while True:
+        # Writes matter in the bins that are wanted; odd positions in time are consumers, just after the epoch they look back from.
+        near = writes.withColumn("_near", F.explode(F.sequence(F.floor(F.col("base") / width), F.floor(F.col("end") / width))))
+        near = near.join(bin_of(wanted), F.col("_near") == F.col("_bin"), "left_semi")
+        near = near.select("epoch", F.lit(None).cast("long").alias("upto"), F.lit(None).cast("long").alias("own"), F.lit(None).cast("long").alias("since"), (F.col("pattern") == "WriteThenRead").alias("both"), F.col("base").alias("w_base"), F.greatest(F.col("base"), F.col("_near") * width).alias("base"), F.least(F.col("end"), F.col("_near") * width + (width - 1)).alias("end"), (F.col("epoch") * 2).alias("_at"))
+        asked = wanted.select("epoch", "upto", "own", "since", F.lit(None).cast("boolean").alias("both"), F.lit(None).cast("long").alias("w_base"), "base", "end", (F.col("upto") * 2 + 1).alias("_at"))
+        value = F.when(F.col("w_base").isNotNull(), F.struct(F.col("epoch").alias("epoch"), F.col("w_base").alias("base"), F.coalesce("both", F.lit(False)).alias("both")))
+        used = _latest(elementary(near.unionByName(asked), width), value, 2 * bucket).where("w_base IS NULL AND w IS NOT NULL")
+        used = used.where("since IS NULL OR w.epoch > since OR (w.epoch = since AND NOT w.both)")
+        used = settled(used.select("epoch", "upto", "own", F.col("w.epoch").alias("writer"), F.col("w.base").alias("w_base"), "_bin", "lo", "hi"))
+        part = used.withColumn("hops", F.lit(hop).cast("long"))
+        explained = part if explained is None else explained.unionByName(part)
+        if copies is None:
+            break
+        met = used.join(copies, ["writer", "_bin"]).where("lo <= dst_end AND hi >= dst")
+        shift = F.when(F.col("src_end") - F.col("src") == F.col("dst_end") - F.col("dst"), F.col("src") - F.col("dst"))
+        passed = met.select("epoch", F.col("writer").alias("upto"), F.coalesce(F.greatest("lo", "dst") + shift, "src").alias("base"), F.coalesce(F.least("hi", "dst_end") + shift, "src_end").alias("end")).distinct()
+        # Without a table of what was wanted the subtraction only merges what overlaps or adjoins.
+        added = settled(subtract(passed, passed.limit(0) if seen is None else seen, "epoch", "upto"))
+        if added.isEmpty():
+            break
+        seen = added if seen is None else seen.unionByName(added)
+        wanted = added.select("epoch", "upto", F.lit(None).cast("long").alias("own"), "base", "end", F.lit(None).cast("long").alias("since"))
+        hop += 1
+    key = ("epoch", "upto", "own", "writer", "w_base")
+    w = W.partitionBy(*key).orderBy("lo")
+    fresh = F.coalesce(F.lag("hi").over(w) + 1 < F.col("lo"), F.lit(True)).cast("int")
+    runs = explained.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    length = runs.groupBy(*key, "_run").agg((F.max("hi") - F.min("lo")).alias("length"), F.min("hops").alias("hops"))
+    return length.where(F.col("length") > longer_than).groupBy("epoch", "writer").agg(F.min("hops").alias("hops"))
+
+
 def sequential(epochs: DataFrame) -> DataFrame:
     """``epoch, next_epoch`` over the totally ordered epoch ids; a range-partitioned sort feeds one small window a partition.
 

@@ -55,6 +55,24 @@ def access_pattern(spans: DataFrame) -> DataFrame:
     return spans.where("rw IN ('READ', 'WRITE')").groupBy("epoch").agg(name.alias("pattern"))
 
 
+def patterned(accesses: DataFrame) -> DataFrame:
+    """``epoch, rw, base, end, ref_count, pattern``: coalesced reads and writes, each with the pattern of the union of accesses it lies in.
+
+    Reads and writes of an epoch that share a point, directly or through others, form a union; its first access
+    (by ``seq``; a read before a write at the same one) and whether the other kind follows name its pattern.
+    """
+    used = accesses.where("rw IN ('READ', 'WRITE')")
+    w = W.partitionBy("epoch").orderBy("base", "end")
+    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = used.withColumn("_new", F.when(reach.isNull() | (F.col("base") > reach), 1).otherwise(0))
+    marked = marked.withColumn("_union", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    spans = coalesce(marked.select("epoch", "_union", "rw", "base", "end"), "epoch", "_union", "rw")
+    first = F.min_by("rw", F.struct("seq", "rw"))
+    later = F.count_distinct("rw") > 1
+    name = F.when(first == "READ", F.when(later, "ReadThenWrite").otherwise("Read")).otherwise(F.when(later, "WriteThenRead").otherwise("Write"))
+    return spans.join(marked.groupBy("epoch", "_union").agg(name.alias("pattern")), ["epoch", "_union"]).drop("_union")
+
+
 def _binned(spans: DataFrame, width: int) -> DataFrame:
     return spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("base") / width), F.floor(F.col("end") / width))))
 
