@@ -318,6 +318,79 @@ def waw_deps(spark, sf_dir):
     return deps.dependencies(V.spans(spark, sf_dir), "WRITE")
 
 
+def _timed(spark, sf_dir) -> DataFrame:
+    """Accesses with the place of their line in time and an instruction: the supplier with the line's number."""
+    rw = F.when(F.col("l_returnflag") == "R", "READ").otherwise("WRITE")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    inst = F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return li.select(F.col("l_suppkey").alias("epoch"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity").alias("seq"), inst.alias("inst"), rw.alias("rw"), F.col("l_partkey").alias("base"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
+
+
+_TIMED = """tacc AS (SELECT l_suppkey AS epoch, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity, l_returnflag <> 'R') AS seq, l_suppkey || '/' || l_linenumber AS inst,
+CASE WHEN l_returnflag = 'R' THEN 'READ' ELSE 'WRITE' END AS rw, l_partkey AS base, l_partkey + CAST(floor(l_quantity) AS BIGINT) AS "end" FROM lineitem)"""
+
+
+def _merged(rows: str, name: str, by: str) -> str:
+    """SQL of ``name``: unions of the spans of ``rows`` within ``by``; ``name_m`` has each row with its union's number."""
+    return f"""{name}_p AS (SELECT *, max("end") OVER (PARTITION BY {by} ORDER BY base, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM {rows}),
+{name}_m AS (SELECT * EXCLUDE (pm), sum(CASE WHEN pm IS NULL OR base > pm THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY base, "end" ROWS UNBOUNDED PRECEDING) AS u FROM {name}_p),
+{name} AS (SELECT {by}, u AS grp, min(base) AS base, max("end") AS "end", count(*) AS ref_count FROM {name}_m GROUP BY {by}, u)"""
+
+
+_PATTERNED = f"""{_TIMED}, {_merged("tacc", "un", "epoch")},
+pat AS (SELECT epoch, u AS un, CASE WHEN arg_min(rw, seq) = 'READ' THEN CASE WHEN count(DISTINCT rw) > 1 THEN 'ReadThenWrite' ELSE 'Read' END WHEN count(DISTINCT rw) > 1 THEN 'WriteThenRead' ELSE 'Write' END AS pattern FROM un_m GROUP BY epoch, u),
+sid AS (SELECT epoch, u AS un, rw, base, "end" FROM un_m), {_merged("sid", "sp", "epoch, un, rw")},
+ps AS (SELECT epoch, rw, base, "end", ref_count, pattern FROM sp JOIN pat USING (epoch, un))"""
+
+
+@query(f"WITH {_PATTERNED} SELECT epoch, rw, base, \"end\", ref_count, pattern FROM ps")
+def interval_patterns(spark, sf_dir):
+    return intervals.patterned(_timed(spark, sf_dir))
+
+
+@query(f"WITH {_TIMED}, {_merged('tacc', 'ii', 'inst, rw')} SELECT inst, rw, base, \"end\", ref_count FROM ii")
+def instruction_intervals(spark, sf_dir):
+    return intervals.coalesce(_timed(spark, sf_dir).select("inst", "rw", "base", "end"), "inst", "rw")
+
+
+#: Last writers of points, as of each epoch, from ``ps(epoch, rw, base, "end", pattern)``.
+_LAST = """wp AS (SELECT epoch, base AS wb, pattern, unnest(range(base, "end" + 1)) AS p FROM ps WHERE rw = 'WRITE'),
+asof_ AS (SELECT epoch AS upto FROM ps UNION SELECT epoch - 1 FROM ps),
+lw AS (SELECT p, upto, max(wp.epoch) AS writer, arg_max(wb, wp.epoch) AS wb, arg_max(pattern, wp.epoch) AS wpat FROM wp JOIN asof_ ON wp.epoch <= upto GROUP BY p, upto),
+rd AS (SELECT epoch, base AS own, pattern, unnest(range(base, "end" + 1)) AS p FROM ps WHERE rw = 'READ')"""
+_STRETCH = """SELECT epoch, writer, CAST(min(hops) AS BIGINT) AS hops FROM (SELECT epoch, upto, own, writer, wb, g, max(p) - min(p) AS len, min(hops) AS hops FROM (
+SELECT *, p - row_number() OVER (PARTITION BY epoch, upto, own, writer, wb ORDER BY p) AS g FROM ex) GROUP BY ALL) WHERE len > 32 GROUP BY epoch, writer"""
+
+
+@query(f"""WITH {_PATTERNED}, {_LAST},
+since AS (SELECT c.epoch, max(w.epoch) AS since FROM (SELECT DISTINCT epoch FROM ps) c JOIN (SELECT DISTINCT epoch FROM ps WHERE rw = 'WRITE' AND pattern = 'WriteThenRead') w ON w.epoch < c.epoch GROUP BY c.epoch),
+ex AS (SELECT rd.epoch, lw.upto, own, lw.writer, lw.wb, rd.p, 0 AS hops FROM rd JOIN lw ON lw.p = rd.p AND lw.upto = rd.epoch - 1 LEFT JOIN since s ON s.epoch = rd.epoch
+WHERE pattern <> 'WriteThenRead' OR s.since IS NULL OR lw.writer > s.since OR (lw.writer = s.since AND lw.wpat <> 'WriteThenRead'))
+{_STRETCH}""")
+def explained_deps(spark, sf_dir):
+    """Dependencies without the pairs of accesses that write before they read."""
+    return deps.sources(intervals.patterned(_timed(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE cp AS (SELECT DISTINCT l_suppkey AS epoch, l_partkey + 150 AS dst, l_partkey + 150 + CAST(floor(l_quantity) AS BIGINT) AS dst_end, l_partkey AS src FROM lineitem WHERE l_linenumber = 7),
+raw AS (SELECT * FROM acc UNION ALL SELECT epoch, 'WRITE', dst, dst_end FROM cp UNION ALL SELECT epoch, 'READ', src, src + dst_end - dst FROM cp),
+{_merged("raw", "all_", "epoch, rw")}, ps AS (SELECT epoch, rw, base, "end", 'none' AS pattern FROM all_), {_LAST},
+need AS (SELECT rd.epoch, rd.p + c.src - c.dst AS p, lw.writer AS upto, 1 AS hops FROM rd JOIN lw ON lw.p = rd.p AND lw.upto = rd.epoch - 1 JOIN cp c ON c.epoch = lw.writer AND rd.p BETWEEN c.dst AND c.dst_end
+UNION SELECT n.epoch, n.p + c.src - c.dst, lw.writer, hops + 1 FROM need n JOIN lw ON lw.p = n.p AND lw.upto = n.upto JOIN cp c ON c.epoch = lw.writer AND n.p BETWEEN c.dst AND c.dst_end WHERE hops < 60),
+soonest AS (SELECT epoch, p, upto, min(hops) AS hops FROM need GROUP BY ALL),
+ex AS (SELECT rd.epoch, lw.upto, own, lw.writer, lw.wb, rd.p, 0 AS hops FROM rd JOIN lw ON lw.p = rd.p AND lw.upto = rd.epoch - 1
+UNION ALL SELECT n.epoch, n.upto, NULL, lw.writer, lw.wb, n.p, n.hops FROM soonest n JOIN lw ON lw.p = n.p AND lw.upto = n.upto)
+{_STRETCH}""", "acc")
+def copied_deps(spark, sf_dir):
+    """Dependencies through copies: each seventh line of an order copies its part's range 150 addresses further."""
+    c = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 7")
+    src, size = F.col("l_partkey"), F.col("l_quantity").cast("long")
+    copies = c.select(F.col("l_suppkey").alias("epoch"), (src + 150).alias("dst"), (src + 150 + size).alias("dst_end"), src.alias("src"), (src + size).alias("src_end"))
+    side = lambda rw, lo, hi: copies.select("epoch", F.lit(rw).alias("rw"), F.col(lo).alias("base"), F.col(hi).alias("end"))
+    raw = V.accesses(spark, sf_dir).unionByName(side("WRITE", "dst", "dst_end")).unionByName(side("READ", "src", "src_end"))
+    return deps.sources(intervals.coalesce(raw, "epoch", "rw"), copies)
+
+
 @query('SELECT epoch AS "Hierarchy", rw AS "Type", base AS "Start", "end" AS "End" FROM iv', "iv")
 def memory_regions_csv(spark, sf_dir):
     return text.memory_regions(V.spans(spark, sf_dir))

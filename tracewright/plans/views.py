@@ -143,5 +143,7 @@ def with_views(query: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    word = "WITH RECURSIVE " if _RECURSIVE & set(order) else "WITH "
+    word = "WITH RECURSIVE " if _RECURSIVE & set(order) or query.startswith("WITH RECURSIVE ") else "WITH "
+    if order and query.startswith("WITH "):  # the query's own views follow the shared ones
+        return word + ",\n".join(f"{n} AS ({SQL[n][0]})" for n in order) + ",\n" + query.removeprefix("WITH ").removeprefix("RECURSIVE ")
     return word + ",\n".join(f"{n} AS ({SQL[n][0]})" for n in order) + "\n" + query if order else query
