@@ -299,6 +299,8 @@ def hidden_markov(texts, lm, known, own):
         own_share = share if k < lm.PASSES - 1 else {w: (c[w] + 1) / total for w in c} | {("unseen",): 1 / total}
         emits = {r: (counts[r] + x * lean) / (states + lean) for r, x in own_share.items()}
         start, moves = (first + 1) / (first + 1).sum(), (move + 1) / (move + 1).sum(axis=1, keepdims=True)
+    once = sum((counts[w] for w in c if c[w] == 1), np.zeros(s)) / (states + lean)
+    emits = {r: e * (1 - once) + (once if r == ("unseen",) else 0) for r, e in emits.items()}
     assert np.allclose(sum(emits.values()), 1)
     return [math.log10(math.e) * np.log(recursions(lambda w: emits.get(w, emits["unseen",]), t)[2]).sum() for t in tokens]
 

@@ -259,6 +259,15 @@ def test_language_model_equals_the_plain_form(spark, monkeypatch, known, own):
         assert got[i].score == pytest.approx(want[i], abs=1e-3, rel=1e-5)
 
 
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    """On the given documents held-out texts gain at least 0.1 a token, and those with many unseen words too."""
+    out = lm.op6_lm(spark, "/root/testdata/sf0.001").where("held_out AND n_tokens > 1").collect()
+    n = sum(r.n_tokens for r in out)
+    assert sum(r.score for r in out) / n >= sum(r.base_score for r in out) / n + 0.1
+    strange = [r for r in out if r.n_known < 0.7 * r.n_tokens]
+    assert all(r.score > r.base_score for r in strange)
+
+
 def test_language_model_without_training_texts(spark):
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
     df = spark.createDataFrame([(i, "some words") for i in held], "doc_id long, text string")

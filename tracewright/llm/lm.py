@@ -12,6 +12,10 @@ stays distributed and is summed by shuffle. So in the model that scores, every t
 its own; texts meet those of their rarer words, and their counts, in one shuffle join on the word. By choice of the
 dictionary no rarer training word is frequent.
 
+A state speaks an unseen word as often as it spoke, in training, words that occur once there (leaving one token out, each of those is
+unseen): its expected counts of such words, as a share of all it spoke, go to the unseen symbol, and its other emissions
+shrink by that share. Nothing is held back from training, and the emissions of a state still sum to 1.
+
 ``STATES`` latent states are trained by Baum-Welch on every training text: each partition
 runs the scaled forward and backward recursions and adds up expected counts, in fixed point so that
 sums don't depend on their order. Texts are cut into runs of ``RUN`` tokens whose transfer matrices are computed side by side and
@@ -183,10 +187,10 @@ def _tilt(marks: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Start, transition and emission probabilities; ``norm`` and ``lean`` make those of words that have no row."""
+    """Start, transition and emission probabilities; ``norm``, ``lean`` and ``seen`` make those of words that have no row."""
 
-    def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray, norm: np.ndarray | None = None, lean: np.ndarray | None = None):
-        self.start, self.moves, self.emits, self.norm, self.lean = start, moves, emits, norm, lean
+    def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray, norm: np.ndarray | None = None, lean: np.ndarray | None = None, seen: np.ndarray | float = 1.0):
+        self.start, self.moves, self.emits, self.norm, self.lean, self.seen = start, moves, emits, norm, lean, seen
 
     @classmethod
     def first(cls, share: np.ndarray, marks: np.ndarray | None = None) -> Model:
@@ -206,10 +210,17 @@ class Model:
 
     def rare(self, share: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Emissions of words without a row, from their shares and expected counts."""
-        return (counts / FIXED + share[:, None] * self.lean) / self.norm
+        return self.seen * (counts / FIXED + share[:, None] * self.lean) / self.norm
 
     def with_rows(self, emits: np.ndarray) -> Model:
-        return Model(self.start, self.moves, emits, self.norm, self.lean)
+        return Model(self.start, self.moves, emits, self.norm, self.lean, self.seen)
+
+    def with_unseen(self, once: np.ndarray) -> Model:
+        """The model that gives the unseen symbol the mass of words that occur once: ``once`` are their expected counts by state."""
+        mass = once / self.norm
+        emits = self.emits * (1 - mass)
+        emits[UNSEEN] += mass
+        return Model(self.start, self.moves, emits, self.norm, self.lean, 1 - mass)
 
 
 class Batch:
@@ -410,8 +421,10 @@ def untied(coded: DataFrame, model: Model, v: Vocabulary) -> tuple[Model, DataFr
     sums = placed(sent.groupBy("word").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in _STATES)))
     bounded = F.col("word").startswith(" ")
     total = _gathered(sums.where(bounded).select(F.col("word").substr(F.lit(2), F.length("word")).cast("long").alias("id"), *_STATES), v.symbols + STATES + 2)
-    emits = total[: v.symbols]
-    return Model.from_counts(total[-2], total[v.symbols : -2], emits, v.share, emits.sum(axis=0) + total[-1]), sums.where(~bounded)
+    emits, table = total[: v.symbols], sums.where(~bounded)
+    once = table.where("c = 1").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in _STATES)).first()
+    model = Model.from_counts(total[-2], total[v.symbols : -2], emits, v.share, emits.sum(axis=0) + total[-1])
+    return model.with_unseen(emits[v.counts == 2].sum(axis=0) + np.array(once) / FIXED), table
 
 
 def likelihood(coded: DataFrame, table: DataFrame, model: Model, v: Vocabulary) -> DataFrame:
