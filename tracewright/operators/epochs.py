@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import running
+
 #: Share of an epoch's blocks that must lie in a kernel; frequency above which an epoch is hot.
 OVERLAP, HOT = 0.5, 32
 
@@ -18,13 +20,12 @@ def boundaries(kernels: DataFrame) -> DataFrame:
     return ends("entrances").unionByName(ends("exits")).distinct()
 
 
-def assign(trace: DataFrame, edges: DataFrame) -> DataFrame:
-    """The trace with ``epoch`` (0, 1, ... within a thread), which grows at each transition in ``edges(src, snk)``."""
-    w = W.partitionBy("thread").orderBy("ts", "seq")
+def assign(trace: DataFrame, edges: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
+    """The trace with ``epoch`` (0, 1, ... within a thread), which grows at each transition in ``edges(src, snk)``; ``bucket_seconds`` as in ``running``."""
     marks = edges.select(F.col("src").alias("_src"), F.col("snk").alias("_snk")).distinct()
-    moved = trace.withColumn("before", F.lag("block").over(w)).join(marks, (F.col("before") == F.col("_src")) & (F.col("block") == F.col("_snk")), "left")
+    moved = running.previous(trace, "block", "before", bucket_seconds=bucket_seconds).join(marks, (F.col("before") == F.col("_src")) & (F.col("block") == F.col("_snk")), "left")
     cut = F.when(F.col("_src").isNotNull(), 1).otherwise(0)
-    return moved.withColumn("epoch", F.sum(cut).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("before", "_src", "_snk")
+    return running.total(moved, cut, "epoch", bucket_seconds=bucket_seconds).drop("before", "_src", "_snk")
 
 
 def block_frequency(epochs: DataFrame) -> DataFrame:
@@ -50,19 +51,17 @@ def match_kernels(freqs: DataFrame, closure: DataFrame, overlap: float = OVERLAP
     return inside.join(size, ["thread", "epoch"]).where(F.col("n") / F.col("size") > overlap).groupBy("thread", "epoch").agg(F.min("kernel").alias("kernel"))
 
 
-def sections(trace: DataFrame, members: DataFrame) -> DataFrame:
+def sections(trace: DataFrame, members: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """Sections entered, left and continued at each step: ``members(block, section)`` gives the sections of a block."""
-    w = W.partitionBy("thread").orderBy("ts", "seq")
     of = members.groupBy("block").agg(F.array_sort(F.collect_set("section")).alias("now"))
     none = F.array().cast(of.schema["now"].dataType)
     rows = trace.join(of, "block", "left").withColumn("now", F.coalesce("now", none))
-    rows = rows.withColumn("was", F.coalesce(F.lag("now").over(w), none))
+    rows = running.previous(rows, "now", "was", bucket_seconds=bucket_seconds).withColumn("was", F.coalesce("was", none))
     return rows.select("thread", "ts", "seq", "block", F.array_except("now", "was").alias("entered"), F.array_except("was", "now").alias("left"), F.array_intersect("now", "was").alias("continued"))
 
 
-def instances(steps: DataFrame) -> DataFrame:
+def instances(steps: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """``section, thread, instance, steps``: uninterrupted stays in a section, numbered within the thread."""
-    w = W.partitionBy("thread", "section").orderBy("ts", "seq")
     on = steps.select("thread", "ts", "seq", F.explode(F.concat("entered", "continued")).alias("section"), "entered")
     fresh = F.when(F.array_contains("entered", F.col("section")), 1).otherwise(0)
-    return on.withColumn("instance", F.sum(fresh).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).groupBy("section", "thread", "instance").agg(F.count("*").alias("steps"))
+    return running.total(on, fresh, "instance", keys=("thread", "section"), bucket_seconds=bucket_seconds).groupBy("section", "thread", "instance").agg(F.count("*").alias("steps"))

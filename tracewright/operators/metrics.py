@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import surprise
 
+from . import running
+
 
 def total_entropy(edges: DataFrame) -> DataFrame:
     """``total_entropy``: -sum of w log2 w over all edges."""
@@ -47,10 +49,9 @@ def graph_size(edges: DataFrame) -> DataFrame:
     return ends.join(edges.agg(F.count("*").alias("edges")).withColumn("k", F.lit(0)), "k").drop("k")
 
 
-def high_water(samples: DataFrame) -> DataFrame:
-    """``samples(thread, ts, seq, bytes)`` with ``high_water``, the most bytes so far."""
-    w = W.partitionBy("thread").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return samples.withColumn("high_water", F.max("bytes").over(w))
+def high_water(samples: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
+    """``samples(thread, ts, seq, bytes)`` with ``high_water``, the most bytes so far; ``bucket_seconds`` as in ``running``."""
+    return running.peak(samples, F.col("bytes"), "high_water", bucket_seconds=bucket_seconds)
 
 
 def weight_sums(edges: DataFrame, tolerance: float = 1e-4) -> DataFrame:

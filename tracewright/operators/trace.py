@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import running
+
 
 def _ordered(*by: str):
     return W.partitionBy(*by).orderBy("ts", "seq")
@@ -40,20 +42,28 @@ def thread_exits(trace: DataFrame) -> DataFrame:
     return trace.groupBy("thread").agg(F.max_by("block", F.struct("ts", "seq")).alias("block"))
 
 
-def states(trace: DataFrame, order: int) -> DataFrame:
-    """``state, snk``: the last ``order`` blocks before each row that has as many, and the row's block."""
-    w = _ordered("thread")
-    back = [F.lag("block", k).over(w) for k in range(order, 0, -1)]
-    return trace.select(F.array(*back).alias("state"), F.col("block").alias("snk")).where(~F.exists("state", lambda x: x.isNull()))
+def states(trace: DataFrame, order: int, bucket_seconds: int | None = None) -> DataFrame:
+    """``state, snk``: the last ``order`` blocks before each row that has as many, and the row's block.
+
+    With ``bucket_seconds`` each step back takes the one before it from the row before, so a thread is sorted in parts."""
+    if bucket_seconds is None:
+        w = _ordered("thread")
+        rows = trace.select("*", *(F.lag("block", k).over(w).alias(f"_b{k}") for k in range(1, order + 1)))
+    else:
+        rows = trace
+        for k in range(1, order + 1):
+            rows = running.previous(rows, f"_b{k - 1}" if k > 1 else "block", f"_b{k}", bucket_seconds=bucket_seconds)
+    back = F.array(*(f"_b{k}" for k in range(order, 0, -1)))
+    return rows.select(back.alias("state"), F.col("block").alias("snk")).where(~F.exists("state", lambda x: x.isNull()))
 
 
-def active_labels(trace: DataFrame) -> DataFrame:
+def active_labels(trace: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """The trace with ``active``, the top of the label stack; rows with ``push`` (a label) enter, rows with ``pop`` leave.
 
-    The depth is a running sum; the last push that reached the present depth is the top.
+    The depth is a running sum; the last push that reached the present depth is the top. ``bucket_seconds`` as in ``running``.
     """
-    w = _ordered("thread")
     step = F.when(F.col("push").isNotNull(), 1).when(F.col("pop"), -1).otherwise(0)
-    deep = trace.withColumn("depth", F.sum(step).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    top = F.last("push", ignorenulls=True).over(_ordered("thread", "depth").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return deep.withColumn("active", F.when(F.col("depth") > 0, top))
+    deep = running.total(trace, step, "depth", bucket_seconds=bucket_seconds)
+    pushed = F.when(F.col("push").isNotNull(), F.struct("ts", "seq", "push"))
+    top = running.peak(deep, pushed, "_top", keys=("thread", "depth"), bucket_seconds=bucket_seconds)
+    return top.withColumn("active", F.when(F.col("depth") > 0, F.col("_top.push"))).drop("_top")
