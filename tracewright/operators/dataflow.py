@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .expressions import printed, table
 from .iterate import components
 from .paths import reachable
 
@@ -125,16 +126,11 @@ def parallel_cycles(cycles: DataFrame, overlapping: DataFrame, serial: DataFrame
     return cycles.select("cycle").distinct().join(overlapping.select("cycle").unionByName(serial.select("cycle")), "cycle", "left_anti")
 
 
-def expressions(def_use: DataFrame, insts: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
-    """``inst, text``: printed expression of each root; leaves are values without operands, deeper ones are cut as ``...``."""
-    name = insts.select("inst", "op")
-    text = name.select("inst", F.concat(F.lit("v"), F.col("inst").cast("string")).alias("text"), "op")
-    inputs = def_use.select(F.col("snk").alias("inst"), F.col("src").alias("arg"))
-    for _ in range(depth):
-        args = inputs.join(text.select(F.col("inst").alias("arg"), F.col("text").alias("t")), "arg").groupBy("inst").agg(F.array_sort(F.collect_list(F.struct("arg", "t"))).alias("a"))
-        full = F.concat(F.col("op"), F.lit("("), F.array_join(F.transform("a", lambda x: x["t"]), ", "), F.lit(")"))
-        text = name.join(args, "inst", "left").select("inst", F.when(F.col("a").isNull(), F.concat(F.lit("v"), F.col("inst").cast("string"))).otherwise(F.when(F.length(full) > 400, "...").otherwise(full)).alias("text"), "op")
-    return text.join(roots.select("inst"), "inst", "left_semi").select("inst", "text")
+def expressions(def_use: DataFrame, insts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``inst, text``: printed expression of each root, at any depth; leaves are values without operands and phis."""
+    needed = reachable(def_use, roots.select(F.col("inst").alias("id")), backward=True).select(F.col("id").alias("snk"))
+    of, exprs = table(def_use.join(needed, "snk", "left_semi"), insts.join(roots.select("inst").unionByName(needed.select(F.col("snk").alias("inst"))), "inst", "left_semi"))
+    return of.join(roots.select("inst"), "inst", "left_semi").join(printed(exprs), "expr").select("inst", "text")
 
 
 def task_label(features: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import sections
+from tracewright.operators import expressions, running, sections
 
 from . import views as V
-from .queries import query
+from .queries import _shared, query
 
 #: Sections of the wide trace: name, parent, condition on event type and exponent (least first).
 SECTIONS = (
@@ -69,3 +69,48 @@ def outside_runs(spark, sf_dir):
     """Stretches outside all sections, told apart by blocks and beginning."""
     w, members, _ = _nested(spark, sf_dir)
     return sections.outside_runs(w, members, WEEK).withColumn("blocks", F.array_join("blocks", ","))
+
+
+# Expressions
+
+
+@query("""WITH o AS (SELECT *, list(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS l FROM orders),
+t AS (SELECT len(l) - 1 AS level, array_to_string(list_transform(list_reverse(l[2:]), lambda x: x || '('), '') || 'v' || l[1] || repeat(')', len(l) - 1) AS text FROM o)
+SELECT level, text, count(*) AS insts FROM t GROUP BY ALL""")
+def order_expressions(spark, sf_dir):
+    """Each order applies its status to the customer's order before: histories with a common beginning share its expressions."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("thread"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("op"))
+    chain = running.previous(o, "seq", "src").where("src IS NOT NULL").select("src", F.col("seq").alias("snk"))
+    of, exprs = expressions.table(chain, o.select(F.col("seq").alias("inst"), "op", F.col("op").alias("name")))
+    used = of.groupBy("expr").agg(F.count("*").alias("insts"))
+    return exprs.select("expr", F.col("level").cast("long").alias("level")).join(expressions.printed(exprs), "expr").join(used, "expr").select("level", "text", "insts")
+
+
+# Late events
+
+
+@query("SELECT src, snk, count(*) AS freq, count(DISTINCT thread) AS threads FROM m GROUP BY 1, 2", "m")
+def late_stream_edges(spark, sf_dir):
+    """Edges from a stream whose files hold the events by a digest of their id, so in no order of time.
+
+    All events are late to the latest of them, hence the wide watermark; a last file, of a thread that isn't counted, moves it past them all.
+    """
+    from tracewright import streaming
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    home = _shared(spark, "late")
+    t = V.events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = t.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    span = int((ends.b - ends.a).total_seconds()) + 1
+    t.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(3))).repartition("part").drop("part").write.parquet(f"{home}/in")
+    raw = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+
+    def run():
+        moves = streaming.ordered_transitions(raw, f"{span} seconds")
+        moves.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/moves").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    t.limit(1).select(F.lit(-1).cast("long").alias("thread"), (F.lit(ends.b) + F.make_interval(secs=F.lit(2 * span))).alias("ts"), F.lit(-1).cast("long").alias("seq"), F.lit("end").alias("block")).write.mode("append").parquet(f"{home}/in")
+    run()
+    moves = spark.read.parquet(f"{home}/moves")
+    return moves.groupBy("src", "snk").agg(F.count("*").alias("freq"), F.count_distinct("thread").alias("threads"))

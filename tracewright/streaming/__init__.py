@@ -1,7 +1,8 @@
 """Online forms: transitions, edge counts and epochs of a stream of events.
 
-Order is arrival order across micro-batches and (ts, seq) inside one, as in the batch forms for
-traces that arrive in order. State is one block (and one counter) a thread.
+In ``transitions`` order is arrival order across micro-batches and (ts, seq) inside one, as in the batch forms for
+traces that arrive in order; state is one block (and one counter) a thread. ``ordered_transitions`` holds rows until the
+watermark has passed them, so events may come late and mixed; state is then also the rows of the last ``late``.
 """
 
 from __future__ import annotations
@@ -41,6 +42,59 @@ def transitions(events: DataFrame, boundaries: frozenset = frozenset()) -> DataF
     return events.groupBy("thread").transformWithState(Transitions(boundaries), "thread long, src string, snk string, epoch long", "Append", "None")
 
 
+class OrderedTransitions(StatefulProcessor):
+    """As Transitions, in the order of (ts, seq) whatever the order of arrival: a row waits until the watermark is behind it.
+
+    Waiting rows are kept by their time, so a timer reads and removes only those that are due. Times are whole milliseconds, as
+    the watermark is; rows of one millisecond go out together.
+    """
+
+    def __init__(self, boundaries: frozenset = frozenset()):
+        self.boundaries = boundaries
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "block string, epoch long")
+        self.waiting = handle.getMapState("waiting", "ms long", "rows array<struct<us: long, seq: long, block: string>>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fresh: dict[int, list] = {}
+        for r in rows:
+            fresh.setdefault(r.us // 1000, []).append((r.us, r.seq, r.block))
+        for ms, more in fresh.items():
+            held = self.waiting.getValue((ms,))[0] if self.waiting.containsKey((ms,)) else []
+            self.waiting.updateValue((ms,), ([*(tuple(h) for h in held), *more],))
+            # One timer a millisecond; its time is the row's, so it fires once the watermark has reached it.
+            self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.waiting.containsKey((ms,)):
+            return
+        found = self.last.get() if self.last.exists() else None
+        block, epoch = (found[0], found[1]) if found else (None, 0)
+        for _, _, now in sorted((tuple(r) for r in self.waiting.getValue((ms,))[0]), key=lambda r: r[:2]):
+            if block is not None:
+                epoch += (block, now) in self.boundaries
+                yield Row(thread=key[0], src=block, snk=now, epoch=epoch)
+            block = now
+        self.waiting.removeKey((ms,))
+        self.last.update((block, epoch))
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_transitions(events: DataFrame, late: str, boundaries: frozenset = frozenset()) -> DataFrame:
+    """``thread, src, snk, epoch`` of a streaming trace ``thread, ts timestamp, seq, block`` whose events come up to ``late`` after
+    later ones. What comes later still is dropped by the watermark; the rows of the last ``late`` stay in the state until
+    later events move it on. Rows without a thread or time are left out. Needs the RocksDB state store.
+    """
+    timed = events.where("thread IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("thread").transformWithState(OrderedTransitions(boundaries), "thread long, src string, snk string, epoch long", "Append", "EventTime")
+
+
 def edge_counts(moves: DataFrame) -> DataFrame:
     """Running edge counts, for complete or update output of ``foreachBatch`` totals."""
     return moves.groupBy("src", "snk").agg(F.count("*").alias("freq"))
