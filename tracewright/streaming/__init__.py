@@ -89,7 +89,8 @@ class OrderedTransitions(StatefulProcessor):
 def ordered_transitions(events: DataFrame, late: str, boundaries: frozenset = frozenset()) -> DataFrame:
     """``thread, src, snk, epoch`` of a streaming trace ``thread, ts timestamp, seq, block`` whose events come up to ``late`` after
     later ones. What comes later still is dropped by the watermark; the rows of the last ``late`` stay in the state until
-    later events move it on. Rows without a thread or time are left out. Needs the RocksDB state store.
+    later events move it on. Rows without a thread or time, and those up to the
+    first moment of 1970, where watermarks begin, are left out. Needs the RocksDB state store.
     """
     timed = events.where("thread IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
     return timed.groupBy("thread").transformWithState(OrderedTransitions(boundaries), "thread long, src string, snk string, epoch long", "Append", "EventTime")
