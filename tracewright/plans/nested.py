@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import expressions, running, sections
+from tracewright.operators import expressions, iterate, running, sections
 
 from . import views as V
 from .queries import _shared, query
@@ -112,5 +112,7 @@ def late_stream_edges(spark, sf_dir):
     run()
     t.limit(1).select(F.lit(-1).cast("long").alias("thread"), (F.lit(ends.b) + F.make_interval(secs=F.lit(2 * span))).alias("ts"), F.lit(-1).cast("long").alias("seq"), F.lit("end").alias("block")).write.mode("append").parquet(f"{home}/in")
     run()
+    for done in ("in", "checkpoint"):
+        iterate.remove(spark, f"{home}/{done}")
     moves = spark.read.parquet(f"{home}/moves")
     return moves.groupBy("src", "snk").agg(F.count("*").alias("freq"), F.count_distinct("thread").alias("threads"))
