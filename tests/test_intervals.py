@@ -2,7 +2,7 @@
 
 import random
 
-from tracewright.operators import deps, intervals
+from tracewright.operators import deps, intervals, iterate
 
 
 def frame(spark, rows):
@@ -78,3 +78,13 @@ def test_copies_pass_through(spark):
     copies = spark.createDataFrame([(2, 1000, 5000, 100)], "epoch long, src long, dst long, size long")
     got = deps.dependencies(deps.with_copies(s, copies), "READ")
     assert [tuple(r) for r in got.collect()] == [(3, 1)]
+
+
+def test_partitions_follow_the_rows(spark):
+    s = frame(spark, [(e, "READ", b, b + 5) for e in range(40) for b in (0, 3, 100)])
+    assert iterate.partitions(s, rows=10) == 12
+    assert iterate.partitions(s, rows=1000) == 4
+    got = intervals.coalesce(s, "epoch", "rw", partitions=12)
+    assert got.rdd.getNumPartitions() == 12 and got.count() == 80
+    less = intervals.subtract(s, s.where("base = 3"), "epoch", partitions=12)
+    assert less.rdd.getNumPartitions() == 12 and less.count() == 80

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .iterate import spread
+
 #: An epoch side without an interval longer than this is dropped; precedence of access kinds, the highest first.
 LONGER_THAN = 32
 PRECEDENCE = ("memcpy", "memmove", "memset", "malloc", "free", "reader", "writer")
@@ -34,17 +36,25 @@ def precedence(kind: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, reversed(PRECEDENCE))), kind), F.lit(0))
 
 
-def coalesce(spans: DataFrame, *by: str) -> DataFrame:
-    """``*by, base, end, ref_count``: maximal unions of spans that share a point; ref_count is the number merged into each.
-
-    A running maximum of ends marks where a new union starts; no join.
-    """
+def _marked(spans: DataFrame, name: str, *by: str) -> DataFrame:
+    """``spans`` with the number ``name`` of the union, of spans that share a point, that each lies in. A running maximum of ends marks where a new union starts; no join."""
     w = W.partitionBy(*by).orderBy("base", "end")
     reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
     marked = spans.withColumn("_new", F.when(reach.isNull() | (F.col("base") > reach), 1).otherwise(0))
-    marked = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return marked.withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
+
+
+def _unions(spans: DataFrame, *by: str) -> DataFrame:
     extra = [F.max_by("type", precedence(F.col("type"))).alias("type")] if "type" in spans.columns and "type" not in by else []
-    return marked.groupBy(*by, "_island").agg(F.min("base").alias("base"), F.max("end").alias("end"), F.count("*").alias("ref_count"), *extra).drop("_island")
+    return _marked(spans, "_island", *by).groupBy(*by, "_island").agg(F.min("base").alias("base"), F.max("end").alias("end"), F.count("*").alias("ref_count"), *extra).drop("_island")
+
+
+def coalesce(spans: DataFrame, *by: str, partitions: int | None = None) -> DataFrame:
+    """``*by, base, end, ref_count``: maximal unions of spans that share a point; ref_count is the number merged into each.
+
+    ``partitions`` (by default from a count of ``spans``) bounds what one task sorts.
+    """
+    return _unions(spread(spans, *by, n=partitions), *by)
 
 
 def access_pattern(spans: DataFrame) -> DataFrame:
@@ -61,16 +71,12 @@ def patterned(accesses: DataFrame) -> DataFrame:
     Reads and writes of an epoch that share a point, directly or through others, form a union; its first access
     (by ``seq``; a read before a write at the same one) and whether the other kind follows name its pattern.
     """
-    used = accesses.where("rw IN ('READ', 'WRITE')")
-    w = W.partitionBy("epoch").orderBy("base", "end")
-    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = used.withColumn("_new", F.when(reach.isNull() | (F.col("base") > reach), 1).otherwise(0))
-    marked = marked.withColumn("_union", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    spans = coalesce(marked.select("epoch", "_union", "rw", "base", "end"), "epoch", "_union", "rw")
-    first = F.min_by("rw", F.struct("seq", "rw"))
-    later = F.count_distinct("rw") > 1
+    marked = _marked(spread(accesses.where("rw IN ('READ', 'WRITE')"), "epoch"), "_union", "epoch")
+    union = W.partitionBy("epoch", "_union")
+    first, later = F.min_by("rw", F.struct("seq", "rw")).over(union), F.min("rw").over(union) != F.max("rw").over(union)
     name = F.when(first == "READ", F.when(later, "ReadThenWrite").otherwise("Read")).otherwise(F.when(later, "WriteThenRead").otherwise("Write"))
-    return spans.join(marked.groupBy("epoch", "_union").agg(name.alias("pattern")), ["epoch", "_union"]).drop("_union")
+    named = marked.select("epoch", "_union", "rw", "base", "end", name.alias("pattern"))
+    return _unions(named, "epoch", "_union", "pattern", "rw").select("epoch", "rw", "base", "end", "ref_count", "pattern")
 
 
 def _binned(spans: DataFrame, width: int) -> DataFrame:
@@ -91,10 +97,13 @@ def overlaps(left: DataFrame, right: DataFrame, *by: str, width: int = 256) -> D
     return _binned(left, width).join(other, cond).withColumns({"lo": lo, "hi": hi}).drop("_bin", "_rbin")
 
 
-def subtract(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
-    """``*by, base, end``: the points of ``left`` that no span of ``right`` holds, as maximal spans. A sweep over end points: one window, no join."""
+def subtract(left: DataFrame, right: DataFrame, *by: str, partitions: int | None = None) -> DataFrame:
+    """``*by, base, end``: the points of ``left`` that no span of ``right`` holds, as maximal spans. A sweep over end points: one window, no join.
+
+    ``partitions`` (by default from a count of the end points) bounds what one task sorts.
+    """
     ends = lambda df, side: df.select(*by, F.explode(F.array(F.struct(F.col("base").alias("p"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("p"), F.lit(-1).alias("d")))).alias("x"), F.lit(side).alias("side")).select(*by, "x.p", F.when(F.col("side") == 0, F.col("x.d")).otherwise(0).alias("a"), F.when(F.col("side") == 1, F.col("x.d")).otherwise(0).alias("b"))
-    steps = ends(left, 0).unionByName(ends(right, 1)).groupBy(*by, "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    steps = spread(ends(left, 0).unionByName(ends(right, 1)), *by, n=partitions).groupBy(*by, "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w = W.partitionBy(*by).orderBy("p")
     run = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     parts = steps.select(*by, F.col("p").alias("base"), (F.lead("p").over(w) - 1).alias("end"), F.sum("a").over(run).alias("a"), F.sum("b").over(run).alias("b")).where("a > 0 AND b = 0")
