@@ -48,16 +48,25 @@ def dependencies(spans: DataFrame, consumer: str = "READ", longer_than: int = LO
 
 def with_copies(spans: DataFrame, copies: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame:
     """``spans`` where an epoch that reads a copy's target also reads its source: ``copies(epoch, src, dst, size)`` of earlier epochs."""
-    reads = spans.where("rw = 'READ'")
-    cond = (F.col("c_epoch") < F.col("epoch")) & (F.least(F.col("end"), F.col("dst") + F.col("size") - 1) - F.greatest(F.col("base"), F.col("dst")) > longer_than)
-    width = 1 << 12
-    left = reads.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("base") / width), F.floor(F.col("end") / width))))
-    right = copies.withColumnRenamed("epoch", "c_epoch").withColumn("_cbin", F.explode(F.sequence(F.floor(F.col("dst") / width), F.floor((F.col("dst") + F.col("size") - 1) / width))))
-    met = left.join(right, (F.col("_bin") == F.col("_cbin")) & cond)
+    return spans.select("epoch", "rw", "base", "end").unionByName(inherited(spans, copies, longer_than))
+
+
+def inherited(spans: DataFrame, copies: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame:
+    """``epoch, rw, base, end``: what reads take over from copies of earlier epochs.
+
+    A shared part longer than ``longer_than`` holds a multiple of ``longer_than + 1``: spans that are long enough meet at these points, once each, at the first.
+    """
+    step = max(longer_than, 0) + 1
+    c_end = F.col("dst") + F.col("size") - 1
+    points = lambda a, b: F.explode(F.sequence(F.ceil(a / step), F.floor(b / step)))
+    holds = lambda a, b: F.ceil(a / step) <= F.floor(b / step)
+    base, end, dst = F.col("base"), F.col("end"), F.col("dst")
+    left = spans.where("rw = 'READ'").where((end - base > longer_than) & holds(base, end)).select("epoch", "rw", "base", "end", points(base, end).alias("_at"))
+    right = copies.where((c_end - dst > longer_than) & holds(dst, c_end)).select(F.col("epoch").alias("c_epoch"), "src", "dst", c_end.alias("dst_end"), points(dst, c_end).alias("_point"))
+    lo, hi = F.greatest("base", "dst"), F.least("end", "dst_end")
+    met = left.join(right, (F.col("_at") == F.col("_point")) & (F.col("c_epoch") < F.col("epoch")) & (hi - lo > longer_than) & (F.ceil(lo / step) == F.col("_at")))
     shift = F.col("src") - F.col("dst")
-    lo, hi = F.greatest(F.col("base"), F.col("dst")), F.least(F.col("end"), F.col("dst") + F.col("size") - 1)
-    inherited = met.select("epoch", "rw", (lo + shift).alias("base"), (hi + shift).alias("end")).distinct()
-    return spans.select("epoch", "rw", "base", "end").unionByName(inherited)
+    return met.select("epoch", "rw", (lo + shift).alias("base"), (hi + shift).alias("end")).distinct()
 
 
 def copy_targets(spans: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame:
