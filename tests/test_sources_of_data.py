@@ -136,3 +136,35 @@ def test_patterns_of_overlapping_accesses(spark):
     got = intervals.patterned(spark.createDataFrame(rows, "epoch long, seq long, rw string, base long, end long"))
     want = {(1, "WRITE", 0, 9, "WriteThenRead"), (1, "READ", 5, 20, "WriteThenRead"), (1, "READ", 100, 110, "ReadThenWrite"), (1, "WRITE", 110, 120, "ReadThenWrite"), (1, "READ", 200, 210, "Read"), (2, "WRITE", 0, 9, "Write")}
     assert {(r.epoch, r.rw, r.base, r.end, r.pattern) for r in got.collect()} == want
+
+
+def test_a_stretch_of_one_writer_is_one_row(spark):
+    writes = [(e, b, b + 9, False) for e in range(1, 5) for b in range(e, 200, 20)] + [(5, 0, 99, True)]
+    w = spark.createDataFrame(writes, "epoch long, base long, end long, both boolean")
+    asked = spark.createDataFrame([(8, 7, 0, None, 0, 99), (4, 3, 300, None, 300, 310), (None, 4, None, None, 0, 3)], "epoch long, upto long, own long, since long, base long, end long")
+    rows = [(r.epoch, r.writer, r.w_base, r.lo, r.hi, r.both) for r in deps.explain(w, asked, 64).collect()]
+    # Four hundred end points lie under the first consumer, which one writer explains: a row for each bin.
+    assert sorted(r for r in rows if r[0] == 8) == [(8, 5, 0, 0, 63, True), (8, 5, 0, 64, 99, True)]
+    assert [r for r in rows if r[0] == 4] == []
+    assert sorted(r[1:5] for r in rows if r[0] is None) == [(1, 1, 1, 1), (2, 2, 2, 2), (3, 3, 3, 3)]
+
+
+def test_the_newest_edge_goes_on_over_bins(spark):
+    spans = [(1, "WRITE", 0, 999), (2, "READ", 40, 90), (3, "READ", 63, 64), (4, "WRITE", 100, 110), (5, "READ", 80, 140)]
+    df = spark.createDataFrame(spans, SPANS)
+    for width in (16, 64, 256):
+        assert found(deps.sources(df, width=width)) == {(2, 1): 0} == plain(spans, [])
+        assert [tuple(r) for r in deps.dependencies(df, width=width).collect()] == [(2, 1)]
+
+
+@pytest.mark.parametrize("longer_than", [32, 0, 7])
+def test_reads_meet_copies_at_points_that_they_share(spark, longer_than):
+    rng = random.Random(longer_than)
+    spans = [(rng.randint(1, 9), rng.choice(["READ", "READ", "WRITE"]), b, b + rng.randint(0, 90)) for _ in range(120) for b in [rng.randint(-300, 3000)]]
+    copies = [(rng.randint(1, 9), rng.randint(0, 3000), rng.randint(-300, 3000), rng.randint(0, 90)) for _ in range(120)]
+    want = {(e, max(b, d) + s - d, min(x, d + n - 1) + s - d) for e, rw, b, x in spans if rw == "READ" for c, s, d, n in copies if c < e and min(x, d + n - 1) - max(b, d) > longer_than}
+    c = spark.createDataFrame(copies, "epoch long, src long, dst long, size long")
+    s = spark.createDataFrame(spans, SPANS)
+    got = deps.inherited(s, c, longer_than)
+    assert sorted((r.epoch, r.base, r.end) for r in got.collect()) == sorted(want)
+    assert deps.with_copies(s, c, longer_than).count() == len(spans) + len(want)

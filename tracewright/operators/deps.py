@@ -7,19 +7,74 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .intervals import LONGER_THAN, subtract
-from .iterate import checkpoint, settled
+from .iterate import checkpoint, partitions, settled, spread
 
 
-def elementary(spans: DataFrame, width: int) -> DataFrame:
-    """Spans cut at all end points (and at multiples of ``width``): every part of one place has the same ``lo``.
+#: Consumers, writers and what they share, as ``explain`` gives them.
+PARTS = "epoch long, upto long, own long, since long, first long, last long, writer long, w_base long, both boolean, _bin long, lo long, hi long"
 
-    Bins make the cutting an equi-join; inside a bin the points are sorted by a window.
+
+def binned(spans: DataFrame, width: int) -> DataFrame:
+    """A row for each bin of ``width`` that a span touches, with the part inside as ``lo, hi``."""
+    cut = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("base") / width), F.floor(F.col("end") / width))))
+    return cut.withColumns({"lo": F.greatest(F.col("base"), F.col("_bin") * width), "hi": F.least(F.col("end"), F.col("_bin") * width + (width - 1))})
+
+
+def explain(writes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """The parts of ``asked(epoch, upto, own, since, base, end)`` that the newest of ``writes(epoch, base, end, both)`` up to ``upto`` wrote, cut at bins.
+
+    A bin is swept in order of epochs: a write is put over what its addresses held, a consumer reads what they hold as stretches of one writer
+    span each. A task holds one bin's addresses, however many epochs touch it, and a stretch is one row, however many end points lie in it.
     """
-    binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("base") / width), F.floor(F.col("end") / width))))
-    binned = binned.withColumns({"_lo": F.greatest(F.col("base"), F.col("_bin") * width), "_hi": F.least(F.col("end"), F.col("_bin") * width + (width - 1))})
-    points = binned.select("_bin", F.explode(F.array(F.col("_lo"), F.col("_hi") + 1)).alias("lo")).distinct()
-    parts = points.withColumn("hi", F.lead("lo").over(W.partitionBy("_bin").orderBy("lo")) - 1).where("hi IS NOT NULL")
-    return binned.join(parts, "_bin").where((F.col("_lo") <= F.col("lo")) & (F.col("_hi") >= F.col("hi"))).drop("_lo", "_hi")
+    none = lambda kind: F.lit(None).cast(kind)
+    # Odd positions in time are consumers, just after the epoch they look back from.
+    own = binned(writes, width).select("_bin", (F.col("epoch") * 2).alias("_at"), "lo", "hi", F.col("base").alias("mark"), none("long").alias("epoch"), none("long").alias("since"), "both", none("long").alias("first"), none("long").alias("last"))
+    want = binned(asked, width).select("_bin", (F.col("upto") * 2 + 1).alias("_at"), "lo", "hi", F.col("own").alias("mark"), "epoch", "since", none("boolean").alias("both"), F.col("base").alias("first"), F.col("end").alias("last"))
+
+    def sweep(batches):
+        from itertools import groupby
+
+        import pyarrow as pa
+
+        place, held = None, None
+        for batch in batches:
+            found = []
+            for at_bin, at, lo, hi, mark, epoch, since, both, first, last in zip(*(c.to_pylist() for c in batch.columns)):
+                if at_bin != place:
+                    place, held = at_bin, [None] * width
+                begin = at_bin * width
+                if at % 2 == 0:
+                    held[lo - begin : hi - begin + 1] = [(at // 2, mark, both)] * (hi - lo + 1)
+                    continue
+                for writer, run in groupby(held[lo - begin : hi - begin + 1]):
+                    n = len(list(run))
+                    if writer is not None:
+                        found.append((epoch, at // 2, mark, since, first, last, *writer, at_bin, lo, lo + n - 1))
+                    lo += n
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if name == "both" else pa.int64()) for name, c in zip(names, zip(*found))], names=names)
+
+    names = [f.split()[0] for f in PARTS.split(", ")]
+    # Spans of one epoch that share an address: the greatest base stands.
+    rows = spread(own.unionByName(want), "_bin").sortWithinPartitions("_bin", "_at", "mark")
+    return rows.mapInArrow(sweep, PARTS)
+
+
+def edges(parts: DataFrame, longer_than: int, width: int) -> DataFrame:
+    """``epoch, writer, hops`` (the least) of the stretches longer than ``longer_than`` of one producer span within one consumer, from ``explain``'s parts with ``hops``.
+
+    Only what ends at a bin's or (behind a copy) a wanted part's border can go on elsewhere: other short stretches go at once.
+    """
+    key = ("epoch", "upto", "own", "writer", "w_base")
+    open_ = (F.col("lo") % width == 0) | ((F.col("hi") + 1) % width == 0) | (F.col("own").isNull() & ((F.col("lo") == F.col("first")) | (F.col("hi") == F.col("last"))))
+    length = F.col("hi") - F.col("lo")
+    kept = parts.where((length > longer_than) | open_).select(*key, "lo", "hi", "hops")
+    w = W.partitionBy(*key).orderBy("lo")
+    reach = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.coalesce(reach + 1 < F.col("lo"), F.lit(True)).cast("int")
+    runs = kept.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    whole = runs.groupBy(*key, "_run").agg((F.max("hi") - F.min("lo")).alias("length"), F.min("hops").alias("hops"))
+    return whole.where(F.col("length") > longer_than).groupBy("epoch", "writer").agg(F.min("hops").alias("hops"))
 
 
 def dependencies(spans: DataFrame, consumer: str = "READ", longer_than: int = LONGER_THAN, width: int = 256, patterns: DataFrame | None = None) -> DataFrame:
@@ -29,21 +84,23 @@ def dependencies(spans: DataFrame, consumer: str = "READ", longer_than: int = LO
     needs a stretch of parts of one consumer span and one producer span longer than
     ``longer_than``. ``patterns(epoch, pattern)`` leaves out pairs that both write before they read.
     """
-    parts = elementary(spans, width)
-    written = F.when(F.col("rw") == "WRITE", F.struct(F.col("epoch").alias("epoch"), F.col("base").alias("base")))
-    # The greatest earlier writer of the same part: a frame by value, so one epoch never feeds itself.
-    earlier = W.partitionBy("_bin", "lo").orderBy("epoch").rangeBetween(W.unboundedPreceding, -1)
-    used = parts.withColumn("w", F.max(written).over(earlier)).where((F.col("rw") == consumer) & F.col("w").isNotNull())
-    used = used.select("epoch", "base", F.col("w.epoch").alias("writer"), F.col("w.base").alias("w_base"), "lo", "hi")
+    spans = checkpoint(_whole_numbers(spans))
+    writes = spans.where("rw = 'WRITE'").select("epoch", "base", "end", F.lit(False).alias("both"))
+    used = explain(writes, _asked(spans.where(F.col("rw") == consumer), F.lit(None)), width)
     if patterns is not None:
-        both = patterns.where("pattern = 'WriteThenRead'").select("epoch")
+        both = patterns.where("pattern = 'WriteThenRead'").select("epoch").distinct()
         used = used.join(both.withColumn("_c", F.lit(True)), "epoch", "left").join(both.select(F.col("epoch").alias("writer"), F.lit(True).alias("_p")), "writer", "left").where("_c IS NULL OR _p IS NULL")
-    key = ("epoch", "base", "writer", "w_base")
-    w = W.partitionBy(*key).orderBy("lo")
-    fresh = F.coalesce(F.lag("hi").over(w) + 1 < F.col("lo"), F.lit(True)).cast("int")
-    runs = used.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    length = runs.groupBy(*key, "_run").agg((F.max("hi") - F.min("lo")).alias("length"))
-    return length.where(F.col("length") > longer_than).select("epoch", "writer").distinct()
+    return edges(used.withColumn("hops", F.lit(0).cast("long")), longer_than, width).select("epoch", "writer")
+
+
+def _whole_numbers(spans: DataFrame, *more) -> DataFrame:
+    """``spans`` with whole numbers and without nulls."""
+    return spans.where("epoch IS NOT NULL AND base IS NOT NULL AND end IS NOT NULL").select(F.col("epoch").cast("long"), "rw", F.col("base").cast("long"), F.col("end").cast("long"), *more)
+
+
+def _asked(spans: DataFrame, since: Column) -> DataFrame:
+    """Each span as wanted from the epochs before its own."""
+    return spans.select("epoch", (F.col("epoch") - 1).alias("upto"), F.col("base").alias("own"), since.cast("long").alias("since"), "base", "end")
 
 
 def with_copies(spans: DataFrame, copies: DataFrame, longer_than: int = LONGER_THAN) -> DataFrame:
@@ -109,7 +166,7 @@ def sources(spans: DataFrame, copies: DataFrame | None = None, consumer: str = "
     """``epoch, writer, hops``: whose data an epoch uses (READ) or overwrites (WRITE), through any number of copies.
 
     ``spans(epoch, rw, base, end[, pattern])`` are disjoint in each epoch and side. Each consumed span starts as wanted
-    from the epochs before its own. In a round the newest writer explains each wanted part, which leaves the rest;
+    from the epochs before its own. The newest writer explains each wanted part, which leaves the rest;
     a part explained by a copy ``copies(epoch, dst, dst_end, src, src_end)`` is wanted again at the copy's source, from the copy's
     epoch backwards, less what was wanted so already: thus copies in a circle end. A source as long as its target
     passes on the part asked for, any other the whole of itself. An overwritten span
@@ -123,48 +180,44 @@ def sources(spans: DataFrame, copies: DataFrame | None = None, consumer: str = "
     """
     known = "pattern" in spans.columns
     pattern = F.col("pattern") if known else F.lit(None).cast("string").alias("pattern")
-    spans = checkpoint(spans.where("epoch IS NOT NULL AND base IS NOT NULL AND end IS NOT NULL").select(F.col("epoch").cast("long"), "rw", F.col("base").cast("long"), F.col("end").cast("long"), pattern))
+    spans = checkpoint(_whole_numbers(spans, pattern))
     writes = spans.where("rw = 'WRITE'").drop("rw")
     wanted = spans.where(F.col("rw") == consumer).drop("rw")
-    wanted = _since(writes, wanted, bucket) if known else wanted.withColumn("since", F.lit(None).cast("long"))
-    wanted = wanted.select("epoch", (F.col("epoch") - 1).alias("upto"), F.col("base").alias("own"), "base", "end", "since")
-    if copies is not None and consumer == "READ":
+    asked = _asked(_since(writes, wanted, bucket), F.col("since")) if known else _asked(wanted, F.lit(None))
+    chained = copies is not None and consumer == "READ"
+    if chained:
         copies = copies.select(F.col("epoch").cast("long").alias("writer"), *(F.col(c).cast("long") for c in ("dst", "dst_end", "src", "src_end"))).dropna().distinct()
         copies = checkpoint(copies.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("dst") / width), F.floor(F.col("dst_end") / width)))))
-    else:
-        copies = None
+        # What a copy's epoch had from before is the same for all that ask there: copies' sources are explained once, with no asker.
+        read = copies.select(F.col("writer").alias("upto"), F.col("src").alias("base"), F.col("src_end").alias("end")).distinct()
+        none = F.lit(None).cast("long")
+        n = partitions(spans)
+        read = subtract(read, read.limit(0), "upto", partitions=n).select(none.alias("epoch"), "upto", none.alias("own"), none.alias("since"), "base", "end")
+        asked = asked.unionByName(read)
+    both = F.coalesce(F.col("pattern") == "WriteThenRead", F.lit(False)).alias("both")
+    parts = explain(writes.select("epoch", "base", "end", both), asked, width)
+    used = parts.where("since IS NULL OR writer > since OR (writer = since AND NOT both)").drop("since", "both")
+    if not chained:
+        return edges(used.withColumn("hops", F.lit(0).cast("long")), longer_than, width)
+    used = settled(used)
+    before = used.where("epoch IS NULL").select("upto", "_bin", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "writer", "w_base")
+    used = used.where("epoch IS NOT NULL")
     seen, explained, hop = None, None, 0
-    bin_of = lambda df: df.select(F.explode(F.sequence(F.floor(F.col("base") / width), F.floor(F.col("end") / width))).alias("_bin")).distinct()
     while True:
-        # Writes matter in the bins that are wanted; odd positions in time are consumers, just after the epoch they look back from.
-        near = writes.withColumn("_near", F.explode(F.sequence(F.floor(F.col("base") / width), F.floor(F.col("end") / width))))
-        near = near.join(bin_of(wanted), F.col("_near") == F.col("_bin"), "left_semi")
-        near = near.select("epoch", F.lit(None).cast("long").alias("upto"), F.lit(None).cast("long").alias("own"), F.lit(None).cast("long").alias("since"), (F.col("pattern") == "WriteThenRead").alias("both"), F.col("base").alias("w_base"), F.greatest(F.col("base"), F.col("_near") * width).alias("base"), F.least(F.col("end"), F.col("_near") * width + (width - 1)).alias("end"), (F.col("epoch") * 2).alias("_at"))
-        asked = wanted.select("epoch", "upto", "own", "since", F.lit(None).cast("boolean").alias("both"), F.lit(None).cast("long").alias("w_base"), "base", "end", (F.col("upto") * 2 + 1).alias("_at"))
-        value = F.when(F.col("w_base").isNotNull(), F.struct(F.col("epoch").alias("epoch"), F.col("w_base").alias("base"), F.coalesce("both", F.lit(False)).alias("both")))
-        used = _latest(elementary(near.unionByName(asked), width), value, 2 * bucket).where("w_base IS NULL AND w IS NOT NULL")
-        used = used.where("since IS NULL OR w.epoch > since OR (w.epoch = since AND NOT w.both)")
-        used = settled(used.select("epoch", "upto", "own", F.col("w.epoch").alias("writer"), F.col("w.base").alias("w_base"), "_bin", "lo", "hi"))
         part = used.withColumn("hops", F.lit(hop).cast("long"))
         explained = part if explained is None else explained.unionByName(part)
-        if copies is None:
-            break
         met = used.join(copies, ["writer", "_bin"]).where("lo <= dst_end AND hi >= dst")
         shift = F.when(F.col("src_end") - F.col("src") == F.col("dst_end") - F.col("dst"), F.col("src") - F.col("dst"))
         passed = met.select("epoch", F.col("writer").alias("upto"), F.coalesce(F.greatest("lo", "dst") + shift, "src").alias("base"), F.coalesce(F.least("hi", "dst_end") + shift, "src_end").alias("end")).distinct()
         # Without a table of what was wanted the subtraction only merges what overlaps or adjoins.
-        added = settled(subtract(passed, passed.limit(0) if seen is None else seen, "epoch", "upto"))
+        added = settled(subtract(passed, passed.limit(0) if seen is None else seen, "epoch", "upto", partitions=n))
         if added.isEmpty():
             break
         seen = added if seen is None else seen.unionByName(added)
-        wanted = added.select("epoch", "upto", F.lit(None).cast("long").alias("own"), "base", "end", F.lit(None).cast("long").alias("since"))
+        near = binned(added.withColumns({"first": F.col("base"), "last": F.col("end")}), width).join(before, ["upto", "_bin"]).where("lo <= _hi AND hi >= _lo")
+        used = settled(near.select("epoch", "upto", F.lit(None).cast("long").alias("own"), "first", "last", "writer", "w_base", "_bin", F.greatest("lo", "_lo").alias("lo"), F.least("hi", "_hi").alias("hi")))
         hop += 1
-    key = ("epoch", "upto", "own", "writer", "w_base")
-    w = W.partitionBy(*key).orderBy("lo")
-    fresh = F.coalesce(F.lag("hi").over(w) + 1 < F.col("lo"), F.lit(True)).cast("int")
-    runs = explained.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    length = runs.groupBy(*key, "_run").agg((F.max("hi") - F.min("lo")).alias("length"), F.min("hops").alias("hops"))
-    return length.where(F.col("length") > longer_than).groupBy("epoch", "writer").agg(F.min("hops").alias("hops"))
+    return edges(explained, longer_than, width)
 
 
 def sequential(epochs: DataFrame) -> DataFrame:
