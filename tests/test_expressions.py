@@ -72,3 +72,24 @@ def test_cycles_and_nothing(spark):
     assert expressions.table(none, insts.limit(0))[1].isEmpty()
     of, exprs = expressions.table(spark.createDataFrame([(7, 1), (None, 2)], "src int, snk int"), insts)
     assert {r.inst: r.text for r in of.join(expressions.printed(exprs), "expr").collect()} == {7: "v7", 1: "add(v7)", 2: "v2"}
+
+
+def test_operands_named_many_rounds_apart(spark):
+    """Forty levels of a chain, each third with a leaf or an early value as another operand: over the rounds that merge frames and drop settled uses."""
+    r = random.Random(3)
+    uses = [(i, i + 1, 0) for i in range(40)] + [(r.randrange(i), i + 1, 1) for i in range(2, 40, 3)] + [(100 + i, 101 + i, 0) for i in range(20)]
+    du = spark.createDataFrame(uses, "src int, snk int, position int")
+    ids = sorted({i for u in uses for i in u[:2]})
+    insts = spark.createDataFrame([(i, "add", "x" if i in (0, 100) else None) for i in ids], "inst int, op string, name string")
+    of, exprs = expressions.table(du, insts)
+    level, want = {0: 0, 100: 0}, {0: "x", 100: "x"}
+    for i in ids:
+        args = [s for s, d, _ in sorted(uses, key=lambda u: u[2]) if d == i]
+        if args:
+            level[i], want[i] = max(level[a] for a in args) + 1, ("add", *(want[a] for a in args))
+    rows = of.join(exprs, "expr").collect()
+    assert {x.inst: x.level for x in rows} == level
+    same = {}
+    for x in rows:
+        assert same.setdefault(x.expr, want[x.inst]) == want[x.inst]
+    assert len(same) == len(set(want.values())) == exprs.count()

@@ -6,13 +6,15 @@ name orders the operands); ``insts(inst, op)`` describes instructions, with an o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .iterate import settled
 
-#: Rounds after which the frames of the rounds become one.
-MERGE = 16
+#: Rounds after which the frames of the rounds become one; rounds after which uses of named operands leave those that wait.
+MERGE, SHRINK = 16, 4
 
 
 def table(def_use: DataFrame, insts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,8 +22,8 @@ def table(def_use: DataFrame, insts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     An expression is known by the digest of its operator and its operands' digests, so equal parts are one row
     wherever they occur. Leaves (level 0) are values without operands, operands that ``insts`` doesn't have, and phis, which
-    stand for what a cycle carries. A round gives the values whose last operand has just been named: it reads the operands of
-    users of the last round's values alone. Any other cycle is an error. An operand used twice counts twice.
+    stand for what a cycle carries. A round gives the values whose last operand has just been named: what was named in the last round meets the
+    uses that still wait; digests named before don't move again. Any other cycle is an error. An operand used twice counts twice.
     """
     key = "position" if "position" in def_use.columns else "src"
     uses = def_use.where("src IS NOT NULL AND snk IS NOT NULL").select(F.col("snk").alias("inst"), F.col("src").alias("arg"), F.col(key).alias("at"))
@@ -34,25 +36,40 @@ def table(def_use: DataFrame, insts: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.array().cast("array<string>")
     leaf = everyone.join(total.select("inst"), "inst", "left_anti")
     last = settled(leaf.select("inst", F.sha2(F.concat(F.lit("v"), "name"), 256).alias("expr"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("op"), none.alias("args"), "name"))
-    done, rounds = last, 0
+    waiting = settled(inputs.join(total, "inst").join(everyone.select("inst", F.coalesce("op", F.lit("?")).alias("op")), "inst"))
+    several = bool(total.where("total > 1").head(1))
+    partial, merged, fresh, rounds = None, [], [last], 0
+    both = lambda frames: (_all(f.select("inst", "expr") for f in frames), _all(f.drop("inst") for f in frames).dropDuplicates(["expr"]))
     while True:
-        users = inputs.join(last.select(F.col("inst").alias("arg")), "arg").select("inst").distinct()
-        named = inputs.join(users, "inst", "left_semi").join(done.select(F.col("inst").alias("arg"), F.col("expr").alias("of")), "arg")
-        full = named.groupBy("inst").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("at", "of"))).alias("a")).join(total, "inst").where("n = total")
-        args = F.transform("a", lambda x: x["of"])
+        got = waiting.join(last.select(F.col("inst").alias("arg"), F.col("expr").alias("of")), "arg").select("inst", "op", "total", "at", "of")
+        made = got.where("total = 1").select("inst", "op", F.array("of").alias("args"))
+        if several:
+            got = settled(got)
+            made = got.where("total = 1").select("inst", "op", F.array("of").alias("args"))
+            parts = got.where("total > 1")
+            parts = parts if partial is None else parts.unionByName(partial)
+            held = settled(parts.groupBy("inst", "op", "total").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("at", "of"))).alias("a")))
+            made = made.unionByName(held.where("n = total").select("inst", "op", F.transform("a", lambda x: x["of"]).alias("args")))
+            partial = held.where("n < total").select("inst", "op", "total", F.inline("a"))
         rounds += 1
-        ops = everyone.select("inst", F.coalesce("op", F.lit("?")).alias("op"))
-        made = full.join(ops, "inst").select("inst", F.lit(rounds).alias("level"), "op", args.alias("args"))
-        last = settled(made.select("inst", F.sha2(F.concat("op", F.lit("("), F.array_join("args", ","), F.lit(")")), 256).alias("expr"), "level", "op", "args", F.lit(None).cast("string").alias("name")))
+        last = settled(made.select("inst", F.sha2(F.concat("op", F.lit("("), F.array_join("args", ","), F.lit(")")), 256).alias("expr"), F.lit(rounds).alias("level"), "op", "args", F.lit(None).cast("string").alias("name")))
         if last.isEmpty():
             break
-        done = done.unionByName(last)
-        if rounds % MERGE == 0:
-            done = settled(done)
-    done = settled(done)
-    if total.join(done.select("inst"), "inst", "left_anti").head(1):
+        fresh.append(last)
+        if rounds % SHRINK == 0:
+            named = _all(f.select(F.col("inst").alias("arg")) for f in fresh[-SHRINK - 1 : -1])
+            waiting = settled(waiting.join(named, "arg", "left_anti"))
+        if len(fresh) == MERGE:
+            merged, fresh = [*merged, tuple(map(settled, both(fresh[:-SHRINK])))], fresh[-SHRINK:]
+    merged = [*merged, both(fresh)]
+    of, exprs = _all(m[0] for m in merged), _all(m[1] for m in merged)
+    if of.count() < everyone.count():
         raise ValueError("values without a phi lead back to themselves")
-    return done.select("inst", "expr"), done.drop("inst").dropDuplicates(["expr"])
+    return of, exprs.dropDuplicates(["expr"])
+
+
+def _all(frames) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def printed(exprs: DataFrame, shared: bool = False) -> DataFrame:
