@@ -45,41 +45,48 @@ def transitions(events: DataFrame, boundaries: frozenset = frozenset()) -> DataF
 class OrderedTransitions(StatefulProcessor):
     """As Transitions, in the order of (ts, seq) whatever the order of arrival: a row waits until the watermark is behind it.
 
-    Waiting rows are kept by their time, so a timer reads and removes only those that are due. Times are whole milliseconds, as
-    the watermark is; rows of one millisecond go out together.
+    Waiting rows are kept by stretches of ``stretch`` milliseconds, of which a timer reads and removes those that are over. Each call of the state
+    costs more than a row's work, so they follow the stretches that a thread has rows in; a batch adds a part to a stretch and reads none again.
     """
 
-    def __init__(self, boundaries: frozenset = frozenset()):
-        self.boundaries = boundaries
+    def __init__(self, boundaries: frozenset = frozenset(), stretch: int = 1):
+        self.boundaries, self.stretch = boundaries, stretch
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "block string, epoch long")
-        self.waiting = handle.getMapState("waiting", "ms long", "rows array<struct<us: long, seq: long, block: string>>")
+        self.parts = handle.getMapState("parts", "stretch long", "n int")
+        self.waiting = handle.getMapState("waiting", "stretch long, part int", "rows array<struct<us: long, seq: long, block: string>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         fresh: dict[int, list] = {}
         for r in rows:
-            fresh.setdefault(r.us // 1000, []).append((r.us, r.seq, r.block))
-        for ms, more in fresh.items():
-            held = self.waiting.getValue((ms,))[0] if self.waiting.containsKey((ms,)) else []
-            self.waiting.updateValue((ms,), ([*(tuple(h) for h in held), *more],))
-            # One timer a millisecond; its time is the row's, so it fires once the watermark has reached it.
-            self.handle.registerTimer(ms)
+            fresh.setdefault(r.us // 1000 // self.stretch, []).append((r.us, r.seq, r.block))
+        for at, more in fresh.items():
+            n = self.parts.getValue((at,))[0] if self.parts.containsKey((at,)) else 0
+            self.waiting.updateValue((at, n), (more,))
+            self.parts.updateValue((at,), (n + 1,))
+            if not n:
+                # The moment after the stretch: once the watermark has reached it, no row of the stretch can come.
+                self.handle.registerTimer((at + 1) * self.stretch)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.waiting.containsKey((ms,)):
+        at = expiredTimerInfo.getExpiryTimeInMs() // self.stretch - 1
+        if not self.parts.containsKey((at,)):
             return
+        due = []
+        for i in range(self.parts.getValue((at,))[0]):
+            due += map(tuple, self.waiting.getValue((at, i))[0])
+            self.waiting.removeKey((at, i))
+        self.parts.removeKey((at,))
         found = self.last.get() if self.last.exists() else None
         block, epoch = (found[0], found[1]) if found else (None, 0)
-        for _, _, now in sorted((tuple(r) for r in self.waiting.getValue((ms,))[0]), key=lambda r: r[:2]):
+        for _, _, now in sorted(due, key=lambda r: r[:2]):
             if block is not None:
                 epoch += (block, now) in self.boundaries
                 yield Row(thread=key[0], src=block, snk=now, epoch=epoch)
             block = now
-        self.waiting.removeKey((ms,))
         self.last.update((block, epoch))
 
     def close(self) -> None:
@@ -88,12 +95,13 @@ class OrderedTransitions(StatefulProcessor):
 
 def ordered_transitions(events: DataFrame, late: str, boundaries: frozenset = frozenset()) -> DataFrame:
     """``thread, src, snk, epoch`` of a streaming trace ``thread, ts timestamp, seq, block`` whose events come up to ``late`` after
-    later ones. What comes later still is dropped by the watermark; the rows of the last ``late`` stay in the state until
-    later events move it on. Rows without a thread or time, and those up to the
+    later ones. What comes later still is dropped by the watermark; the rows of the last ``late``, and of up to as long before,
+    stay in the state until later events move it on. Rows without a thread or time, and those up to the
     first moment of 1970, where watermarks begin, are left out. Needs the RocksDB state store.
     """
     timed = events.where("thread IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("thread").transformWithState(OrderedTransitions(boundaries), "thread long, src string, snk string, epoch long", "Append", "EventTime")
+    whole = events.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + INTERVAL '{late}')")).first()[0]
+    return timed.groupBy("thread").transformWithState(OrderedTransitions(boundaries, max(whole, 1)), "thread long, src string, snk string, epoch long", "Append", "EventTime")
 
 
 def edge_counts(moves: DataFrame) -> DataFrame:
