@@ -128,3 +128,14 @@ def test_buckets_change_nothing(spark):
         assert set(whole.columns) == set(cut.columns)
         key = lambda df: sorted(repr(tuple(r[c] for c in sorted(df.columns))) for r in df.collect())
         assert key(whole) == key(cut)
+
+
+def test_sorted_rows_hold_no_sections(spark):
+    trace = spark.createDataFrame([(1, 1, 1, "a"), (1, 2, 2, "b")], "thread long, ts long, seq long, block string")
+    members = spark.createDataFrame([("a", "s"), ("b", "s")], "block string, section string")
+    kin = sections.lineage(members, spark.createDataFrame([], "parent string, child string"))
+    live = sections._live(trace, members, kin, None)
+    plan = live._jdf.queryExecution().optimizedPlan().toString()
+    # Rows are sorted first and meet their sections, and those of the block before, afterwards.
+    assert plan.index("Join") < plan.index("Window")
+    assert sorted((r.seq, len(r.now), len(r.was)) for r in live.collect()) == [(1, 1, 0), (2, 1, 1)]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import running
-from .iterate import settled
+from .iterate import settled, small_side
 
 
 def lineage(members: DataFrame, hierarchy: DataFrame) -> DataFrame:
@@ -41,8 +41,11 @@ def _live(trace: DataFrame, members: DataFrame, kin: DataFrame, bucket_seconds:
     closed = members.select("block", F.col("section").alias("_s")).join(kin.withColumnRenamed("section", "_s"), "_s").select("block", F.col("ancestor").alias("section")).distinct()
     of = closed.join(top, "section").groupBy("block").agg(F.collect_set(F.struct("section", "root")).alias("now"))
     none = F.array().cast(of.schema["now"].dataType)
-    rows = trace.select("thread", "ts", "seq", "block").join(of, "block", "left").withColumn("now", F.coalesce("now", none))
-    return running.previous(rows, "now", "was", bucket_seconds=bucket_seconds).withColumn("was", F.coalesce("was", none))
+    # Rows are sorted with their blocks alone, and meet the sections of both afterwards.
+    of = small_side(settled(of), 200)
+    rows = running.previous(trace.select("thread", "ts", "seq", "block"), "block", "was_block", bucket_seconds=bucket_seconds)
+    rows = rows.join(of, "block", "left").join(of.select(F.col("block").alias("was_block"), F.col("now").alias("was")), "was_block", "left")
+    return rows.select("thread", "ts", "seq", "block", F.coalesce("now", none).alias("now"), F.coalesce("was", none).alias("was"))
 
 
 def instance_tree(trace: DataFrame, members: DataFrame, hierarchy: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
