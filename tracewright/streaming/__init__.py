@@ -2,7 +2,7 @@
 
 In ``transitions`` order is arrival order across micro-batches and (ts, seq) inside one, as in the batch forms for
 traces that arrive in order; state is one block (and one counter) a thread. ``ordered_transitions`` holds rows until the
-watermark has passed them, so events may come late and mixed; state is then also the rows of the last ``late``.
+watermark has passed them, so events may come late and mixed; state is then also the rows of up to twice ``late``.
 """
 
 from __future__ import annotations
