@@ -89,6 +89,8 @@ def test_order_graph_in_pieces(spark, tmp_path, monkeypatch, odd):
     assert parts.where("odd").isEmpty() and cut.groupBy("src").agg(F.count_distinct("piece").alias("n")).where("n > 1").isEmpty()
     # A graph in pieces isn't rewritten by rounds over all of it.
     monkeypatch.setattr(regions, "simplify", None)
+    undone = {r.kind: (r.edges, r.freq) for r in queries.order_regions_undone(spark, at).collect()}
+    assert undone == {k: (sum(a[0] == k for a, _, _ in whole), sum(f for a, _, f in whole if a[0] == k)) for k in {a[0] for a, _, _ in whole}}
     # The order that is there twice comes after itself, which leaves a loop of its parent.
     want = plain.Graph({(a, b): f for a, b, f in whole}).simplify()
     rows = sorted((r.customer, r.least, r.blocks, r.freq) for r in queries.order_regions(spark, at).collect())
